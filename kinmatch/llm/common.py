@@ -60,6 +60,19 @@ def map_arrow(
     return df.mapInArrow(run, schema)
 
 
+def filter_arrow(df: DataFrame, column: str, make: Callable[[], Callable[[list], Iterable[bool]]]) -> DataFrame:
+    """The rows, with all their columns, whose value of ``column`` the function made once a task by ``make()`` accepts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accept = None
+        for batch in batches:
+            accept = accept or make()
+            at = batch.schema.get_field_index(column)
+            yield batch.filter(pa.array(accept(batch.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 ARROW = {
     T.LongType: pa.int64(),
     T.IntegerType: pa.int32(),

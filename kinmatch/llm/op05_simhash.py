@@ -215,3 +215,18 @@ def near_duplicates(
     )
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return made.join(of_fp, ["fp", "more"]).select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def keep_one_each(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, with all columns, of the smallest doc_id of each near-duplicate group; see near_duplicates.
+
+    Rows with one doc_id are one document, of which a single row stays; rows without a doc_id stay only if no row
+    that has one is in their group.
+    """
+    groups = stored(near_duplicates(docs, **how).select("doc_id", "component_id"))
+    named = docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    if not groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        named = named.dropDuplicates(["doc_id"])
+    if groups.where("component_id is null").isEmpty():
+        return named
+    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))

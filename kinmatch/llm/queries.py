@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op02_packing, op05_simhash, op06_chat, op08_byte_bpe
+from . import op02_packing, op05_simhash, op06_chat, op07_quality, op08_byte_bpe, op09_toxicity
+from .common import crc_mod5
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,12 +58,30 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _scored(scores: DataFrame, threshold: float) -> DataFrame:
+    return scores.select(
+        "doc_id", (crc_mod5("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _scored(op07_quality.score(docs, op07_quality.fit(docs, _table(spark, sf_dir, "labels"))), 0.3)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _scored(op09_toxicity.score(docs, op09_toxicity.fit(docs, _table(spark, sf_dir, "labels"))), 0.5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing,
         "op5_simhash": op5_simhash,
         "op6_chat": op6_chat,
+        "op7_quality": op7_quality,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_toxicity": op9_toxicity,
     }
 
 
