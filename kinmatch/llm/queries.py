@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op02_packing, op05_simhash, op06_chat, op07_quality, op08_byte_bpe, op09_toxicity
+from . import (
+    op01_grid_join,
+    op02_packing,
+    op05_simhash,
+    op06_chat,
+    op07_quality,
+    op08_byte_bpe,
+    op09_toxicity,
+    op10_html as op10_html_operator,
+)
 from .common import crc_mod5
 
 
@@ -16,6 +25,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op01_grid_join.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = op02_packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select(
@@ -74,17 +87,36 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(op09_toxicity.score(docs, op09_toxicity.fit(docs, _table(spark, sf_dir, "labels"))), 0.5)
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_html_operator.extract(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_grid_join": op1_grid_join,
         "op2_packing": op2_packing,
         "op5_simhash": op5_simhash,
         "op6_chat": op6_chat,
         "op7_quality": op7_quality,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_toxicity": op9_toxicity,
+        "op10_html": op10_html,
     }
 
 
+#: All links, not a spanning forest of them; components by repeated minima, as far as they spread in these data.
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[64] AS x FROM embeddings WHERE vec_id IS NOT NULL),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.vec_id <> b.vec_id AND array_cosine_similarity(a.x, b.x) >= 0.9),
+r(vec_id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.vec_id),
+c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id)
+SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM c
+"""
+
 OP6_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -121,4 +153,4 @@ def _op6_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": _op6_sql()}
+    return {"op1_grid_join": OP1_SQL, "op6_chat": _op6_sql()}
