@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from . import (
     op01_grid_join,
     op02_packing,
+    op03_token_counts,
+    op04_iblt,
     op05_simhash,
     op06_chat,
     op07_quality,
@@ -36,6 +38,23 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = op04_iblt.fingerprints(op04_iblt.edited_pairs(_table(spark, sf_dir, "documents")))
+    return made.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -95,6 +114,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_grid_join": op1_grid_join,
         "op2_packing": op2_packing,
+        "op3_token_counts": op3_token_counts,
+        "op4_iblt": op4_iblt,
         "op5_simhash": op5_simhash,
         "op6_chat": op6_chat,
         "op7_quality": op7_quality,
