@@ -9,6 +9,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .uom import UNITS, aliases, key, labels
 
@@ -95,7 +96,7 @@ def correct_spelling(c: Column, terms: Iterable[tuple[str, int]]) -> Column:
     given = tuple(terms)
     made: list[Speller] = []
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         if not made:
             made.append(Speller(given))

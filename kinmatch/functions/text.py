@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The rewriting rules of descriptions, in the order in which they apply.
 QUOTES = (("[‘’`´]", "'"), ("[“”]", '"'))
@@ -48,7 +49,7 @@ def clean_str(c: Column) -> Column:
     return F.when(s.isNull() | F.lower(s).isin("nan", "none"), F.lit("")).otherwise(strip(s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """The compatibility composition of each text; Spark has no function for it."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))

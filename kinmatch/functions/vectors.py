@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -50,7 +51,7 @@ class HashedTokens:
 def embed(df: DataFrame, text: str, embedder: Embedder, to: str = "embedding") -> DataFrame:
     """Adds the vector of a text column, a batch at a time on the executors; a null text counts as empty."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def vectors(texts: pd.Series) -> pd.Series:
         made = embedder(texts.fillna("").tolist())
         return pd.Series(list(made), index=texts.index)
