@@ -71,10 +71,10 @@ class SumOfSquares:
 
 
 def cut(items: list[tuple], sizes: Iterator[int]) -> Iterator[list[tuple]]:
-    """Lays (ref, start, ids) items end to end and cuts them into sequences of the given sizes."""
+    """Lays (ref, start, ids) items end to end and cuts them into sequences of the given sizes, as far as these go."""
     need, row = next(sizes, 0), []
     for ref, start, ids in items:
-        while len(ids):
+        while need and len(ids):
             take = min(need, len(ids))
             row.append((ref, start, ids[:take]))
             start, ids, need = start + take, ids[take:], need - take

@@ -133,11 +133,10 @@ def _in_blocks(crowd: DataFrame, full: DataFrame, radius: int, wide_radius: int)
         a, b = [], []
         while len(left):
             at, left, reached = left[0], left[1:], []
-            root = ids[at]
             while True:
                 apart = np.bitwise_count(fp[left] ^ fp[at])
                 near = (apart <= radius) & (apart + np.bitwise_count(more[left] ^ more[at]) <= wide_radius)
-                a += [root] * int(near.sum())
+                a += [int(ids[at])] * int(near.sum())
                 b += ids[left[near]].tolist()
                 reached += left[near].tolist()
                 left = left[~near]
