@@ -168,26 +168,20 @@ def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
 
 
 def _in_order(keys: DataFrame) -> DataFrame:
-    """``(k, next_k, prev_k, prev_n)`` of ``keys (k, doc_id, h, n)`` by doc_id and h; the last is followed by the first.
+    """``(k, prev)`` of ``keys (k, doc_id, h, n)`` in order of doc_id and h, prev with k, doc_id and n; before the first is the last.
 
     Rows are dealt by ranges; only each range's ends are put in sequence by one task.
     """
     spread = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = stored(keys.repartitionByRange(spread, "doc_id", "h").withColumn("part", F.spark_partition_id()))
-    ends = dealt.groupBy("part").agg(
-        F.min_by("k", F.struct("doc_id", "h")).alias("first_k"), F.max_by(F.struct("k", "n"), F.struct("doc_id", "h")).alias("last")
-    )
+    row = F.struct("k", "doc_id", "n")
+    ends = dealt.groupBy("part").agg(F.max_by(row, F.struct("doc_id", "h")).alias("last"))
     w = Window.orderBy("part")
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.select(
-        "part",
-        F.coalesce(F.lead("first_k").over(w), F.first("first_k").over(every)).alias("after"),
-        F.coalesce(F.lag("last").over(w), F.last("last").over(every)).alias("before"),
-    )
+    ends = ends.select("part", F.coalesce(F.lag("last").over(w), F.last("last").over(every)).alias("before"))
     own = Window.partitionBy("part").orderBy("doc_id", "h")
-    placed = dealt.select("part", "k", F.lead("k").over(own).alias("next_k"), F.lag(F.struct("k", "n")).over(own).alias("prev"))
-    prev = F.coalesce("prev", "before")
-    return placed.join(ends, "part").select("k", F.coalesce("next_k", "after").alias("next_k"), prev["k"].alias("prev_k"), prev["n"].alias("prev_n"))
+    placed = dealt.select("part", "k", F.lag(row).over(own).alias("prev"))
+    return placed.join(ends, "part").select("k", F.coalesce("prev", "before").alias("prev"))
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
@@ -205,15 +199,17 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
         keyed = rows.dropDuplicates(["doc_id", "text"]).withColumn("k", F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text")))
     keyed = keyed.withColumn("k", F.coalesce("k", F.lit("none")))
     order = _in_order(keyed.select("k", "doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n")))
-    placed = keyed.join(order, "k")
-    sent = placed.select(
-        F.col("prev_k").alias("k"),
-        F.substring(F.col("text"), F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")).alias("begin"),
+    # both joins below read one shuffle of the texts; a row learns its doc_id, too, from the one after it
+    texts = keyed.select("k", "text")
+    sent = texts.join(order, "k").select(
+        F.col("prev.k").alias("k"),
+        F.col("prev.doc_id").alias("doc_id"),
+        F.substring(F.col("text"), F.lit(1), F.floor(F.col("prev.n") / 4).cast("int")).alias("begin"),
         digests(F.col("text")).alias("next_digests"),
     )
     n = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int")), F.col("begin"))
-    return placed.select("k", "doc_id", "text").join(sent, "k").select("doc_id", "text", edited.alias("edited"), "next_digests")
+    return texts.join(sent, "k").select("doc_id", "text", edited.alias("edited"), "next_digests")
 
 
 def fingerprints(pairs: DataFrame) -> DataFrame:
