@@ -41,8 +41,13 @@ EDGE = re.compile(r"[.!?;:|\n]")
 #: Machines: state -> tag -> (next state, factor); a tag without an arc keeps the state at factor 1.
 MACHINES = {
     "target": {"none": {"T": ("seen", 1.0)}, "seen": {"I": ("seen", 1.25)}},
-    "negation": {"plain": {"N": ("near", 1.0)}, "near": {"I": ("plain", 0.3), "H": ("plain", 0.2), "o": ("far", 1.0)}, "far": {"I": ("plain", 0.5), "H": ("plain", 0.4), "o": ("plain", 1.0)}},
-    "report": {"own": {"R": ("quoted", 1.0)}, "quoted": {"I": ("quoted", 0.5), "H": ("quoted", 0.5)}},
+    "negation": {
+        "plain": {"N": ("near", 1.0)},
+        "near": {"I": ("plain", 0.3), "H": ("denied", 1.0), "o": ("far", 1.0)},
+        "far": {"I": ("plain", 0.5), "H": ("denied", 1.0), "o": ("plain", 1.0)},
+        "denied": {"T": ("plain", 0.2), "I": ("plain", 0.5)},
+    },
+    "report": {"own": {"R": ("quoted", 1.0)}, "quoted": {"I": ("quoted", 0.5), "T": ("quoted", 0.5)}},
     "threat": {"calm": {"H": ("armed", 0.0)}, "armed": {"H": ("armed", 0.0), "T": ("calm", 2.0)}},
 }
 TAGS = "IHTNRo"
@@ -175,6 +180,17 @@ def lexicon(counts: list[tuple], n_pos: int, n_neg: int) -> Grammar:
     return Grammar(words, prefixes)
 
 
+def evidence_only_adds(x: np.ndarray, y: np.ndarray, weight: np.ndarray, evidence: int) -> np.ndarray:
+    """Logistic coefficients of which the first ``evidence`` aren't negative: those that would be are left out in turn."""
+    used = list(range(x.shape[1]))
+    while True:
+        beta = np.zeros(x.shape[1] + 1)
+        beta[[*used, -1]] = logistic(x[:, used], y, weight)
+        if not (wrong := [j for j in used if j < evidence and beta[j] < 0]):
+            return beta
+        used.remove(min(wrong, key=lambda j: beta[j]))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Coefficients, the constant last, by Newton's method."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -216,7 +232,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
     """Learns from at most ``max_toxic`` and ``max_clean`` labelled rows; without any, known insults alone count."""
     sample, totals = labelled_sample(docs, labels, "toxic", {1: max_toxic, 0: max_clean})
-    sample = stored(sample)
+    sample = stored(sample.dropDuplicates(["text", "label"]))  # copies of a document are no further evidence for its words
     sizes = {(r["fold"], r["label"]): r["n"] for r in sample.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
     counts = stored(count_terms(sample))
     pos, neg = F.col("pos0") + F.col("pos1"), F.col("neg0") + F.col("neg1")
@@ -246,7 +262,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     if len(set(y)) < 2:
         return Model(whole, np.array([1.5, 0.0, 0.5, 0.0, -0.2, -3.0]))
     share = {k: totals[k] / max(1, n(k, 0, 1)) for k in totals}
-    return Model(whole, logistic(got.drop(columns="label").to_numpy(), y, np.array([share[int(v)] for v in y])))
+    x = got.drop(columns="label").to_numpy()
+    order = np.lexsort((*x.T, y))  # whatever order the rows came in
+    x, y = x[order], y[order]
+    return Model(whole, evidence_only_adds(x, y, np.array([share[int(v)] for v in y]), evidence=4))
 
 
 def scorer(model: Model):
