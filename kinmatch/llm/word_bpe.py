@@ -7,7 +7,6 @@ joined, and a word is encoded by the library when it is first met.
 from __future__ import annotations
 
 import re
-import struct
 from functools import lru_cache
 from unicodedata import is_normalized, normalize
 
@@ -27,6 +26,7 @@ class WordBpe:
     def __init__(self, path: str, cache: int = 700_000, longest: int = 48):
         self.library = Tokenizer.from_file(path)
         self.merge = self.library.model.tokenize
+        self.four = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         self.specials = [str(t.content) for t in self.library.get_added_tokens_decoder().values()]
         letter, number = ranges("L"), ranges("N")
         self.find = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{SPACE}{letter}{number}]+").findall
@@ -43,14 +43,25 @@ class WordBpe:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, chunk: str) -> bytes:
-        """The ids of a chunk, from the vocabulary's own merges; kept if it is short."""
-        words = [chunk] if chunk.isalpha() else self.find(chunk)
-        if not chunk.isascii():
-            words = [w.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTE_SIGNS) for w in words]
-        ids = [t.id for w in words for t in self.merge(w)]
-        made = struct.pack(f"<{len(ids)}I", *ids)
+        """The ids of a chunk, from the vocabulary's own merges of its words; both are kept if they are short."""
+        if chunk.isalpha():
+            return self.word(chunk)
+        if chunk[-1] in ".,!?:;" and chunk[:-1].isalpha():
+            words = (chunk[:-1], chunk[-1])
+        else:
+            words = self.find(chunk)
+        known = self.known
+        made = b"".join([x if (x := known.get(w)) is not None else self.word(w) for w in words])
         if len(chunk) <= self.longest:
-            self.known[chunk] = made
+            known[chunk] = made
+        return made
+
+    def word(self, word: str) -> bytes:
+        signs = word if word.isascii() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTE_SIGNS)
+        four = self.four
+        made = b"".join([four[t.id] for t in self.merge(signs)])
+        if len(word) <= self.longest:
+            self.known[word] = made
         return made
 
     def encode(self, text: str) -> bytes:
