@@ -11,6 +11,7 @@ each pair is a task that returns only the links that connect what it has found.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_arrow, only, stored
-from .components import connected_components
+from kinmatch.operators.components import connected_components
 
 BITS = 64
 SHINGLE_SEED = 42
@@ -222,10 +223,20 @@ def keep_one_each(docs: DataFrame, **how) -> DataFrame:
     Rows with one doc_id are one document, of which a single row stays; rows without a doc_id stay only if no row
     that has one is in their group.
     """
-    groups = stored(near_duplicates(docs, **how).select("doc_id", "component_id"))
+    groups = stored(near_duplicates(docs, **how))
     named = docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
     if not groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         named = named.dropDuplicates(["doc_id"])
     if groups.where("component_id is null").isEmpty():
         return named
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    # rows without an id are found again by their fingerprint
+    words = how.get("words", 3)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [f"{fingerprint(t, words):016x}" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            yield b.append_column("_fp", pa.array(fps, pa.string()))
+
+    nameless = docs.where("doc_id is null").mapInArrow(add, T.StructType([*docs.schema, T.StructField("_fp", T.StringType())]))
+    lone = groups.where("component_id is null").select(F.col("fingerprint").alias("_fp")).distinct()
+    return named.unionByName(nameless.join(lone, "_fp", "left_semi").dropDuplicates(["_fp"]).drop("_fp"))
