@@ -5,7 +5,7 @@ segment (pigeonhole), so each fingerprint enumerates the small Hamming ball arou
 fingerprints with such a segment from that segment's table, and the complete distance is verified. Equal fingerprints
 are one entry. A segment's bucket over ``bucket_limit`` entries isn't paired row by row; two exact ways find what it
 holds without a row for each pair. Up to a radius of 2, those that probe it meet at the fingerprints one bit away from
-both (such a meeting holds one Hamming ball at most). Beyond, they are compared in blocks of bounded size, of which
+both (such a meeting holds one Hamming ball at most). Otherwise they are compared in blocks of bounded size, of which
 each pair is a task that returns only the links that connect what it has found.
 """
 
@@ -91,13 +91,21 @@ def ball(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)]
 
 
-def plan_segments(radius: int, segments: int) -> list[tuple[int, int, int]]:
-    """(shift, width, radius) of each segment that needs a table, by the pigeonhole principle."""
-    widths = [BITS // segments + (i < BITS % segments) for i in range(segments)]
-    shifts = [sum(widths[i + 1 :]) for i in range(segments)]
+def plan_segments(radius: int, segments: int, wide: bool = False, most: int | None = None) -> list[tuple[str, int, int, int]]:
+    """(word, shift, width, radius) of each segment that needs a table, by the pigeonhole principle.
+
+    A ``wide`` fingerprint has two words of 64 bits, each with half the segments. No segment's radius is over ``most``.
+    """
+    words = ("fp", "more") if wide else ("fp",)
+    each = segments // len(words)
+    if radius < 0 or each < 1 or each * len(words) != segments or each > BITS:
+        raise ValueError("radius and segments are out of range")
+    widths = [BITS // each + (i < BITS % each) for i in range(each)]
+    shifts = [sum(widths[i + 1 :]) for i in range(each)]
     near, rest = divmod(radius, segments)
+    places = [(w, s, width) for w in words for s, width in zip(shifts, widths)]
     radii = [near if i <= rest else near - 1 for i in range(segments)]
-    return [(s, w, r) for s, w, r in zip(shifts, widths, radii) if r >= 0]
+    return [(*p, r if most is None else min(r, most)) for p, r in zip(places, radii) if r >= 0]
 
 
 def _around(value, masks: list[int]):
@@ -118,7 +126,7 @@ def _met_halfway(crowd: DataFrame) -> DataFrame:
     return met.select(F.col("m")[0].alias("a"), F.explode(F.slice("m", 2, BITS + 1)).alias("b"))
 
 
-def _in_blocks(crowd: DataFrame, full: DataFrame, radius: int, wide_radius: int) -> DataFrame:
+def _in_blocks(crowd: DataFrame, full: DataFrame, radius: int) -> DataFrame:
     """Links that connect those within the radius in each full bucket, from a task for each pair of its blocks."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     placed = crowd.join(full, ["segment", "key"]).withColumn("blocks", blocks)
@@ -129,14 +137,15 @@ def _in_blocks(crowd: DataFrame, full: DataFrame, radius: int, wide_radius: int)
     )
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, fp, more = (table.column(c).to_numpy() for c in ("id", "fp", "more"))
+        ids = table.column("id").to_numpy()
+        fp, more = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "more"))  # bits of negative numbers count differently
         left = np.argsort(ids, kind="stable")
         a, b = [], []
         while len(left):
             at, left, reached = left[0], left[1:], []
             while True:
-                apart = np.bitwise_count(fp[left] ^ fp[at])
-                near = (apart <= radius) & (apart + np.bitwise_count(more[left] ^ more[at]) <= wide_radius)
+                apart = np.bitwise_count(fp[left] ^ fp[at]).astype(int) + np.bitwise_count(more[left] ^ more[at])
+                near = apart <= radius
                 a += [int(ids[at])] * int(near.sum())
                 b += ids[left[near]].tolist()
                 reached += left[near].tolist()
@@ -150,44 +159,48 @@ def _in_blocks(crowd: DataFrame, full: DataFrame, radius: int, wide_radius: int)
 
 
 def links(
-    entries: DataFrame, radius: int = 2, segments: int = 2, bucket_limit: int = BUCKET_LIMIT, wide_radius: int | None = None
+    entries: DataFrame,
+    radius: int = 2,
+    segments: int = 2,
+    bucket_limit: int = BUCKET_LIMIT,
+    wide: bool = False,
+    segment_radius: int | None = None,
 ) -> DataFrame:
     """``(a, b)``: links that connect all ``entries (id, fp, more)``, of distinct fp and more, within the radius.
 
-    Within it are entries with at most ``radius`` differing bits in ``fp`` and, where ``wide_radius`` is given, at most
-    that many in ``fp`` and ``more`` together. Two such entries are linked directly or, where they meet in a full
-    bucket, by a path of such links.
+    Within it are entries with at most ``radius`` differing bits, of 64 in ``fp`` or, if ``wide``, of 128 in both. Two
+    such entries are linked directly or, where they meet in a full bucket, by a path of such links. With a
+    ``segment_radius`` below what the pigeonhole principle asks for, only those are sure to be linked that differ in one
+    of the segments by so many bits at most.
     """
-    if radius < 0 or not 1 <= segments <= BITS:
-        raise ValueError("radius and segments are out of range")
-    wide = 2 * BITS if wide_radius is None else wide_radius
-    tables = plan_segments(radius, segments)
-    key = lambda s, w: F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1).cast("long"))
+    tables = plan_segments(radius, segments, wide, segment_radius)
+
+    def key(word: str, shift: int, width: int):
+        return F.shiftrightunsigned(word, shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
+
     table = reduce(
         DataFrame.unionByName,
-        [entries.select(F.lit(i).alias("segment"), key(s, w).alias("key"), "id", "fp", "more") for i, (s, w, _) in enumerate(tables)],
+        [entries.select(F.lit(i).alias("segment"), key(*at).alias("key"), "id", "fp", "more") for i, (*at, _) in enumerate(tables)],
     )
     probes = reduce(
         DataFrame.unionByName,
         [
-            entries.select(F.lit(i).alias("segment"), F.explode(_around(key(s, w), ball(w, r))).alias("key"), "id", "fp", "more")
-            for i, (s, w, r) in enumerate(tables)
+            entries.select(F.lit(i).alias("segment"), F.explode(_around(key(*at), ball(at[2], r))).alias("key"), "id", "fp", "more")
+            for i, (*at, r) in enumerate(tables)
         ],
     )
     full = stored(table.groupBy("segment", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_limit))
-    apart = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("t.fp")))
-    further = F.bit_count(F.col("p.more").bitwiseXOR(F.col("t.more")))
+    apart = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("t.fp"))) + F.bit_count(F.col("p.more").bitwiseXOR(F.col("t.more")))
     found = (
         probes.alias("p")
         .join(table.join(full, ["segment", "key"], "left_anti").alias("t"), ["segment", "key"])
-        .where((F.col("p.id") != F.col("t.id")) & (apart <= radius) & (apart + further <= wide))
+        .where((F.col("p.id") != F.col("t.id")) & (apart <= radius))
         .select(F.least("p.id", "t.id").alias("a"), F.greatest("p.id", "t.id").alias("b"))
     )
     if full.isEmpty():
         return found.distinct()
     crowd = probes.join(full.select("segment", "key"), ["segment", "key"], "left_semi")
-    linear = radius == 2 and wide_radius is None
-    return found.unionByName(_met_halfway(crowd) if linear else _in_blocks(crowd, full, radius, wide)).distinct()
+    return found.unionByName(_met_halfway(crowd) if radius == 2 and not wide else _in_blocks(crowd, full, radius)).distinct()
 
 
 def near_duplicates(
@@ -196,19 +209,20 @@ def near_duplicates(
     words: int = 3,
     segments: int = 2,
     bucket_limit: int = BUCKET_LIMIT,
-    wide_radius: int | None = None,
+    wide: bool = False,
+    segment_radius: int | None = None,
 ) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per row of ``docs (doc_id, text)``.
 
     ``fingerprint`` is 16 hex digits; ``component_id`` the smallest doc_id that can be reached over links of at most
-    ``radius`` differing bits (and ``wide_radius`` of 128, where given), the row's own included. A null or empty text
-    has fingerprint zero and is linked like any other; rows with one text share a component; a repeated doc_id gives
-    a row each time; a row with a null doc_id gets a row, its component is null only if it has no other member. An
-    empty table gives an empty one.
+    ``radius`` differing bits (of 128, if ``wide``; see links), the row's own included. A null or empty text has
+    fingerprint zero and is linked like any other; rows with one text share a component; a repeated doc_id gives a row
+    each time; a row with a null doc_id gets a row, its component is null only if it has no other member. An empty table
+    gives an empty one.
     """
-    made = stored(fingerprints(docs, words, wide_radius is not None))
+    made = stored(fingerprints(docs, words, wide))
     entries = stored(made.groupBy("fp", "more").agg(F.min("doc_id").alias("id")))
-    linked = links(entries.where("id is not null"), radius, segments, bucket_limit, wide_radius)
+    linked = links(entries.where("id is not null"), radius, segments, bucket_limit, wide, segment_radius)
     parts = connected_components(linked, "a", "b")
     of_fp = entries.join(parts, entries["id"] == parts["node"], "left").select(
         entries["fp"].alias("fp"), entries["more"].alias("more"), F.coalesce(parts["component_id"], entries["id"]).alias("component_id")

@@ -1,6 +1,6 @@
 import corpus_pipeline as p
 from kinmatch.llm import op05_simhash, op07_quality, op09_toxicity
-from tests.llm.test_simhash import brute
+from tests.llm.test_simhash import brute, linked
 
 
 def test_stages(spark, sf):
@@ -19,9 +19,7 @@ def test_stages(spark, sf):
     assert {r["doc_id"] for r in good.collect()} == left and poor and good.columns == docs.columns
     one = p.near_duplicates(spark, good, sf)
     prints = {r["doc_id"]: (r["fp"], r["more"]) for r in op05_simhash.fingerprints(good, 5, True).collect()}
-    bits = lambda x: bin(x & (1 << 64) - 1).count("1")
-    near = lambda a, b: bits(a[0] ^ b[0]) <= 7 and bits(a[0] ^ b[0]) + bits(a[1] ^ b[1]) <= 18
-    left = set(brute([(k, *v) for k, v in prints.items()], near).values())
+    left = set(brute([(k, *v) for k, v in prints.items()], linked).values())
     kept = [r["doc_id"] for r in one.collect()]
     assert sorted(kept) == sorted(left) and set(one.columns) == set(docs.columns)
     assert len({texts[k] for k in kept}) == len(kept)

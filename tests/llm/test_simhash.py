@@ -52,15 +52,15 @@ def flips(fp, n, rng):
     return fp
 
 
-@pytest.mark.parametrize(("radius", "segments", "wide", "limit"), [(2, 2, None, 64), (2, 2, None, 1), (1, 3, None, 2), (3, 2, None, 1), (7, 4, 18, 64), (7, 4, 18, 1)])
+@pytest.mark.parametrize(("radius", "segments", "wide", "limit"), [(2, 2, False, 64), (2, 2, False, 1), (1, 3, False, 2), (3, 2, False, 1), (7, 4, True, 64), (7, 4, True, 1)])
 def test_links_lose_nothing(spark, radius, segments, wide, limit):
     rng = random.Random(radius)
     seeds = [rng.getrandbits(64) for _ in range(12)]
     fps = {flips(rng.choice(seeds), rng.randint(0, radius), rng) for _ in range(150)} | {0, (1 << 64) - 1}
-    entries = [(i, f, rng.getrandbits(8)) for i, f in enumerate(sorted(fps))]
+    entries = [(i, f, rng.getrandbits(3) if wide else 0) for i, f in enumerate(sorted(fps))]
     df = spark.createDataFrame([(i, o.signed(f), m) for i, f, m in entries], "id long, fp long, more long")
     bits = lambda x: bin(x).count("1")
-    near = lambda a, b: bits(a[0] ^ b[0]) <= radius and bits(a[0] ^ b[0]) + bits(a[1] ^ b[1]) <= (128 if wide is None else wide)
+    near = lambda a, b: bits(a[0] ^ b[0]) + wide * bits(a[1] ^ b[1]) <= radius
     rows = o.links(df, radius, segments, limit, wide).collect()
     by = {i: (f, m) for i, f, m in entries}
     assert all(near(by[r["a"]], by[r["b"]]) for r in rows)
@@ -83,12 +83,37 @@ def test_edge_cases(spark):
     assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.select("doc_id", "text").where("doc_id is null or doc_id < 7").collect()) == [(-1, "q r s t u"), (1, "A B  c\nd"), (2, "")]
 
 
+def linked(a, b, radius=22, segments=4):
+    """The pipeline's links: few differing bits in all, and one segment that differs by one at most."""
+    bits = lambda x: bin(x).count("1")
+    apart = [((x ^ y) & (1 << 64) - 1) for x, y in zip(a, b)]
+    width = 64 // segments
+    return sum(map(bits, apart)) <= radius and any(bits(x >> i * width & (1 << width) - 1) <= 1 for x in apart for i in range(segments))
+
+
 def test_one_stays_of_each_group(spark, sf):
+    from corpus_pipeline import NEAR
+
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    groups = o.near_duplicates(docs, radius=7, words=5, segments=4, wide_radius=18).collect()
+    groups = o.near_duplicates(docs, **NEAR).collect()
     made = {r["doc_id"]: (r["fp"], r["more"]) for r in o.fingerprints(docs, 5, True).collect()}
-    bits = lambda x: bin(x & (1 << 64) - 1).count("1")
-    near = lambda a, b: bits(a[0] ^ b[0]) <= 7 and bits(a[0] ^ b[0]) + bits(a[1] ^ b[1]) <= 18
-    assert {r["doc_id"]: r["component_id"] for r in groups} == brute([(k, *v) for k, v in made.items()], near)
-    kept = {r["doc_id"] for r in o.keep_one_each(docs, radius=7, words=5, segments=4, wide_radius=18).collect()}
+    assert {r["doc_id"]: r["component_id"] for r in groups} == brute([(k, *v) for k, v in made.items()], linked)
+    kept = {r["doc_id"] for r in o.keep_one_each(docs, **NEAR).collect()}
     assert kept == {r["component_id"] for r in groups}
+
+
+def test_near_copies_are_caught(spark):
+    """Of texts with a few words changed, so that 0.85 or more of their shingles are shared, nearly all are linked."""
+    from corpus_pipeline import NEAR
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(rng.randint(120, 400))]
+        rows.append((2 * i, " ".join(words)))
+        for _ in range(len(words) // 70):
+            words[rng.randrange(len(words))] = "changed"
+        rows.append((2 * i + 1, " ".join(words)))
+    got = {r["doc_id"]: r["component_id"] for r in o.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **NEAR).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(60)) >= 54
+    assert all(got[2 * i] == 2 * i for i in range(60))
