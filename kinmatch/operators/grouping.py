@@ -44,9 +44,9 @@ def numbered(groups: DataFrame) -> DataFrame:
 
 def totals(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """One row: total_records, valid_records, duplicate_records and Data_quality_score (0 for an empty table)."""
-    extra = groups.groupBy("group_min").agg((F.count("*") - 1).alias("extra")).agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("duplicate_records"))
-    n = rows.agg(F.count("*").alias("total_records"))
-    both = n.crossJoin(extra)  # of one row each
+    extra = groups.groupBy("group_min").agg((F.count("*") - 1).alias("extra")).agg(F.lit(0).alias("n"), F.coalesce(F.sum("extra"), F.lit(0)).alias("extra"))
+    both = rows.agg(F.count("*").alias("n"), F.lit(0).alias("extra")).unionByName(extra)
+    both = both.agg(F.sum("n").alias("total_records"), F.sum("extra").alias("duplicate_records"))
     valid = F.col("total_records") - F.col("duplicate_records")
     score = F.when(F.col("total_records") == 0, F.lit(0.0)).otherwise(F.round(valid * 100.0 / F.col("total_records"), 2))
     return both.select("total_records", valid.alias("valid_records"), "duplicate_records", score.alias("Data_quality_score"))
