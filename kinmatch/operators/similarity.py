@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Vectors in a block, on average; a task compares two blocks of one key.
 BLOCK = 2048
-#: Blocks that a batch of queries is dealt to; a batch of candidates is small, and one block is sent to all rows.
-QUERY_BLOCKS = 1
+#: Candidates without a key that are compared with all rows at once.
+MOST_QUERIES = 10_000
 
 
 def distinct_texts(rows: DataFrame, text: str, key: str | None = None) -> DataFrame:
@@ -86,17 +86,19 @@ def vector_pairs(rows: DataFrame, id_: str, vector: str, threshold: float, key:
 def vector_probe(candidates: DataFrame, rows: DataFrame, threshold: float, key: bool) -> DataFrame:
     """``(cand, id)``: rows ``(id, v, k)`` whose product with a candidate ``(cand, v, k)`` is at least the threshold.
 
-    With ``key``, an equi-join on k. Without, the candidates are a stated batch of queries against all rows: blocks of it
-    are dealt to blocks of the rows, and a pair of blocks is compared row by row of the batch.
+    With ``key``, an equi-join on k, of any size. Without, the candidates are the stated batch of a request: at most
+    ``MOST_QUERIES``, which is checked, so that it can be sent to all rows; each row is compared with the whole batch.
     """
     from ..functions.vectors import dot
 
     if key:
         on = (F.col("c.k") == F.col("r.k")) & (dot(F.col("c.v"), F.col("r.v")) >= threshold)
         return candidates.alias("c").join(rows.alias("r"), on).select("cand", "id")
-    blocks = candidates.groupBy(F.pmod(F.xxhash64("cand"), F.lit(QUERY_BLOCKS)).alias("b")).agg(F.collect_list(F.struct("cand", "v")).alias("batch"))
-    dealt = rows.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(QUERY_BLOCKS - 1))).cast("long").alias("b")) if QUERY_BLOCKS > 1 else rows.select("id", "v", F.lit(0).cast("long").alias("b"))
-    hits = dealt.join(blocks, "b").select("id", "v", F.explode(F.filter("batch", lambda c: dot(c["v"], F.col("v")) >= threshold)).alias("c"))
+    if candidates.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} candidates without a key: give them in batches")
+    batch = candidates.groupBy(F.lit(0).alias("b")).agg(F.collect_list(F.struct("cand", "v")).alias("batch"))
+    met = rows.select("id", "v", F.lit(0).alias("b")).join(F.broadcast(batch), "b")
+    hits = met.select("id", F.explode(F.filter("batch", lambda c: dot(c["v"], F.col("v")) >= threshold)).alias("c"))
     return hits.select(F.col("c.cand").alias("cand"), "id")
 
 
