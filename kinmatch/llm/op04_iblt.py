@@ -137,20 +137,19 @@ def as_text(cells: Column) -> Column:
     return F.array_join(F.transform(cells, one), "")
 
 
-def _retry(a: Column, b: Column, level: int) -> Column:
+def _retry(a: Column, b: Column, level: Column) -> Column:
     """The number of differing digests from several tables, more of them at a higher level; null on failure."""
-    per = A_TABLE / MORE_TABLES ** (level - 1)
+    per = A_TABLE / F.pow(F.lit(float(MORE_TABLES)), level - 1)
     tables = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), (F.size(a) + F.size(b)) / per)))).cast("long")
-    at = F.lit(level)
 
     def counted(n: Column) -> Column:
-        items = F.concat(F.transform(a, lambda d: _item(d, 1, at, RETRY_CELLS, n)), F.transform(b, lambda d: _item(d, -1, at, RETRY_CELLS, n)))
+        items = F.concat(F.transform(a, lambda d: _item(d, 1, level, RETRY_CELLS, n)), F.transform(b, lambda d: _item(d, -1, level, RETRY_CELLS, n)))
         return _let(
             items,
             lambda all_: F.aggregate(
                 F.sequence(F.lit(0).cast("long"), n - 1),
                 F.lit(0),
-                lambda sum_, t: F.when(sum_.isNotNull(), sum_ + _peel(_table(F.filter(all_, lambda x: x["t"] == t), RETRY_CELLS), at, RETRY_CELLS)),
+                lambda sum_, t: F.when(sum_.isNotNull(), sum_ + _peel(_table(F.filter(all_, lambda x: x["t"] == t), RETRY_CELLS), level, RETRY_CELLS)),
             ),
         )
 
@@ -163,7 +162,8 @@ def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
     sets = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
     total = F.size(a) + F.size(b)
     first = _peel(less, F.lit(0), CELLS)
-    differ = F.coalesce(first, F.when(total < AS_SETS, F.coalesce(_retry(a, b, 1), _retry(a, b, 2))), sets)
+    larger = F.aggregate(F.array(F.lit(1), F.lit(2)), F.lit(None).cast("int"), lambda found, level: F.coalesce(found, _retry(a, b, level)))
+    differ = F.coalesce(first, F.when(total < AS_SETS, larger), sets)
     return _let(differ, lambda d: F.when(total == 0, F.lit(1.0)).otherwise((total - d) / (total + d)))
 
 
@@ -217,11 +217,13 @@ def fingerprints(pairs: DataFrame) -> DataFrame:
 
     Equal texts have equal fingerprints; an empty text's has empty cells and is like another empty text's only.
     """
-    made = pairs.withColumn("a", digests(F.col("text"))).withColumn("e", digests(F.col("edited")))
-    made = made.withColumn("cells", sketch(F.col("a"))).withColumn("cells_e", sketch(F.col("e"))).withColumn("cells_n", sketch(F.col("next_digests")))
+    three = F.array(digests(F.col("text")), digests(F.col("edited")), F.col("next_digests"))
+    made = pairs.withColumn("made", F.transform(three, lambda d: F.struct(d.alias("d"), sketch(d).alias("cells"))))
+    own = F.col("made")[0]
+    near = F.transform(F.slice("made", 2, 2), lambda m: likeness(own["d"], m["d"], own["cells"], m["cells"]))
+    made = made.withColumn("near", near).withColumn("prints", F.transform(F.slice("made", 1, 2), lambda m: as_text(m["cells"])))
     return made.select(
         "doc_id", "text", "edited",
-        as_text(F.col("cells")).alias("fingerprint"), as_text(F.col("cells_e")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("e"), F.col("cells"), F.col("cells_e")).alias("near_edited"),
-        likeness(F.col("a"), F.col("next_digests"), F.col("cells"), F.col("cells_n")).alias("near_next"),
+        F.col("prints")[0].alias("fingerprint"), F.col("prints")[1].alias("edited_fingerprint"),
+        F.col("near")[0].alias("near_edited"), F.col("near")[1].alias("near_next"),
     )
