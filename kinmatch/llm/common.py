@@ -19,20 +19,29 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in columns.items()])
 
 
+#: Arrow bytes whose rows are turned into Python values at a time, so that a batch isn't held twice.
+SLICE_BYTES = 8_000_000
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about SLICE_BYTES, of a row at least."""
+    step = max(1, int(len(batch) * SLICE_BYTES / max(1, batch.nbytes)))
+    return (batch.slice(at, step) for at in range(0, len(batch), step))
+
+
 def map_arrow(
     df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, Iterable]]], schema: T.StructType
 ) -> DataFrame:
-    """Apply a function of Python lists, made once a task by ``make()``, to each Arrow batch; ``schema`` is what it returns."""
+    """Apply a function of Python lists, made once a task by ``make()``, to parts of each Arrow batch; ``schema`` is what it returns."""
     out = pa.schema([(f.name, ARROW[type(f.dataType)]) for f in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = None
         for batch in batches:
             each = each or make()
-            made = each({n: batch.column(n).to_pylist() for n in batch.schema.names})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(made[f.name], type=f.type) for f in out], schema=out
-            )
+            for part in slices(batch):
+                made = each({n: part.column(n).to_pylist() for n in part.schema.names})
+                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
 
@@ -45,7 +54,8 @@ def filter_arrow(df: DataFrame, column: str, make: Callable[[], Callable[[list],
         for batch in batches:
             accept = accept or make()
             at = batch.schema.get_field_index(column)
-            yield batch.filter(pa.array(accept(batch.column(at).to_pylist()), pa.bool_()))
+            for part in slices(batch):
+                yield part.filter(pa.array(accept(part.column(at).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

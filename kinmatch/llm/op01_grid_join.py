@@ -46,8 +46,23 @@ def directions(sample: np.ndarray) -> np.ndarray:
     return basis[:, ::-1][:, :LEADING]
 
 
+def leading(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """The coordinates that make up the order and the boxes."""
+    return x @ basis if x.shape[1] == len(basis) else x[:, :LEADING]
+
+
+def as_bytes(v: np.ndarray) -> bytes:
+    """A vector's numbers, in single precision if that keeps them."""
+    single = v.astype("<f4")
+    return single.tobytes() if (single == v).all() else v.astype("<f8").tobytes()
+
+
+def from_bytes(vecs: list[bytes], dim: int) -> np.ndarray:
+    return np.array([np.frombuffer(v, dtype="<f4" if len(v) == 4 * dim else "<f8") for v in vecs], dtype=np.float64).reshape(-1, dim)
+
+
 def _place(reps: DataFrame, basis: np.ndarray, eps: float) -> DataFrame:
-    """``(key, dim, id, w, vec, at)``: the key orders vectors by their dimension and cells; ``at`` has the coordinates."""
+    """``(key, dim, id, w, vec)``: the key orders vectors by their dimension and cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -56,9 +71,8 @@ def _place(reps: DataFrame, basis: np.ndarray, eps: float) -> DataFrame:
             for i, v in enumerate(vs):
                 by_dim.setdefault(len(v), []).append(i)
             for dim, rows in by_dim.items():
-                x = unit([vs[i] for i in rows])
-                at = x @ basis if dim == len(basis) else x[:, :LEADING]
-                cells = np.floor(at / eps).astype(np.int64) + (1 << 15)
+                raw = np.array([vs[i] for i in rows])
+                cells = np.floor(leading(unit(raw), basis) / eps).astype(np.int64) + (1 << 15)
                 keys = np.column_stack([np.full(len(rows), dim), np.clip(cells, 0, 65535)]).astype(">u2")
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -66,13 +80,12 @@ def _place(reps: DataFrame, basis: np.ndarray, eps: float) -> DataFrame:
                         pa.array([dim] * len(rows), pa.int32()),
                         pa.array([ids[i] for i in rows], pa.int64()),
                         pa.array([ws[i] for i in rows], pa.int64()),
-                        pa.array([v.tobytes() for v in x], pa.binary()),
-                        pa.array([v.tobytes() for v in at], pa.binary()),
+                        pa.array([as_bytes(v) for v in raw], pa.binary()),
                     ],
-                    names=["key", "dim", "id", "w", "vec", "at"],
+                    names=["key", "dim", "id", "w", "vec"],
                 )
 
-    return reps.mapInArrow(run, "key binary, dim int, id long, w long, vec binary, at binary")
+    return reps.mapInArrow(run, "key binary, dim int, id long, w long, vec binary")
 
 
 def _number(placed: DataFrame) -> DataFrame:
@@ -85,7 +98,7 @@ def _number(placed: DataFrame) -> DataFrame:
             yield b.append_column("row", pa.array(range(n, n + len(b)), pa.int64()))
             n += len(b)
 
-    schema = "key binary, dim int, id long, w long, vec binary, at binary, part int, row long"
+    schema = "key binary, dim int, id long, w long, vec binary, part int, row long"
     spread = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = placed.repartitionByRange(spread, "key", "id").sortWithinPartitions("key", "id")
     rows = stored(ordered.mapInArrow(run, schema))
@@ -94,31 +107,31 @@ def _number(placed: DataFrame) -> DataFrame:
     return rows.join(sizes.select("part", before.alias("skip")), "part").withColumn("pos", F.col("row") + F.col("skip"))
 
 
-def _pack(table: pa.Table) -> pa.Table:
-    """The rows of a block, in order, as one row for each dimension, with the box of its coordinates."""
-    table = table.sort_by("pos")
-    dims = table.column("dim").to_numpy()
-    out = []
-    for dim in np.unique(dims):
-        part = table.filter(pa.array(dims == dim))
-        at = np.frombuffer(b"".join(part.column("at").to_pylist()), dtype="<f8").reshape(len(part), -1)
-        out.append(
-            {
-                "block": part.column("block")[0].as_py(), "dim": int(dim), "n": len(part),
-                "ids": part.column("id").to_numpy().astype("<i8").tobytes(), "ws": part.column("w").to_numpy().astype("<i8").tobytes(),
-                "vecs": b"".join(part.column("vec").to_pylist()), "ats": at.tobytes(),
-                "lo": at.min(axis=0).tolist(), "hi": at.max(axis=0).tolist(),
-            }
-        )
-    return pa.Table.from_pylist(out, schema=_BLOCK)
+def _packer(basis: np.ndarray):
+    def pack(table: pa.Table) -> pa.Table:
+        """The rows of a block, in order, as one row for each dimension, with the box of its coordinates."""
+        table = table.sort_by("pos")
+        dims = table.column("dim").to_numpy()
+        out = []
+        for dim in np.unique(dims).tolist():
+            part = table.filter(pa.array(dims == dim))
+            at = leading(unit(from_bytes(part.column("vec").to_pylist(), dim)), basis)
+            out.append(
+                {
+                    "block": part.column("block")[0].as_py(), "dim": dim,
+                    **{c: part.column(c).to_pylist() for c in ("id", "w", "vec")}, "lo": at.min(axis=0).tolist(), "hi": at.max(axis=0).tolist(),
+                }
+            )
+        return pa.Table.from_pylist(out, schema=_BLOCK)
+
+    return pack
 
 
 _BLOCK = pa.schema(
-    [("block", pa.int64()), ("dim", pa.int32()), ("n", pa.int64())]
-    + [(c, pa.binary()) for c in ("ids", "ws", "vecs", "ats")]
+    [("block", pa.int64()), ("dim", pa.int32()), ("id", pa.list_(pa.int64())), ("w", pa.list_(pa.int64())), ("vec", pa.list_(pa.binary()))]
     + [(c, pa.list_(pa.float64())) for c in ("lo", "hi")]
 )
-_BLOCK_SQL = "block long, dim int, n long, ids binary, ws binary, vecs binary, ats binary, lo array<double>, hi array<double>"
+_BLOCK_SQL = "block long, dim int, id array<long>, w array<long>, vec array<binary>, lo array<double>, hi array<double>"
 
 
 def _pairs(blocks: DataFrame, eps: float) -> DataFrame:
@@ -217,17 +230,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int | Non
     basis = directions(unit([v for v in sample if len(v) == dim])) if sample else np.eye(1)
     block = block or max(1024, min(8192, n // 12))
     numbered = _number(_place(reps, basis, eps)).withColumn("block", F.floor(F.col("pos") / block).cast("long"))
-    blocks = stored(numbered.select("block", "pos", "dim", "id", "w", "vec", "at").groupBy("block").applyInArrow(_pack, _BLOCK_SQL))
+    blocks = stored(numbered.select("block", "pos", "dim", "id", "w", "vec").groupBy("block").applyInArrow(_packer(basis), _BLOCK_SQL))
     pairs = _pairs(blocks.select("block", "dim", "lo", "hi"), eps)
     sides = pairs.select("i", "j", "dim", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    dealt = sides.join(blocks.select("block", "dim", "ids", "ws", "vecs", "ats"), ["block", "dim"])
+    dealt = sides.join(blocks.select("block", "dim", "id", "w", "vec"), ["block", "dim"])
 
     def compare(table: pa.Table) -> pa.Table:
         made = []
         for r in sorted(table.to_pylist(), key=lambda r: r["block"]):
-            ids, ws = (np.frombuffer(r[c], dtype="<i8") for c in ("ids", "ws"))
-            vec, at = (np.frombuffer(r[c], dtype="<f8").reshape(len(ids), -1) for c in ("vecs", "ats"))
-            made.append({"ids": ids, "ws": ws, "vec": vec, "at": at})
+            x = unit(from_bytes(r["vec"], r["dim"]))
+            made.append({"ids": np.array(r["id"]), "ws": np.array(r["w"]), "vec": x, "at": leading(x, basis)})
         counts, links = join_blocks(made[0], made[1] if len(made) > 1 else None, threshold, eps)
         a = [x for x, _ in counts] + [x for x, _ in links]
         b = [None] * len(counts) + [y for _, y in links]

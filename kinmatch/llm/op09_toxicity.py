@@ -235,14 +235,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     sample = stored(sample.dropDuplicates(["text", "label"]))  # copies of a document are no further evidence for its words
     sizes = {(r["fold"], r["label"]): r["n"] for r in sample.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
     counts = stored(count_terms(sample))
+    n = lambda label, *folds: sum(sizes.get((f, label), 0) for f in folds)
+    n_pos, n_neg = max(1, n(1, 0, 1)), max(1, n(0, 0, 1))
     pos, neg = F.col("pos0") + F.col("pos1"), F.col("neg0") + F.col("neg1")
-    # words of the sample that are worth a look: bounded by it, and those that occur where toxic documents have them
-    worth = counts.where((pos >= LEAST_DOCS) & (pos * max(1, totals.get(0, 0)) > neg * max(1, totals.get(1, 0))))
-    stems = counts.where(F.col("term").endswith("*") & (pos >= 2 * LEAST_DOCS) & (pos * 4 > neg)).select(F.expr("left(term, length(term) - 1)").alias("stem"))
-    near = counts.where(~F.col("term").endswith("*")).withColumn("stem", F.explode(F.transform(F.array(*[F.lit(n) for n in PREFIXES]), lambda n: F.left("term", n))))
+    share = (pos + neg) / (n_pos + n_neg)
+    z = (pos / n_pos - neg / n_neg) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n_pos + 1 / n_neg))
+    # only terms that toxic documents have clearly more often come to the driver, and words that begin like those
+    marked = counts.where((pos >= LEAST_DOCS) & (z >= LEAST_Z - 0.5) & (pos / n_pos >= 3 * neg / n_neg))
+    worth = marked.unionByName(counts.where(F.col("term").isin(*INSULTS)))
+    stems = marked.where(F.col("term").endswith("*")).select(F.expr("left(term, length(term) - 1)").alias("stem"))
+    near = counts.where(~F.col("term").endswith("*")).withColumn("stem", F.explode(F.transform(F.array(*[F.lit(k) for k in PREFIXES]), lambda k: F.left("term", k))))
     near = near.join(stems, "stem", "left_semi").drop("stem")
     rows = [tuple(r) for r in worth.unionByName(near).distinct().collect()]
-    n = lambda label, *folds: sum(sizes.get((f, label), 0) for f in folds)
     whole = lexicon([(t, a + c, b + d) for t, a, b, c, d in rows], n(1, 0, 1), n(0, 0, 1))
     halves = [lexicon([(t, c, d) for t, a, b, c, d in rows], n(1, 1), n(0, 1)), lexicon([(t, a, b) for t, a, b, c, d in rows], n(1, 0), n(0, 0))]
     given = [(g.words, g.prefixes) for g in halves]

@@ -23,7 +23,7 @@ BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in
 class WordBpe:
     """Encodes texts; keeps the ids of at most ``cache`` chunks between white space, of at most ``longest`` characters."""
 
-    def __init__(self, path: str, cache: int = 700_000, longest: int = 48):
+    def __init__(self, path: str, cache: int = 450_000, longest: int = 48):
         self.library = Tokenizer.from_file(path)
         self.merge = self.library.model.tokenize
         self.four = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
