@@ -13,11 +13,12 @@ def _signature(edges: DataFrame) -> tuple:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Links each node's larger neighbours to the least of all its neighbours and itself; a row for each link."""
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
         edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     )
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("lo"), F.least("u", "m").alias("m"))
+    return edges.join(least, "lo").select("hi", F.col("m").alias("lo")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     )
     before = _signature(known)
     while before[0]:
-        known = durable(_small_star(_large_star(known)))
+        known = durable(_small_star(durable(_large_star(known))))
         after = _signature(known)
         if after == before:
             break
