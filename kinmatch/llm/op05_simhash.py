@@ -12,7 +12,6 @@ each pair is a task that returns only the links that connect what it has found.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -175,20 +174,16 @@ def links(
     """
     tables = plan_segments(radius, segments, wide, segment_radius)
 
-    def key(word: str, shift: int, width: int):
-        return F.shiftrightunsigned(word, shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
+    def keys(each) -> DataFrame:
+        """A row for each of an entry's segments and what ``each`` makes of the segment's bits."""
+        made = []
+        for i, (word, shift, width, r) in enumerate(tables):
+            bits = F.shiftrightunsigned(word, shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
+            made.append(F.transform(each(bits, width, r), lambda k, i=i: F.struct(F.lit(i).alias("segment"), k.alias("key"))))
+        return entries.select(F.explode(F.flatten(F.array(*made))).alias("s"), "id", "fp", "more").select("s.segment", "s.key", "id", "fp", "more")
 
-    table = reduce(
-        DataFrame.unionByName,
-        [entries.select(F.lit(i).alias("segment"), key(*at).alias("key"), "id", "fp", "more") for i, (*at, _) in enumerate(tables)],
-    )
-    probes = reduce(
-        DataFrame.unionByName,
-        [
-            entries.select(F.lit(i).alias("segment"), F.explode(_around(key(*at), ball(at[2], r))).alias("key"), "id", "fp", "more")
-            for i, (*at, r) in enumerate(tables)
-        ],
-    )
+    table = keys(lambda bits, width, r: F.array(bits))
+    probes = keys(lambda bits, width, r: _around(bits, ball(width, r)))
     full = stored(table.groupBy("segment", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_limit))
     apart = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("t.fp"))) + F.bit_count(F.col("p.more").bitwiseXOR(F.col("t.more")))
     found = (
