@@ -176,10 +176,12 @@ def links(
 
     def keys(each) -> DataFrame:
         """A row for each of an entry's segments and what ``each`` makes of the segment's bits."""
-        made = []
-        for i, (word, shift, width, r) in enumerate(tables):
+
+        def of_segment(i: int, word: str, shift: int, width: int, r: int):
             bits = F.shiftrightunsigned(word, shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
-            made.append(F.transform(each(bits, width, r), lambda k, i=i: F.struct(F.lit(i).alias("segment"), k.alias("key"))))
+            return F.transform(each(bits, width, r), lambda k: F.struct(F.lit(i).alias("segment"), k.alias("key")))
+
+        made = [of_segment(i, *t) for i, t in enumerate(tables)]
         return entries.select(F.explode(F.flatten(F.array(*made))).alias("s"), "id", "fp", "more").select("s.segment", "s.key", "id", "fp", "more")
 
     table = keys(lambda bits, width, r: F.array(bits))
