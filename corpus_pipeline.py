@@ -9,13 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmatch.llm import op02_packing, op05_simhash, op07_quality, op09_toxicity
+from kinmatch.llm import op02_packing, op05_shingles, op07_quality, op09_toxicity
 from kinmatch.llm.common import shared_dir
 from kinmatch.sources.ship import ship
 
-#: Near copies: fingerprints of five-word shingles that differ in at most 22 of 128 bits, as those of shingle sets with a
-#: similarity of 0.775 do on average (128 * acos(2 * 0.775 / 1.775) / pi) and 0.8 in four of five cases; candidates differ in
-#: one of eight segments by at most one bit, which all do that differ in at most 15 bits, and nine of ten at 0.8.
+#: Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, all of them.
+SIMILAR = {"words": 5, "similarity": 0.8}
+#: Links by fingerprints alone, which the stage doesn't take any more: they lose pairs of 0.8 and link others of far less.
 NEAR = {"words": 5, "radius": 22, "segments": 8, "wide": True, "segment_radius": 1}
 
 
@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op05_simhash.keep_one_each(docs, **NEAR)
+    return op05_shingles.keep_one_each(docs, **SIMILAR)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
