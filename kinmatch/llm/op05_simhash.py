@@ -125,8 +125,11 @@ def _met_halfway(crowd: DataFrame) -> DataFrame:
     return met.select(F.col("m")[0].alias("a"), F.explode(F.slice("m", 2, BITS + 1)).alias("b"))
 
 
-def _in_blocks(crowd: DataFrame, full: DataFrame, radius: int) -> DataFrame:
-    """Links that connect those within the radius in each full bucket, from a task for each pair of its blocks."""
+def _in_blocks(crowd: DataFrame, full: DataFrame, radius: int, tables: list[tuple[str, int, int, int]]) -> DataFrame:
+    """Links that connect those within the radius in each full bucket, from a task for each pair of its blocks.
+
+    As in a bucket that isn't full, the bucket's segment differs by its own radius at most.
+    """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     placed = crowd.join(full, ["segment", "key"]).withColumn("blocks", blocks)
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -138,13 +141,15 @@ def _in_blocks(crowd: DataFrame, full: DataFrame, radius: int) -> DataFrame:
     def compare(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         fp, more = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "more"))  # bits of negative numbers count differently
+        word, shift, width, most = tables[table.column("segment")[0].as_py()]
+        part = (fp if word == "fp" else more) >> np.uint64(shift) & np.uint64((1 << width) - 1)
         left = np.argsort(ids, kind="stable")
         a, b = [], []
         while len(left):
             at, left, reached = left[0], left[1:], []
             while True:
                 apart = np.bitwise_count(fp[left] ^ fp[at]).astype(int) + np.bitwise_count(more[left] ^ more[at])
-                near = apart <= radius
+                near = (apart <= radius) & (np.bitwise_count(part[left] ^ part[at]) <= most)
                 a += [int(ids[at])] * int(near.sum())
                 b += ids[left[near]].tolist()
                 reached += left[near].tolist()
@@ -197,7 +202,7 @@ def links(
     if full.isEmpty():
         return found.distinct()
     crowd = probes.join(full.select("segment", "key"), ["segment", "key"], "left_semi")
-    return found.unionByName(_met_halfway(crowd) if radius == 2 and not wide else _in_blocks(crowd, full, radius)).distinct()
+    return found.unionByName(_met_halfway(crowd) if radius == 2 and not wide else _in_blocks(crowd, full, radius, tables)).distinct()
 
 
 def near_duplicates(

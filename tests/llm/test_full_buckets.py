@@ -1,0 +1,14 @@
+import pytest
+
+from kinmatch.llm import op05_simhash as o
+
+
+@pytest.mark.parametrize("limit", [64, 1])
+def test_narrow_balls_link_the_same_in_full_buckets(spark, limit):
+    """Three that differ from one another by two bits in a segment, each by one from a fourth's segment that is far in the rest."""
+    far = (1 << 48) - 1 << 16
+    entries = [(1, 0b011, 0b1 << 40), (2, 0b110, 0b1 << 41), (3, 0b010 | far, 0), (4, far | 0b010 | 1 << 63, 0)]
+    entries = [(i, f ^ (0x0003_0003_0003 << 16) * (i == 2), m ^ (0x0003_0003_0003_0003 * (i == 2))) for i, f, m in entries]
+    df = spark.createDataFrame([(i, o.signed(f), m) for i, f, m in entries], "id long, fp long, more long")
+    rows = o.links(df, 22, 8, limit, True, 1).collect()
+    assert {(r["a"], r["b"]) for r in rows} == {(3, 4)}
