@@ -164,6 +164,20 @@ def item_bulk_groups(spark: SparkSession, d: str) -> DataFrame:
     return grouping.smallest_first(_bulk(spark, d)[0]).select("representative", F.array_join("duplicates", ",").alias("duplicates"))
 
 
+def _bulk_whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All rows as a batch against the whole main table and approval queue."""
+    items = views.items(spark, d).select("row_no", "text", "numeric")
+    return reports.bulk(items, views.located(items, views.approval(items)))
+
+
+def item_bulk_check_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _bulk_whole(spark, d)[1]
+
+
+def item_bulk_groups_whole(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.smallest_first(_bulk_whole(spark, d)[0]).select("representative", F.array_join("duplicates", ",").alias("duplicates"))
+
+
 def catalog_probe(spark: SparkSession, d: str) -> DataFrame:
     """Codes similar to candidates: main codes are brands, sub codes types."""
     part = views.table(spark, d, "part")
@@ -208,7 +222,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             clean_str, normalize_identifier, uom_canonical, item_text_numeric_split, item_normalize_full, item_scan_ordered, catalog_scan,
             approval_union, rows_round_trip, vector_pairs_blocked, vector_pairs_unblocked, vector_exact_groups, vector_components, vector_probe,
             item_duplicate_report, item_duplicate_report_nested, item_quality_score, item_column_status, item_variant_probe, item_bulk_check,
-            item_bulk_groups, catalog_probe, uom_cascade, next_refresh_slot, spell_correct, embedding_refresh_summary,
+            item_bulk_groups, item_bulk_check_whole, item_bulk_groups_whole, catalog_probe, uom_cascade, next_refresh_slot, spell_correct, embedding_refresh_summary,
         )
     }
 
