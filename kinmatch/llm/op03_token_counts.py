@@ -18,15 +18,16 @@ from .unicode_classes import SPACE
 
 #: A word is a run of letters, digits and underscores, or any other character that isn't white space.
 WORDS = re.compile(rf"\w+|[^\w{SPACE}\s]").findall
-#: Longer words are one unknown piece, as is usual for word pieces.
+#: The limit that is usual for word pieces, beyond which a word is one unknown piece; for ``longest``, not taken by default.
 MAX_WORD = 100
 DEAD = -1
 
 
 class LongestMatch:
-    """The automaton. ``begin`` and ``inner`` are the pieces that words begin and go on with."""
+    """The automaton. ``begin`` and ``inner`` are the pieces that words begin and go on with; words over ``longest`` characters are one unknown piece."""
 
-    def __init__(self, begin: set[str], inner: set[str], cache: int = 500_000):
+    def __init__(self, begin: set[str], inner: set[str], cache: int = 500_000, longest: int | None = None):
+        self.longest = longest
         self.arcs: list[dict[str, int]] = [{}, {}]  # node 0 is where words begin, 1 where they go on
         whole = [False, False]
         for root, pieces in ((0, begin), (1, inner)):
@@ -60,7 +61,7 @@ class LongestMatch:
 
     def pieces(self, word: str) -> int:
         """How many pieces greedy longest match cuts a word into; one, the unknown piece, if it can't."""
-        if len(word) > MAX_WORD:
+        if self.longest is not None and len(word) > self.longest:
             return 1
         arcs, fail, popped = self.arcs, self.fail, self.popped
         at = n = 0
