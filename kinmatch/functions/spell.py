@@ -11,22 +11,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .uom import UNITS, aliases, key, labels
+from .uom import UNITS, aliases, key
 
 # Tokens of the domain, which are never corrected.
-MATERIALS = frozenset(
-    "MS SS GI PVC PPR BRASS COPPER ALUMINUM ALUMINIUM STEEL IRON RUBBER PLASTIC NYLON PE HDPE LDPE POLYESTER COTTON NEOPRENE FORGED FORGE "
-    "CAST STAINLESS GALVANIZED CHROME ZINC BRONZE CERAMIC CARBON FIBER FIBRE ACRYLIC LEATHER FOAM SPONGE WOOD GLASS SILICONE TEFLON MILD "
-    "GALV CI WI MONEL INCONEL TITANIUM ALLOY COMPOSITE SYNTHETIC ABS PU".split()
-)
-COLORS = frozenset(
-    "RED BLUE GREEN WHITE BLACK YELLOW GREY GRAY BROWN ORANGE PURPLE PINK SILVER GOLD VIOLET BEIGE NAVY MAROON IVORY CREAM TEAL CYAN MAGENTA "
-    "LIME OLIVE INDIGO TURQUOISE CORAL SALMON KHAKI TRANSPARENT CLEAR GLOSSY MATTE SATIN METALLIC".split()
-)
-DIMENSIONS = frozenset(
-    "THICKNESS LENGTH WIDTH HEIGHT DIA DIAMETER OD ID SIZE PITCH BORE GAUGE SCHEDULE SCH WEIGHT CAPACITY RATING PRESSURE TEMP TEMPERATURE "
-    "VOLTAGE CURRENT POWER FREQ FREQUENCY SPEED FLOW STROKE TRAVEL RANGE SPAN W L H D T R".split()
-)
+MATERIALS = {
+    "MS", "SS", "GI", "PVC", "PPR", "BRASS", "COPPER", "ALUMINUM", "ALUMINIUM", "STEEL", "IRON", "RUBBER", "PLASTIC", "NYLON",
+    "PE", "HDPE", "LDPE", "POLYESTER", "COTTON", "NEOPRENE", "FORGED", "FORGE", "CAST", "STAINLESS", "GALVANIZED", "CHROME",
+    "ZINC", "BRONZE", "CERAMIC", "CARBON", "FIBER", "FIBRE", "ACRYLIC", "LEATHER", "FOAM", "SPONGE", "WOOD", "GLASS", "SILICONE",
+    "TEFLON", "MILD", "GALV", "CI", "WI", "MONEL", "INCONEL", "TITANIUM", "ALLOY", "COMPOSITE", "SYNTHETIC", "ABS", "PU",
+}
+COLORS = {
+    "RED", "BLUE", "GREEN", "WHITE", "BLACK", "YELLOW", "GREY", "GRAY", "BROWN", "ORANGE", "PURPLE", "PINK", "SILVER", "GOLD",
+    "VIOLET", "BEIGE", "NAVY", "MAROON", "IVORY", "CREAM", "TEAL", "CYAN", "MAGENTA", "LIME", "OLIVE", "INDIGO", "TURQUOISE",
+    "CORAL", "SALMON", "KHAKI", "TRANSPARENT", "CLEAR", "GLOSSY", "MATTE", "SATIN", "METALLIC",
+}
+DIMENSIONS = {
+    "THICKNESS", "LENGTH", "WIDTH", "HEIGHT", "DIA", "DIAMETER", "OD", "ID", "SIZE", "PITCH", "BORE", "GAUGE", "SCHEDULE", "SCH",
+    "WEIGHT", "CAPACITY", "RATING", "PRESSURE", "TEMP", "TEMPERATURE", "VOLTAGE", "CURRENT", "POWER", "FREQ", "FREQUENCY",
+    "SPEED", "FLOW", "STROKE", "TRAVEL", "RANGE", "SPAN", "W", "L", "H", "D", "T", "R",
+}
 MOST_EDITS = 2
 
 
@@ -72,7 +75,7 @@ class Speller:
 
 def uom_tokens() -> frozenset[str]:
     """Keys of units, of their labels and of each word of these."""
-    parts = {key(p) for unit, written in UNITS.items() for label in [unit, *labels(written)] for p in [label, *label.split()]}
+    parts = {key(p) for unit, labels in UNITS.items() for label in [unit, *labels] for p in [label, *label.split()]}
     return frozenset(parts | set(aliases()))
 
 

@@ -54,7 +54,7 @@ PRODUCT = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 BULK = f"""WITH RECURSIVE {ITEM}, batch AS (SELECT * FROM item WHERE row_no % 4 = 1), {clusters('batch', 0.985)},
   cand AS (SELECT row_no AS cand, txt, num FROM batch WHERE row_no NOT IN (SELECT row_no FROM grp WHERE row_no <> group_min)),
   place AS (SELECT 'db' AS location, row_no, txt, num FROM item WHERE row_no % 4 = 2 UNION ALL SELECT 'approval', row_no, txt, num FROM item WHERE row_no % 20 = 0),
-  {probe(0.74)}"""
+  {probe(0.75)}"""
 CASES = " ".join(f"WHEN {i} THEN '{u}'" for i, u in enumerate(UNITS_EXPECTED))
 #: What the cascade finds for each label of UNITS, and for a last one that only a similar label matches.
 CASCADE = {0: [1], 1: [1], 2: [6], 3: [6], 4: [3], 10: [2], len(UNITS): [4, 5]}
@@ -83,7 +83,7 @@ SQL = {
     "item_duplicate_report": f"{ITEM_CLUSTERS} SELECT 'DUP_' || dense_rank() OVER (ORDER BY group_min) AS group_id, row_no, ITEM_TYPE, MAINGROUP, SUBGROUP, ITEMDESC FROM grp JOIN item USING (row_no)",
     "item_quality_score": f"{ITEM_CLUSTERS}, x AS (SELECT count(*) - count(DISTINCT group_min) AS dup FROM grp), t AS (SELECT count(*) AS n FROM item) SELECT n AS total_records, n - dup AS valid_records, dup AS duplicate_records, round(100.0::DOUBLE * (n - dup) / n, 2) AS Data_quality_score FROM x, t",
     "item_column_status": f"{ITEM_CLUSTERS} SELECT group_min, " + ", ".join(f"CASE WHEN count(DISTINCT lower(trim({c}))) = 1 THEN 'exact' ELSE 'different' END AS {c}" for c in ("ITEM_TYPE", "MAINGROUP", "SUBGROUP")) + ", 'different' AS ITEMDESC FROM grp JOIN item USING (row_no) GROUP BY group_min",
-    "item_variant_probe": f"WITH {ITEM}, i AS (SELECT row_no, txt, num FROM item), {LOCATED.format(s='i')}, cand AS (SELECT * FROM (VALUES (1::BIGINT, 'SMALL ring mm', '11'), (2, 'red bolt small MM', '28'), (3, '', '')) t(cand, txt, num)), {probe(0.74)} SELECT * FROM m",
+    "item_variant_probe": f"WITH {ITEM}, i AS (SELECT row_no, txt, num FROM item), {LOCATED.format(s='i')}, cand AS (SELECT * FROM (VALUES (1::BIGINT, 'SMALL ring mm', '11'), (2, 'red bolt small MM', '28'), (3, '', '')) t(cand, txt, num)), {probe(0.75)} SELECT * FROM m",
     "item_bulk_check": f"{BULK}, n AS (SELECT cand, count(*) AS n FROM m GROUP BY cand) SELECT cand.cand AS pos, CASE WHEN n.n > 0 THEN 'duplicate' ELSE 'unique' END AS status, coalesce(n.n, 0) AS n_matches FROM cand LEFT JOIN n USING (cand)",
     "item_bulk_groups": f"{BULK} SELECT group_min AS representative, string_agg(row_no, ',' ORDER BY row_no) FILTER (row_no <> group_min) AS duplicates FROM grp GROUP BY group_min",
     "catalog_probe": f"WITH u AS (SELECT 'main' AS location, p_brand AS txt FROM part UNION ALL SELECT 'sub', p_type FROM part), place AS (SELECT location, count(*) AS row_no, txt, '' AS num FROM u GROUP BY location, txt), cand AS (SELECT * FROM (VALUES (1::BIGINT, 'brand#7', ''), (2, 'Economy', ''), (3, 'Brand#7 Economy', ''), (4, '!!!', '')) t(cand, txt, num)), {probe(0.97)} SELECT * FROM m",

@@ -12,7 +12,7 @@ from ..operators.grouping import first_of_each, groups_of_texts
 from ..operators.similarity import distinct_texts, token_pairs, token_weights, vector_pairs
 from ..sources.shared import stored
 
-ITEM_CLUSTER, ITEM_PROBE = 0.985, 0.74
+ITEM_CLUSTER, ITEM_PROBE = 0.985, 0.75
 VENDOR_CLUSTER, NAME_PROBE = 0.9, 0.97
 
 

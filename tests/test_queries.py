@@ -1,4 +1,9 @@
+import os
+import shutil
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -54,3 +59,21 @@ def test_entry_without_training_data_operators(spark):
     assert entry.entry(spark).count() >= 0
     assert set(catalog.queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("gone", [["kinmatch/llm"], ["kinmatch/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_entry_imports_where_folders_are_gone(tmp_path, gone):
+    """On a copy of the repository without the training-data operators, or the pipeline, or both."""
+    home = Path(__file__).resolve().parents[1]
+    shutil.copytree(home / "kinmatch", tmp_path / "kinmatch", ignore=shutil.ignore_patterns("__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (home / name).exists():
+            shutil.copy(home / name, tmp_path / name)
+    for name in gone:
+        there = tmp_path / name
+        shutil.rmtree(there, ignore_errors=True) if there.is_dir() else there.unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; print(sorted(e.queries()), sorted(e.oracle_sql()))"
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    assert got.returncode == 0, got.stderr
+    assert ("'pipeline'" in got.stdout) == (not gone) and all(f"'{q}'" in got.stdout for q in catalog.queries())
+    assert ("op5_simhash" in got.stdout) == ("kinmatch/llm" not in gone and (home / "kinmatch/llm").exists())
