@@ -1,19 +1,19 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint is cut into segments. Two fingerprints within ``radius`` bits differ by few bits in at least one
-segment (pigeonhole), so each fingerprint enumerates the small Hamming ball around its segments, fetches the
-fingerprints with such a segment from that segment's table, and the complete distance is verified. Equal fingerprints
-are one entry. A segment's bucket over ``bucket_limit`` entries isn't paired row by row; two exact ways find what it
-holds without a row for each pair. Up to a radius of 2, those that probe it meet at the fingerprints one bit away from
-both (such a meeting holds one Hamming ball at most). Otherwise they are compared in blocks of bounded size, of which
-each pair is a task that returns only the links that connect what it has found.
+A fingerprint of one or two 64-bit words is cut into segments. Two fingerprints within ``radius`` bits differ by few bits
+in at least one segment (pigeonhole). Each fingerprint enumerates the small Hamming ball around each of its segments;
+fingerprints meet in the table of a segment at the values that lie in the balls of both, and the complete distance is
+verified. A ball of half the segment's radius is enough on either side: two values at most 2 bits apart share one that is
+at most one bit from both. Equal fingerprints are one entry.
+
+A table is dealt out by the leading bits of its segment, so that a task holds a share of bounded size, enumerates the
+rest of the balls itself and meets there all that is in its share; a share that is too large (a hot group) is cut into
+blocks, of which each pair is a task. A task returns only links that connect what it has found, one for an entry at
+most, so that a group of n near copies gives in the order of n links, however many pairs it has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,9 +26,12 @@ from kinmatch.operators.components import connected_components
 
 BITS = 64
 SHINGLE_SEED = 42
-BUCKET_LIMIT = 64
-#: Entries of a block, on average, when a full bucket is compared in blocks.
-BLOCK = 2048
+#: Entries of a share of a table that a task takes, about; and leading bits by which a table is dealt out, at least.
+SHARE, LEAST_PREFIX = 1 << 18, 4
+#: Members of a bucket from which a common group of most of them is told from the others.
+CROWD = 256
+#: Pairs that are held before they are joined to groups.
+HELD = 1 << 20
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -67,192 +70,196 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, words: int = 3, wide: bool = False) -> DataFrame:
-    """``(doc_id, fp, more)``: the fingerprint of each row's whole text as a signed long; a null text counts as empty.
-
-    ``more`` has 64 further bits of the fingerprint where ``wide``, else 0.
-    """
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """``(doc_id, fp)``: the fingerprint of each row's whole text as a signed long; a null text counts as empty."""
 
     def make():
         def each(batch):
-            hashes = [shingle_hashes(t, words) for t in batch["text"]]
-            more = [signed(majority(remixed(h))) for h in hashes] if wide else [0] * len(hashes)
-            return {"doc_id": batch["doc_id"], "fp": [signed(majority(h)) for h in hashes], "more": more}
+            return {"doc_id": batch["doc_id"], "fp": [signed(fingerprint(t, words)) for t in batch["text"]]}
 
         return each
 
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "fp", "more")])
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "fp")])
     return map_arrow(only(docs, doc_id="long", text="string"), make, schema)
 
 
-def ball(width: int, radius: int) -> list[int]:
-    """All masks of ``width`` bits with at most ``radius`` of them set."""
-    return [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)]
+def plan_segments(radius: int, segments: int, words: int = 1) -> list[tuple[int, int, int, int]]:
+    """(word, shift, width, ball) of each segment that needs a table, by the pigeonhole principle.
 
-
-def plan_segments(radius: int, segments: int, wide: bool = False, most: int | None = None) -> list[tuple[str, int, int, int]]:
-    """(word, shift, width, radius) of each segment that needs a table, by the pigeonhole principle.
-
-    A ``wide`` fingerprint has two words of 64 bits, each with half the segments. No segment's radius is over ``most``.
+    The radii r of the segments are such that fingerprints within the radius differ by r bits at most in one of them:
+    the sum of all r + 1 exceeds the radius. ``ball`` is half of r, rounded up. A segment lies within one word.
     """
-    words = ("fp", "more") if wide else ("fp",)
-    each = segments // len(words)
-    if radius < 0 or each < 1 or each * len(words) != segments or each > BITS:
-        raise ValueError("radius and segments are out of range")
-    widths = [BITS // each + (i < BITS % each) for i in range(each)]
-    shifts = [sum(widths[i + 1 :]) for i in range(each)]
+    if radius < 0 or words not in (1, 2) or not words <= segments <= words * BITS:
+        raise ValueError("radius, segments or words are out of range")
+    share = [segments // words + (i < segments % words) for i in range(words)]
+    widths = [(w, BITS // n + (i < BITS % n)) for w, n in enumerate(share) for i in range(n)]
     near, rest = divmod(radius, segments)
-    places = [(w, s, width) for w in words for s, width in zip(shifts, widths)]
-    radii = [near if i <= rest else near - 1 for i in range(segments)]
-    return [(*p, r if most is None else min(r, most)) for p, r in zip(places, radii) if r >= 0]
-
-
-def _around(value, masks: list[int]):
-    """The array of a fingerprint (part) changed by each mask."""
-    return F.transform(F.array(*[F.lit(signed(m)).cast("long") for m in masks]), lambda m: value.bitwiseXOR(m))
-
-
-def _met_halfway(crowd: DataFrame) -> DataFrame:
-    """Links among those at most 2 bits apart: they share a fingerprint that is at most one bit from either."""
-    met = (
-        crowd.select("id", "fp")
-        .distinct()
-        .select(F.explode(_around(F.col("fp"), ball(BITS, 1))).alias("middle"), "id")
-        .groupBy("middle")
-        .agg(F.sort_array(F.collect_list("id")).alias("m"))
-        .where(F.size("m") > 1)
-    )
-    return met.select(F.col("m")[0].alias("a"), F.explode(F.slice("m", 2, BITS + 1)).alias("b"))
-
-
-def _in_blocks(crowd: DataFrame, full: DataFrame, radius: int, tables: list[tuple[str, int, int, int]]) -> DataFrame:
-    """Links that connect those within the radius in each full bucket, from a task for each pair of its blocks.
-
-    As in a bucket that isn't full, the bucket's segment differs by its own radius at most.
+    out, used = [], [0] * words
+    for i, (word, width) in enumerate(widths):
+        used[word] += width
+        r = near if i <= rest else near - 1
+        if r >= 0:
+            out.append((word, BITS - used[word], width, (r + 1) // 2))
+    if any(ball > 1 for *_, ball in out):
+        raise ValueError("segments whose radius is over 2 aren't provided for: take more segments")
+    return out
+
+
+def merged(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The group of each element, named by its least one, after a and b have been linked."""
+    while len(a):
+        x, y = group[a], group[b]
+        new = x != y
+        if not new.any():
+            break
+        a, b, x, y = a[new], b[new], x[new], y[new]
+        to = np.arange(len(group))
+        np.minimum.at(to, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            further = to[to]
+            if (further == to).all():
+                break
+            to = further
+        group = to[group]
+    return group
+
+
+def meet(key: np.ndarray, size: np.ndarray, words: list[np.ndarray], at: np.ndarray, radius: int, ratio: float) -> np.ndarray:
+    """The group of each entry, after all within the radius that share a key have been linked.
+
+    ``at`` is the entry that has each key. Entries whose sizes are in a smaller ratio aren't linked. Members of a bucket
+    are compared by growing distance in the order of sizes; groups found so far are left out of further comparison.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    placed = crowd.join(full, ["segment", "key"]).withColumn("blocks", blocks)
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    others = F.expr("filter(sequence(0, blocks - 1), b -> blocks = 1 or b <> block)")
-    dealt = placed.select("segment", "key", "id", "fp", "more", "block", F.explode(others).alias("other")).select(
-        "segment", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "fp", "more"
-    )
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        fp, more = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "more"))  # bits of negative numbers count differently
-        word, shift, width, most = tables[table.column("segment")[0].as_py()]
-        part = (fp if word == "fp" else more) >> np.uint64(shift) & np.uint64((1 << width) - 1)
-        left = np.argsort(ids, kind="stable")
-        a, b = [], []
-        while len(left):
-            at, left, reached = left[0], left[1:], []
-            while True:
-                apart = np.bitwise_count(fp[left] ^ fp[at]).astype(int) + np.bitwise_count(more[left] ^ more[at])
-                near = (apart <= radius) & (np.bitwise_count(part[left] ^ part[at]) <= most)
-                a += [int(ids[at])] * int(near.sum())
-                b += ids[left[near]].tolist()
-                reached += left[near].tolist()
-                left = left[~near]
-                if not reached or not len(left):
-                    break
-                at = reached.pop()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return dealt.groupBy("segment", "key", "i", "j").applyInArrow(compare, "a long, b long")
+    group = np.arange(len(size))
+    order = np.lexsort((size[at], key))
+    key, at = key[order], at[order]
+    sizes = size[at]
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        apart = np.bitwise_count(words[0][a] ^ words[0][b])
+        for w in words[1:]:
+            apart = apart + np.bitwise_count(w[a] ^ w[b])
+        return apart <= radius
+
+    def join() -> None:
+        nonlocal group, held
+        if held:
+            group = merged(group, *(np.concatenate(x) for x in zip(*held)))
+            held = []
+
+    alive, apart, due = np.arange(len(key)), 1, 1
+    while True:
+        alive = alive[alive + apart < len(key)]
+        there = alive + apart
+        alive = alive[(key[alive] == key[there]) & (sizes[alive] >= sizes[there] * ratio)]
+        if not len(alive):
+            break
+        a, b = at[alive], at[alive + apart]
+        other = group[a] != group[b]
+        a, b = a[other], b[other]
+        found = near(a, b)
+        if found.any():
+            held.append((a[found], b[found]))
+        if apart == due or sum(len(x) for x, _ in held) > HELD:
+            join()
+            due = 2 * apart if apart == due else due
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            bucket = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+            of = group[at]
+            mixed = np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts)
+            alive = alive[mixed[bucket[alive]]]
+            length = np.diff(np.r_[starts, len(key)])
+            for k in np.unique(bucket[alive][length[bucket[alive]] > CROWD]):
+                lo, hi = starts[k], starts[k] + length[k]
+                names, counts = np.unique(of[lo:hi], return_counts=True)
+                if 2 * counts.max() < hi - lo:
+                    continue
+                # most are one group: what isn't is compared with all, and the bucket is done
+                for i in lo + np.flatnonzero(of[lo:hi] != names[counts.argmax()]):
+                    first = lo + np.searchsorted(sizes[lo:hi], sizes[i] * ratio, "left")
+                    last = lo + np.searchsorted(sizes[lo:hi], sizes[i] / ratio if ratio else np.inf, "right")
+                    b = at[first:last]
+                    b = b[group[b] != group[at[i]]]
+                    b = b[near(np.full(len(b), at[i]), b)]
+                    held.append((np.full(len(b), at[i]), b))
+                    if sum(len(x) for x, _ in held) > HELD:
+                        join()
+                alive = alive[bucket[alive] != k]
+        apart += 1
+    join()
+    return group
 
 
 def links(
-    entries: DataFrame,
-    radius: int = 2,
-    segments: int = 2,
-    bucket_limit: int = BUCKET_LIMIT,
-    wide: bool = False,
-    segment_radius: int | None = None,
+    entries: DataFrame, radius: int = 2, segments: int = 2, words: tuple[str, ...] = ("fp",), ratio: float = 0.0, share: int = SHARE
 ) -> DataFrame:
-    """``(a, b)``: links that connect all ``entries (id, fp, more)``, of distinct fp and more, within the radius.
+    """``(a, b)``: links that connect all of ``entries (id, size, *words)`` within the radius; b is the lesser id.
 
-    Within it are entries with at most ``radius`` differing bits, of 64 in ``fp`` or, if ``wide``, of 128 in both. Two
-    such entries are linked directly or, where they meet in a full bucket, by a path of such links. With a
-    ``segment_radius`` below what the pigeonhole principle asks for, only those are sure to be linked that differ in one
-    of the segments by so many bits at most.
+    Within it are entries with at most ``radius`` differing bits in all words together. Those whose sizes are in a smaller
+    ratio than ``ratio`` aren't linked. Two such entries are in one group over the links returned; an entry is linked to
+    the least of those that a task has found to be connected, which needn't be within the radius itself.
     """
-    tables = plan_segments(radius, segments, wide, segment_radius)
-
-    def keys(each) -> DataFrame:
-        """A row for each of an entry's segments and what ``each`` makes of the segment's bits."""
-
-        def of_segment(i: int, word: str, shift: int, width: int, r: int):
-            bits = F.shiftrightunsigned(word, shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
-            return F.transform(each(bits, width, r), lambda k: F.struct(F.lit(i).alias("segment"), k.alias("key")))
-
-        made = [of_segment(i, *t) for i, t in enumerate(tables)]
-        return entries.select(F.explode(F.flatten(F.array(*made))).alias("s"), "id", "fp", "more").select("s.segment", "s.key", "id", "fp", "more")
-
-    table = keys(lambda bits, width, r: F.array(bits))
-    probes = keys(lambda bits, width, r: _around(bits, ball(width, r)))
-    full = stored(table.groupBy("segment", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_limit))
-    apart = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("t.fp"))) + F.bit_count(F.col("p.more").bitwiseXOR(F.col("t.more")))
-    found = (
-        probes.alias("p")
-        .join(table.join(full, ["segment", "key"], "left_anti").alias("t"), ["segment", "key"])
-        .where((F.col("p.id") != F.col("t.id")) & (apart <= radius))
-        .select(F.least("p.id", "t.id").alias("a"), F.greatest("p.id", "t.id").alias("b"))
-    )
-    if full.isEmpty():
-        return found.distinct()
-    crowd = probes.join(full.select("segment", "key"), ["segment", "key"], "left_semi")
-    return found.unionByName(_met_halfway(crowd) if radius == 2 and not wide else _in_blocks(crowd, full, radius, tables)).distinct()
-
-
-def near_duplicates(
-    docs: DataFrame,
-    radius: int = 2,
-    words: int = 3,
-    segments: int = 2,
-    bucket_limit: int = BUCKET_LIMIT,
-    wide: bool = False,
-    segment_radius: int | None = None,
-) -> DataFrame:
+    tables = plan_segments(radius, segments, len(words))
+    count = entries.count()
+    prefix = LEAST_PREFIX
+    while count * (prefix + 1) > share << prefix and prefix < min(24, *(width for *_, width, _ in tables)):
+        prefix += 1
+
+    def places(i: int, word: int, shift: int, width: int, ball: int):
+        """The shares of a table that hold some of the ball: the own one, and those that differ in a leading bit."""
+        lead = F.shiftrightunsigned(words[word], shift + width - prefix).bitwiseAND(F.lit((1 << prefix) - 1).cast("long"))
+        masks = [0, *(1 << k for k in range(prefix))] if ball else [0]
+        return [F.struct(F.lit(i).alias("segment"), lead.bitwiseXOR(F.lit(m).cast("long")).cast("int").alias("lead")) for m in masks]
+
+    dealt = entries.select(F.explode(F.array(*[p for i, t in enumerate(tables) for p in places(i, *t)])).alias("s"), "id", "size", *words)
+    dealt = dealt.select("s.segment", "s.lead", "id", "size", *words)
+    full = stored(dealt.groupBy("segment", "lead").agg(F.count("*").alias("n")).where(F.col("n") > share))
+    whole = dealt.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+    if not full.isEmpty():
+        whole = whole.join(full.select("segment", "lead"), ["segment", "lead"], "left_anti")
+        blocks = F.ceil(F.col("n") * 2 / share).cast("int")
+        cut = dealt.join(full, ["segment", "lead"]).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+        cut = cut.withColumn("other", F.explode(others)).where("other.i < other.j")
+        whole = whole.unionByName(cut.select("segment", "lead", "id", "size", *words, "other.i", "other.j"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        by = np.argsort(ids, kind="stable")
+        ids, size = ids[by], table.column("size").to_numpy()[by]
+        bits = [table.column(w).to_numpy()[by].view(np.uint64) for w in words]  # bits of negative numbers count differently
+        word, shift, width, ball = tables[table.column("segment")[0].as_py()]
+        low, lead = width - prefix, table.column("lead")[0].as_py()
+        value = (bits[word] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+        own = np.flatnonzero((value >> np.uint64(low)) == lead)
+        rest = np.flatnonzero((value >> np.uint64(low)) != lead)
+        value = value & np.uint64((1 << low) - 1)
+        masks = [0, *(1 << k for k in range(low))] if ball else [0]
+        key = np.concatenate([value[rest], *(value[own] ^ np.uint64(m) for m in masks)])
+        group = meet(key, size, bits, np.concatenate([rest, *([own] * len(masks))]), radius, ratio)
+        moved = np.flatnonzero(group != np.arange(len(group)))
+        return pa.table({"a": pa.array(ids[moved]), "b": pa.array(ids[group[moved]])})
+
+    return whole.groupBy("segment", "lead", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, segments: int = 2, share: int = SHARE) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per row of ``docs (doc_id, text)``.
 
     ``fingerprint`` is 16 hex digits; ``component_id`` the smallest doc_id that can be reached over links of at most
-    ``radius`` differing bits (of 128, if ``wide``; see links), the row's own included. A null or empty text has
-    fingerprint zero and is linked like any other; rows with one text share a component; a repeated doc_id gives a row
-    each time; a row with a null doc_id gets a row, its component is null only if it has no other member. An empty table
-    gives an empty one.
+    ``radius`` differing bits, the row's own included. A null or empty text has fingerprint zero and is linked like any
+    other; rows with one fingerprint share a component; a repeated doc_id gives a row each time; rows with a null doc_id
+    are linked like others and bridge them, their component_id is null only if no member of it has a doc_id. An empty
+    table gives an empty one.
     """
-    made = stored(fingerprints(docs, words, wide))
-    entries = stored(made.groupBy("fp", "more").agg(F.min("doc_id").alias("id")))
-    linked = links(entries.where("id is not null"), radius, segments, bucket_limit, wide, segment_radius)
-    parts = connected_components(linked, "a", "b")
-    of_fp = entries.join(parts, entries["id"] == parts["node"], "left").select(
-        entries["fp"].alias("fp"), entries["more"].alias("more"), F.coalesce(parts["component_id"], entries["id"]).alias("component_id")
-    )
+    made = stored(fingerprints(docs, words))
+    entries = made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    entries = stored(entries.withColumn("id", F.monotonically_increasing_id()).withColumn("size", F.lit(1)))
+    parts = stored(connected_components(links(entries, radius, segments, share=share), "a", "b").withColumnRenamed("node", "id"))
+    linked = entries.join(parts, "id").select("fp", "least", F.col("component_id").alias("part"))
+    leasts = linked.groupBy("part").agg(F.min("least").alias("component_id"))
+    linked = linked.join(leasts, "part").select("fp", "component_id")
+    alone = entries.join(parts, "id", "left_anti").select("fp", F.col("least").alias("component_id"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return made.join(of_fp, ["fp", "more"]).select("doc_id", digits.alias("fingerprint"), "component_id")
-
-
-def keep_one_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, with all columns, of the smallest doc_id of each near-duplicate group; see near_duplicates.
-
-    Rows with one doc_id are one document, of which a single row stays; rows without a doc_id stay only if no row
-    that has one is in their group.
-    """
-    groups = stored(near_duplicates(docs, **how))
-    named = docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
-    if not groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        named = named.dropDuplicates(["doc_id"])
-    if groups.where("component_id is null").isEmpty():
-        return named
-    # rows without an id are found again by their fingerprint
-    words = how.get("words", 3)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = [f"{fingerprint(t, words):016x}" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            yield b.append_column("_fp", pa.array(fps, pa.string()))
-
-    nameless = docs.where("doc_id is null").mapInArrow(add, T.StructType([*docs.schema, T.StructField("_fp", T.StringType())]))
-    lone = groups.where("component_id is null").select(F.col("fingerprint").alias("_fp")).distinct()
-    return named.unionByName(nameless.join(lone, "_fp", "left_semi").dropDuplicates(["_fp"]).drop("_fp"))
+    return made.join(linked.unionByName(alone), "fp").select("doc_id", digits.alias("fingerprint"), "component_id")

@@ -1,6 +1,7 @@
 import corpus_pipeline as p
-from kinmatch.llm import op05_simhash, op07_quality, op09_toxicity
-from tests.llm.test_simhash import brute, linked
+from kinmatch.llm import op07_quality, op09_toxicity
+from tests.llm.test_shingles import both, near
+from tests.llm.test_simhash import brute
 
 
 def test_stages(spark, sf):
@@ -18,8 +19,7 @@ def test_stages(spark, sf):
     left -= poor
     assert {r["doc_id"] for r in good.collect()} == left and poor and good.columns == docs.columns
     one = p.near_duplicates(spark, good, sf)
-    prints = {r["doc_id"]: (r["fp"], r["more"]) for r in op05_simhash.fingerprints(good, 5, True).collect()}
-    left = set(brute([(k, *v) for k, v in prints.items()], linked).values())
+    left = set(brute([(k, *both(texts[k])) for k in left], near).values())
     kept = [r["doc_id"] for r in one.collect()]
     assert sorted(kept) == sorted(left) and set(one.columns) == set(docs.columns)
     assert len({texts[k] for k in kept}) == len(kept)

@@ -52,68 +52,71 @@ def flips(fp, n, rng):
     return fp
 
 
-@pytest.mark.parametrize(("radius", "segments", "wide", "limit"), [(2, 2, False, 64), (2, 2, False, 1), (1, 3, False, 2), (3, 2, False, 1), (7, 4, True, 64), (7, 4, True, 1)])
-def test_links_lose_nothing(spark, radius, segments, wide, limit):
+@pytest.mark.parametrize("share", [o.SHARE, 8])
+@pytest.mark.parametrize(("radius", "segments", "wide"), [(0, 1, False), (2, 2, False), (1, 3, False), (3, 2, False), (7, 4, True), (11, 5, True)])
+def test_links_lose_nothing(spark, radius, segments, wide, share):
+    """With shares of the usual size, and with ones so small that all are cut into blocks."""
     rng = random.Random(radius)
     seeds = [rng.getrandbits(64) for _ in range(12)]
     fps = {flips(rng.choice(seeds), rng.randint(0, radius), rng) for _ in range(150)} | {0, (1 << 64) - 1}
-    entries = [(i, f, rng.getrandbits(3) if wide else 0) for i, f in enumerate(sorted(fps))]
-    df = spark.createDataFrame([(i, o.signed(f), m) for i, f, m in entries], "id long, fp long, more long")
+    entries = [(i, f, rng.getrandbits(3) if wide else 0, rng.randint(70, 130)) for i, f in enumerate(sorted(fps))]
+    df = spark.createDataFrame([(i, o.signed(f), m, n) for i, f, m, n in entries], "id long, fp long, more long, size int")
     bits = lambda x: bin(x).count("1")
-    near = lambda a, b: bits(a[0] ^ b[0]) + wide * bits(a[1] ^ b[1]) <= radius
-    rows = o.links(df, radius, segments, limit, wide).collect()
-    by = {i: (f, m) for i, f, m in entries}
-    assert all(near(by[r["a"]], by[r["b"]]) for r in rows)
-    linked = brute([(i,) for i in by], lambda a, b: False)
+    near = lambda a, b: bits(a[0] ^ b[0]) + wide * bits(a[1] ^ b[1]) <= radius and min(a[2], b[2]) >= 0.75 * max(a[2], b[2])
+    rows = o.links(df, radius, segments, ("fp", "more")[: 1 + wide], 0.75, share).collect()
+    linked = brute([(i,) for i, *_ in entries], lambda a, b: False)
     from tests.test_operators import brute_components
 
     assert {**linked, **brute_components([(r["a"], r["b"]) for r in rows])} == brute(entries, near)
 
 
+def test_radii_obey_the_pigeonhole_principle():
+    for radius, segments, words in [(0, 1, 1), (2, 2, 1), (2, 5, 1), (26, 9, 2), (23, 8, 2), (3, 2, 1)]:
+        tables = o.plan_segments(radius, segments, words)
+        assert sum(2 * ball + 1 for *_, ball in tables) > radius
+        places = [(w, b) for w, shift, width, _ in tables for b in range(shift, shift + width)]
+        assert len(places) == len(set(places)) and all(0 <= b < 64 for _, b in places)
+    with pytest.raises(ValueError):
+        o.plan_segments(26, 8, 2)
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_number_of_links_is_linear(spark, wide):
+    """A group of n near copies of one fingerprint gives in the order of n links, in small buckets and large ones."""
+    rng = random.Random(1)
+    radius, segments = (26, 9) if wide else (2, 2)
+    made = []
+    for n in (500, 1000, 2000, 4000):
+        centre, fps = rng.getrandbits(128), set()
+        while len(fps) < n:
+            fps.add(centre ^ sum(1 << b for b in rng.sample(range(128 if wide else 64), rng.randint(1, 9 if wide else 3))))
+        rows = [(i, o.signed(f & (1 << 64) - 1), o.signed(f >> 64), 1) for i, f in enumerate(sorted(fps))]
+        df = spark.createDataFrame(rows, "id long, fp long, more long, size int")
+        made.append(o.links(df, radius, segments, ("fp", "more")[: 1 + wide], 0.8).count() / n)
+    assert max(made) <= 2 * segments and made[-1] <= 1.5 * made[0]
+
+
 def test_edge_cases(spark):
     rows = [(3, "a b c d", "x"), (1, "A B  c\nd", None), (2, None, "y"), (5, "", "y"), (5, "", "y"), (None, "q r s t u", "z"), (None, None, "z"), (7, "w " * 5000, "z")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").withColumn("component_id", F.lit(1))
-    got = sorted((r["doc_id"] or -1, r["fingerprint"], r["component_id"]) for r in o.near_duplicates(docs).collect())
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").withColumn("component_id", F.lit(1)).withColumn("id", F.lit(2))
+    got = sorted((r["doc_id"] or -1, r["fingerprint"], r["component_id"] or -1) for r in o.near_duplicates(docs).collect())
     assert len(got) == len(rows)
-    assert [(d, c) for d, _, c in got] == [(-1, 2), (-1, None), (1, 1), (2, 2), (3, 1), (5, 2), (5, 2), (7, 7)]
+    assert sorted((d, c) for d, _, c in got) == [(-1, -1), (-1, 2), (1, 1), (2, 2), (3, 1), (5, 2), (5, 2), (7, 7)]
     assert all(len(f) == 16 for _, f, _ in got)
     assert o.near_duplicates(docs.where("false")).count() == 0
-    kept = o.keep_one_each(docs)
-    assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.select("doc_id", "text").where("doc_id is null or doc_id < 7").collect()) == [(-1, "q r s t u"), (1, "A B  c\nd"), (2, "")]
 
 
-def linked(a, b, radius=22, segments=4):
-    """The pipeline's links: few differing bits in all, and one segment that differs by one at most."""
-    bits = lambda x: bin(x).count("1")
-    apart = [((x ^ y) & (1 << 64) - 1) for x, y in zip(a, b)]
-    width = 64 // segments
-    return sum(map(bits, apart)) <= radius and any(bits(x >> i * width & (1 << width) - 1) <= 1 for x in apart for i in range(segments))
-
+def test_rows_without_id_bridge(spark, monkeypatch):
+    """A fingerprint that only rows without a doc_id have links those on either side of it."""
+    made = spark.createDataFrame([(4, 0), (None, 3), (9, 15)], "doc_id long, fp long")
+    monkeypatch.setattr(o, "fingerprints", lambda docs, words: made)
+    got = {(r["doc_id"], r["fingerprint"][-1], r["component_id"]) for r in o.near_duplicates(made).collect()}
+    assert got == {(4, "0", 4), (None, "3", 4), (9, "f", 4)}
 
-def test_one_stays_of_each_group(spark, sf):
-    from corpus_pipeline import NEAR
 
+def test_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    groups = o.near_duplicates(docs, **NEAR).collect()
-    made = {r["doc_id"]: (r["fp"], r["more"]) for r in o.fingerprints(docs, 5, True).collect()}
-    assert {r["doc_id"]: r["component_id"] for r in groups} == brute([(k, *v) for k, v in made.items()], linked)
-    kept = {r["doc_id"] for r in o.keep_one_each(docs, **NEAR).collect()}
-    assert kept == {r["component_id"] for r in groups}
-
-
-def test_near_copies_are_caught(spark):
-    """Of texts with a few words changed, so that 0.85 or more of their shingles are shared, nearly all are linked."""
-    from corpus_pipeline import NEAR
-
-    rng = random.Random(5)
-    rows = []
-    for i in range(60):
-        words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(rng.randint(120, 400))]
-        rows.append((2 * i, " ".join(words)))
-        for _ in range(len(words) // 70):
-            words[rng.randrange(len(words))] = "changed"
-        rows.append((2 * i + 1, " ".join(words)))
-    got = {r["doc_id"]: r["component_id"] for r in o.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **NEAR).collect()}
-    assert sum(got[2 * i + 1] == 2 * i for i in range(60)) >= 54
-    assert all(got[2 * i] == 2 * i for i in range(60))
+    rows = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in o.near_duplicates(docs).collect()}
+    prints = {r["doc_id"]: plain_fingerprint(r["text"]) for r in docs.collect()}
+    assert {k: v[0] for k, v in rows.items()} == {k: f"{v:016x}" for k, v in prints.items()}
+    assert {k: v[1] for k, v in rows.items()} == brute(list(prints.items()), lambda a, b: bin(a[0] ^ b[0]).count("1") <= 2)
