@@ -13,10 +13,8 @@ from kinmatch.llm import op02_packing, op05_shingles, op07_quality, op09_toxicit
 from kinmatch.llm.common import shared_dir
 from kinmatch.sources.ship import ship
 
-#: Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, all of them.
-SIMILAR = {"words": 5, "similarity": 0.8}
-#: Links by fingerprints alone, which the stage doesn't take any more: they lose pairs of 0.8 and link others of far less.
-NEAR = {"words": 5, "radius": 22, "segments": 8, "wide": True, "segment_radius": 1}
+#: Near copies: fingerprints of at most 26 of 128 differing bits, all found by nine segments, and five-word shingles of a similarity of 0.8.
+NEAR = {"words": 5, "similarity": 0.8, "radius": 26, "segments": 9}
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op05_shingles.keep_one_each(docs, **SIMILAR)
+    return op05_shingles.keep_one_each(docs, **NEAR)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
