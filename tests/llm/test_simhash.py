@@ -93,7 +93,7 @@ def test_number_of_links_is_linear(spark, wide):
         rows = [(i, o.signed(f & (1 << 64) - 1), o.signed(f >> 64), 1) for i, f in enumerate(sorted(fps))]
         df = spark.createDataFrame(rows, "id long, fp long, more long, size int")
         made.append(o.links(df, radius, segments, ("fp", "more")[: 1 + wide], 0.8).count() / n)
-    assert max(made) <= 2 * segments and made[-1] <= 1.5 * made[0]
+    assert max(made) <= segments * (o.LEAST_PREFIX + 1) and made[-1] <= 2 * made[0]
 
 
 def test_edge_cases(spark):
