@@ -1,16 +1,21 @@
 """Toxicity by a weighted finite-state grammar of clauses.
 
-Five small machines read a clause's words as tags (insult, threat, target, negation, reported speech) and are composed
-into one weighted machine. What it scores is a matched clause: an insult counts more with a target, less when negated
-or reported, a threat only with a target. Which words insult, and how strongly, is learnt from labelled documents, as
-whole words and as beginnings of words; a small list of English ones is known beforehand. A logistic function of a
-document's clause scores, fitted with lexicons that haven't seen the document, gives its score.
+Five small machines read a whole clause's words as tags and are composed into one weighted machine: an insult that is
+said of something (a word by itself isn't a clause and scores nothing), a target on either side of it, negation before
+it, reported speech on either side, and a threat, which needs a target. The weight with which the machine accepts a
+clause is its score. Which words insult, and how strongly, is learnt from labelled documents, as whole words and as
+beginnings of words; a small list of English ones is known beforehand. A logistic function of a document's clause
+scores, fitted with lexicons that haven't seen the document, gives its score.
+
+A clause ends at a sign of EDGE, but not before it has two words: "Idiot! Go away" is one. It is read whole, however
+long it is, in time linear in its length.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import product
@@ -28,45 +33,75 @@ from .common import crc_mod5, filter_arrow, map_arrow, only, stored
 MAX_TOXIC, MAX_CLEAN = 3000, 5000
 
 INSULTS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "pathetic", "worthless", "disgusting")
-THREATS = ("kill", "hurt", "destroy", "murder", "strangle", "shoot", "beat")
+#: A verb's forms that threaten whom follows, and those that also do so in the passive.
+THREATS = {
+    "kill": ("kills", "killing"), "hurt": ("hurts", "hurting"), "destroy": ("destroys", "destroying"), "murder": ("murders", "murdering"),
+    "strangle": ("strangles", "strangling"), "shoot": ("shoots", "shooting"), "beat": ("beats", "beating"),
+}
+PASSIVES = frozenset(("killed", "hurt", "destroyed", "murdered", "strangled", "shot", "beaten"))
+ACTIVES = frozenset(x for verb, forms in THREATS.items() for x in (verb, *forms))
 TARGETS = frozenset("you your u he him she her they them these those people".split())
 NEGATIONS = frozenset("not no never isn't aren't wasn't don't doesn't didn't won't can't nobody nicht kein pas nunca".split())
 REPORTS = frozenset("said says say told called calls quoted wrote claims claimed alleged reported".split())
 KNOWN = 3.0  # weight of a known insult that the labels don't mention
 LEAST_WEIGHT, LEAST_DOCS, LEAST_Z = 1.5, 2, 3.5
+LEAST_SHARE = 0.01  # of toxic documents that have a learnt word: fewer may be near copies of one
 PREFIXES = range(4, 9)
 WORD = re.compile(r"\w+(?:'\w+)?")
-EDGE = re.compile(r"[.!?;:|\n]")
+EDGE = re.compile(r"[.!?;:|\n]+")
+TWO_WORDS = re.compile(r"\W*\w+\W+\w")
 
-#: Machines: state -> tag -> (next state, factor); a tag without an arc keeps the state at factor 1.
+TAGS = "IHPTNRo"  # insult, threat, threat in the passive, target, negation, report, other
+ANY = "HPTNRo"
+#: Machines: state -> tag -> (next state, factor on an insult); a tag without an arc keeps the state at factor 1.
 MACHINES = {
-    "target": {"none": {"T": ("seen", 1.0)}, "seen": {"I": ("seen", 1.25)}},
+    "insult": {
+        "blank": {"I": ("alone", 1.0), **{t: ("begun", 1.0) for t in ANY}},
+        "alone": {t: ("said", 1.0) for t in ANY},
+        "begun": {"I": ("said", 1.0)},
+        "said": {},
+    },
+    "target": {
+        "none": {"T": ("aimed", 1.0), "I": ("open", 1.0)},
+        "aimed": {"I": ("met", 1.0)},
+        "open": {"T": ("met", 1.0)},
+        "met": {},
+    },
     "negation": {
         "plain": {"N": ("near", 1.0)},
-        "near": {"I": ("plain", 0.3), "H": ("denied", 1.0), "o": ("far", 1.0)},
-        "far": {"I": ("plain", 0.5), "H": ("denied", 1.0), "o": ("plain", 1.0)},
-        "denied": {"T": ("plain", 0.2), "I": ("plain", 0.5)},
+        "near": {"I": ("plain", 0.3), "H": ("denied", 1.0), "P": ("denied", 1.0), "o": ("far", 1.0)},
+        "far": {"I": ("plain", 0.5), "H": ("denied", 1.0), "P": ("denied", 1.0), "o": ("plain", 1.0)},
+        "denied": {"I": ("denied", 0.5)},
+    },
+    "report": {"own": {"R": ("reported", 1.0)}, "reported": {}},
+    "threat": {
+        "calm": {"H": ("armed", 1.0), "P": ("armed", 1.0), "T": ("before", 1.0)},
+        "before": {"H": ("armed", 1.0), "P": ("threat", 1.0)},
+        "armed": {"T": ("threat", 1.0)},
+        "threat": {},
     },
-    "report": {"own": {"R": ("quoted", 1.0)}, "quoted": {"I": ("quoted", 0.5), "T": ("quoted", 0.5)}},
-    "threat": {"calm": {"H": ("armed", 0.0)}, "armed": {"H": ("armed", 0.0), "T": ("calm", 2.0)}},
 }
-TAGS = "IHTNRo"
+#: What the states in which a clause ends multiply its insults' weights by, and its threat's; states not named: 1.
+LAST_INSULT = {"blank": 0.0, "alone": 0.0, "begun": 0.0, "met": 1.25, "reported": 0.5}
+LAST_THREAT = {"calm": 0.0, "before": 0.0, "armed": 0.0, "threat": 2.0, "denied": 0.2, "reported": 0.5}
 
 
-def compose(machines: dict = MACHINES) -> tuple[list[list[int]], list[list[float]]]:
-    """The product of all machines as arrays by state and tag: the next state, and the product of the factors."""
+def compose(machines: dict = MACHINES) -> tuple[list[list[int]], list[list[float]], list[tuple[float, float]]]:
+    """The product of all machines as arrays: the next state and the factor by state and tag, the last factors by state."""
     states = list(product(*machines.values()))
     number = {s: i for i, s in enumerate(states)}
-    moves, factors = [], []
+    moves, factors, last = [], [], []
     for s in states:
         arcs = [[m[x].get(t, (x, 1.0)) for m, x in zip(machines.values(), s)] for t in TAGS]
         moves.append([number[tuple(x for x, _ in a)] for a in arcs])
         factors.append([math.prod(f for _, f in a) for a in arcs])
-    return moves, factors
+        last.append(tuple(math.prod(w.get(x, 1.0) for x in s) for w in (LAST_INSULT, LAST_THREAT)))
+    return moves, factors, last
 
 
-MOVES, FACTORS = compose()
-THREAT_STATES = frozenset(i for i, s in enumerate(product(*MACHINES.values())) if s[-1] == "armed")
+MOVES, FACTORS, LAST = compose()
+#: The tags of words other than insults; what is in several lists is the first.
+KNOWN_TAGS = {w: tag for tag, words in reversed(list(enumerate((ACTIVES - PASSIVES, PASSIVES, TARGETS, NEGATIONS, REPORTS), 1))) for w in words}
 
 
 class Grammar:
@@ -75,7 +110,7 @@ class Grammar:
     def __init__(self, words: dict[str, float], prefixes: dict[str, float]):
         self.words, self.prefixes = words, prefixes
         self.automaton = ahocorasick.Automaton()
-        for w in [*(w for w, x in words.items() if x > 0), *prefixes, *THREATS]:
+        for w in [*(w for w, x in words.items() if x > 0), *prefixes, *ACTIVES, *PASSIVES]:
             self.automaton.add_word(w, len(w))
         self.automaton.make_automaton()
 
@@ -84,37 +119,47 @@ class Grammar:
             return w
         return next((w for n in reversed(PREFIXES) if len(word) > n and (w := self.prefixes.get(word[:n])) is not None), 0.0)
 
-    def clause(self, text: str) -> float:
-        """The weight with which the composed machine accepts a clause, in lower case; 0 if it matches nothing."""
-        state, total = 0, 0.0
+    def tagged(self, text: str) -> Iterator[tuple[int, float]]:
+        """The tag of each word of a text in lower case, and its weight if it is an insult."""
         for word in WORD.findall(text):
             w = self.weight(word)
-            tag = 0 if w > 0 else 1 if word in THREATS else 2 if word in TARGETS else 3 if word in NEGATIONS else 4 if word in REPORTS else 5
-            factor = FACTORS[state][tag]
-            if tag == 0:
-                total += w * factor
-            elif tag == 2 and state in THREAT_STATES:
-                total += factor
+            yield (0, w) if w > 0 else (KNOWN_TAGS.get(word, len(TAGS) - 1), 0.0)
+
+    def clause(self, text: str) -> float:
+        """The weight with which the composed machine accepts a clause, in lower case; 0 if it matches nothing."""
+        state, insults = 0, 0.0
+        for tag, w in self.tagged(text):
+            insults += w * FACTORS[state][tag]
             state = MOVES[state][tag]
-        return total
+        return insults * LAST[state][0] + LAST[state][1]
 
     def features(self, text: str) -> list[float]:
-        """Of a whole text: its clauses' weights in sum, by its length, the largest and their number; its length."""
+        """Of a whole text: its distinct clauses' weights in sum, by its length, the largest and their number; its length.
+
+        A clause that a text repeats is no further evidence and counts once.
+        """
         low = text.lower()
-        scores, stop = [], -1
-        for end, n in self.automaton.iter(low):
-            at = end - n + 1
-            if at < stop or at and (low[at - 1].isalnum() or low[at - 1] == "_"):
-                continue
-            begin = max([m.end() for m in EDGE.finditer(low, max(0, at - 400), at)], default=max(0, at - 400))
-            begin = max(begin, stop)
-            found = EDGE.search(low, end + 1, end + 400)
-            stop = found.start() if found else min(len(low), end + 400)
-            if (x := self.clause(low[begin:stop])) > 0:
-                scores.append(x)
+        hits = [end - n + 1 for end, n in self.automaton.iter(low) if end - n < 0 or not (low[end - n].isalnum() or low[end - n] == "_")]
+        scores = []
+        if hits:
+            ends = clauses(low)
+            matched = (low[ends[at - 1] if at else 0 : ends[at]] for at in sorted({bisect_right(ends, h) for h in hits}))
+            scores = [x for x in map(self.clause, dict.fromkeys(c.strip() for c in matched)) if x > 0]
         words = low.count(" ") + low.count("\n") + 1
         total = sum(scores)
-        return [math.log1p(total), math.log1p(1000 * total / (words + 20)), max(scores, default=0.0), min(len(scores), 6), math.log(words)]
+        return [math.log1p(total), math.log1p(1000 * total / (words + 20)), max(scores, default=0.0), math.log1p(len(scores)), math.log(words)]
+
+
+def clauses(text: str) -> list[int]:
+    """Where each clause of a text ends; the last is the text's end. Each has two words at least, if the text has them."""
+    ends, begin = [], 0
+    for m in EDGE.finditer(text):
+        if TWO_WORDS.match(text, begin, m.start()):
+            begin = m.end()
+            ends.append(begin)
+    if ends and not TWO_WORDS.match(text, begin):
+        ends.pop()
+    return [*ends, len(text)]
 
 
 N_FEATURES = 5
@@ -159,7 +204,7 @@ def lexicon(counts: list[tuple], n_pos: int, n_neg: int) -> Grammar:
         return (a - b) / math.sqrt(max(c * (1 - c), 1e-9) * (1 / max(n_pos, 1) + 1 / max(n_neg, 1)))
 
     def strong(p: int, n: int, docs: int) -> bool:
-        return p >= docs and log_odds(p, n) >= LEAST_WEIGHT and z(p, n) >= LEAST_Z
+        return p >= max(docs, LEAST_SHARE * n_pos) and log_odds(p, n) >= LEAST_WEIGHT and z(p, n) >= LEAST_Z
 
     begun = Counter(t[:k] for t, (p, _) in seen.items() if t[-1] != "*" and p for k in PREFIXES if len(t) > k)
     prefixes = {

@@ -80,9 +80,46 @@ def test_held_out_rows_are_not_learnt_from(spark, sf):
 
 def test_grammar_weighs_clauses():
     g = op09_toxicity.Grammar({"idiot": 4.0}, {"moron": 2.0})
-    plain = g.clause("idiot")
+    plain = g.clause("an idiot")
+    assert g.clause("idiot") == g.clause("nice day") == 0  # a word by itself is no clause
     assert g.clause("you idiot") > plain > g.clause("she said idiot") > 0
+    assert g.clause("idiot that you are") > plain > g.clause("an idiot, he said") > 0  # on either side
     assert g.clause("not an idiot") < plain and g.clause("he is never idiot") < plain
-    assert g.clause("kill you") > 0 and g.clause("kill time") == 0 and g.clause("never kill you") == 0 or g.clause("never kill you") < g.clause("kill you")
-    assert g.clause("moronic") == 2.0 and g.clause("nice day") == 0
-    assert g.features("An idiot. Another idiot!")[3] == 2 and g.features("idiotic videotape")[3] == 0
+    assert g.clause("kill you") > g.clause("never kill you") > 0 and g.clause("kill time") == g.clause("you kill time") == 0
+    assert g.clause("you will be killed") == g.clause("killing you") == 2.0 > g.clause("they said killing you")
+    assert g.clause("a moronic one") == 2.0
+    assert np.isclose(g.features("An idiot. Another idiot!")[3], np.log(3)) and g.features("idiotic videotape")[3] == 0
+
+
+def test_whole_clauses_are_read():
+    """However far a target, a report or the one threatened is from the word that hits."""
+    g = op09_toxicity.Grammar({"idiot": 4.0}, {})
+    far = "word " * 50_000
+    for text in (f"you {far}idiot", f"idiot {far}you", f"idiot {far}he said", f"i will kill {far}you", f"said {far}idiot {far}you"):
+        assert g.features(text)[2] == g.clause(text) == g.clause(text.replace(far, "word ")) > 0
+    assert g.features("Idiot! Go away. Fine day.")[2] == 4.0 and g.features("A! idiot! B! C! D.")[2] > 0 and g.features("Idiot!")[2] == 0
+
+
+def test_clauses_are_a_partition():
+    for text in ("", "one", "one. two three. four", "a! b! c! d! e", "...", "a b. . .\n\nc d; e"):
+        ends = op09_toxicity.clauses(text)
+        assert ends[-1] == len(text) and ends == sorted(set(ends))
+        parts = [text[i:j].split() for i, j in zip([0, *ends], ends)]
+        assert len(parts) == 1 or all(len(op09_toxicity.WORD.findall(" ".join(p))) > 1 for p in parts)
+
+
+def test_composed_machine_is_its_machines_one_by_one():
+    words = {0: "idiot", 1: "kill", 2: "killed", 3: "you", 4: "not", 5: "said", 6: "the"}
+    g = op09_toxicity.Grammar({"idiot": 4.0}, {})
+    rng = np.random.default_rng(2)
+    for n in [*range(7)] * 100:
+        tags = rng.integers(0, 7, n).tolist()
+        state = {name: next(iter(m)) for name, m in op09_toxicity.MACHINES.items()}
+        insults = 0.0
+        for t in tags:
+            arcs = {name: m[state[name]].get(op09_toxicity.TAGS[t], (state[name], 1.0)) for name, m in op09_toxicity.MACHINES.items()}
+            insults += (t == 0) * 4.0 * np.prod([f for _, f in arcs.values()])
+            state = {name: x for name, (x, _) in arcs.items()}
+        last = [np.prod([w.get(x, 1.0) for x in state.values()]) for w in (op09_toxicity.LAST_INSULT, op09_toxicity.LAST_THREAT)]
+        assert np.isclose(g.clause(" ".join(words[t] for t in tags)), insults * last[0] + last[1])
+    assert set(op09_toxicity.MACHINES) == {"insult", "threat", "target", "negation", "report"}
