@@ -1,13 +1,15 @@
 """Main text of web pages from flat text blocks, classified by a decision tree.
 
 A page is read once, left to right, into blocks of text between block-level tags. Each block has its word count, its
-link density, those of the blocks before and after it, and what kind of element it stands in; a decision tree, grown
-from the small labelled table below, tells the article's blocks from the rest.
+link density, those of the blocks before and after it, whether it is a heading, a paragraph or bare text, and its place:
+within an element that is named as a side part, outside the part that is named as the article, or in it, or on a page
+that names none. A decision tree, grown from the small table of labelled_pages, tells the article's blocks from the rest.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 from html import unescape
 
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import map_arrow, only
+from .labelled_pages import pages
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -24,7 +27,7 @@ TOKEN = re.compile(
     r"|<[!?/][^>]*>?|<[a-zA-Z][^<>]*(?:>|\Z)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|hidden|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|hidden|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|(?<![\w-])(hidden)(?![\w-])", re.I)
 NAME_PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+|\d+")
 
 INLINE = frozenset(
@@ -41,64 +44,59 @@ SIDE_NAMES = frozenset(
     "footer foot header masthead topbar toolbar comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations "
     "newsletter subscribe subscription signup login search form popup modal overlay paywall copyright legal skip tags taglist toc".split()
 )
+#: Parts that are no sign of a side part where a name also has one of MAIN_NAMES.
+WEAK_NAMES = frozenset("alert notice notices notification header head top toc tags legal promo search form social".split())
 MAIN_NAMES = frozenset("article main post entry story content body text prose articlebody mainbody".split())
+#: Names that begin the main part.
+MAIN_PARTS = frozenset("article post entry story prose articlebody".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = frozenset("p li blockquote pre dd dt td th figcaption caption".split())
 
-#: What the tree sees of a block; words are counted up to 100.
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "main", "main_on_page", "side", "heading")
-
-#: Labelled blocks, by FEATURES, the label last.
-TABLE = (
-    # pages with an article element: all inside counts, whatever its size
-    (60, 0.0, 9, 0.0, 40, 0.0, 1, 1, 0, 0, 1), (2, 0.0, 60, 0.0, 40, 0.0, 1, 1, 0, 0, 1), (9, 0.0, 6, 1.0, 60, 0.0, 1, 1, 0, 1, 1),
-    (1, 0.0, 80, 0.0, 8, 0.2, 1, 1, 0, 0, 1), (12, 0.5, 30, 0.0, 30, 0.0, 1, 1, 0, 0, 1), (3, 1.0, 40, 0.0, 40, 0.0, 1, 1, 0, 0, 1),
-    (100, 0.1, 20, 0.0, 20, 0.0, 1, 1, 0, 0, 1), (5, 0.0, 0, 0.0, 0, 0.0, 1, 1, 0, 1, 1), (7, 0.0, 7, 1.0, 9, 0.0, 1, 1, 0, 0, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 1, 1, 0, 0), (8, 0.0, 1, 1.0, 9, 0.0, 0, 1, 1, 0, 0), (14, 0.1, 60, 0.0, 0, 0.0, 0, 1, 1, 0, 0),
-    (40, 0.0, 60, 0.0, 30, 0.0, 1, 1, 1, 0, 0), (25, 0.0, 8, 0.0, 25, 0.0, 1, 1, 1, 0, 0), (3, 0.0, 40, 0.0, 30, 0.0, 1, 1, 1, 1, 0),
-    (70, 0.0, 9, 0.0, 40, 0.0, 0, 1, 0, 0, 0), (30, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (4, 1.0, 40, 0.0, 4, 1.0, 0, 1, 0, 0, 0),
-    (6, 0.0, 0, 0.0, 40, 0.0, 0, 1, 0, 1, 0), (90, 0.0, 60, 0.0, 60, 0.0, 0, 1, 1, 0, 0), (100, 0.0, 90, 0.0, 80, 0.0, 0, 1, 0, 0, 0),
-    (55, 0.3, 50, 0.2, 45, 0.1, 0, 1, 1, 0, 0), (1, 0.0, 2, 0.0, 3, 0.0, 0, 1, 0, 0, 0), (2, 0.0, 1, 0.0, 70, 0.0, 1, 1, 0, 1, 1),
-    # pages without one: long blocks with few links, and what stands between them
-    (60, 0.0, 5, 1.0, 50, 0.0, 0, 0, 0, 0, 1), (35, 0.1, 60, 0.0, 45, 0.0, 0, 0, 0, 0, 1), (20, 0.0, 8, 0.0, 30, 0.0, 0, 0, 0, 0, 1),
-    (18, 0.0, 40, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (4, 0.0, 40, 0.0, 50, 0.0, 0, 0, 0, 0, 1), (9, 0.0, 30, 0.0, 25, 0.1, 0, 0, 0, 0, 1),
-    (8, 0.0, 2, 1.0, 60, 0.0, 0, 0, 0, 1, 1), (6, 0.0, 3, 0.0, 30, 0.0, 0, 0, 0, 1, 1), (100, 0.2, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 1),
-    (16, 0.0, 16, 0.0, 16, 0.0, 0, 0, 0, 0, 1), (90, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 25, 0.0, 20, 0.0, 0, 0, 0, 1, 1),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (1, 1.0, 60, 0.0, 1, 1.0, 0, 0, 0, 0, 0), (6, 0.9, 3, 1.0, 50, 0.0, 0, 0, 0, 0, 0),
-    (12, 0.8, 30, 0.0, 20, 0.7, 0, 0, 0, 0, 0), (25, 0.7, 4, 1.0, 30, 0.8, 0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 5, 1.0, 0, 0, 0, 0, 0),
-    (5, 0.0, 2, 1.0, 4, 0.0, 0, 0, 0, 0, 0), (7, 0.1, 6, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (3, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0, 1, 0),
-    (8, 0.0, 40, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (50, 0.6, 50, 0.0, 50, 0.0, 0, 0, 0, 0, 0), (5, 1.0, 40, 0.0, 50, 0.0, 0, 0, 0, 0, 0),
-    (40, 0.0, 30, 0.0, 30, 0.0, 0, 0, 1, 0, 0), (60, 0.0, 5, 0.0, 5, 0.0, 0, 0, 1, 0, 0), (3, 0.0, 40, 0.0, 40, 0.0, 0, 0, 1, 0, 0),
-    (9, 0.2, 50, 0.0, 0, 0.0, 0, 0, 1, 0, 0), (100, 0.0, 0, 0.0, 60, 0.0, 0, 0, 1, 0, 0), (6, 0.0, 0, 0.0, 40, 0.0, 0, 0, 1, 1, 0),
-)
-
-
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 10) -> tuple | float:
+#: What the tree sees of a block. form: 0 bare text, 1 a paragraph, 2 a heading. place: 0 in a side part, 1 outside the
+#: page's main part, 2 on a page without one, 3 in the main part.
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "form", "place")
+#: Renderings of each labelled pattern, and the least blocks of a leaf.
+RENDERINGS, LEAF, SEED = 12, 8, 10
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple | float:
     """A decision tree by Gini impurity: (feature, threshold, at most, above), or the share of label 1."""
-    if depth == 0 or len(set(y.tolist())) == 1:
+    n, best = len(y), None
+    if depth == 0 or n < 2 * LEAF or y.min() == y.max():
         return float(y.mean())
-    best = None
     for j in range(x.shape[1]):
-        values = np.unique(x[:, j])
-        for cut in (values[1:] + values[:-1]) / 2:
-            low = x[:, j] <= cut
-            a, b = y[low], y[~low]
-            gini = len(a) * a.mean() * (1 - a.mean()) + len(b) * b.mean() * (1 - b.mean())
-            if best is None or gini < best[0] - 1e-12:
-                best = (gini, j, float(cut), low)
+        order = np.argsort(x[:, j], kind="stable")
+        v, ones = x[order, j], np.cumsum(y[order])
+        at = np.arange(1, n)  # rows in the lower part
+        a, b = ones[:-1], ones[-1] - ones[:-1]
+        gini = a * (1 - a / at) + b * (1 - b / (n - at))
+        gini[(v[1:] == v[:-1]) | (at < LEAF) | (n - at < LEAF)] = np.inf
+        k = int(np.argmin(gini))
+        if np.isfinite(gini[k]) and (best is None or gini[k] < best[0] - 1e-9):
+            best = (gini[k], j, float((v[k] + v[k + 1]) / 2))
     if best is None:
         return float(y.mean())
-    _, j, cut, low = best
+    _, j, cut = best
+    low = x[:, j] <= cut
     return j, cut, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1)
 
 
+def table(seed: int = SEED, renderings: int = RENDERINGS, names: tuple[bool, ...] = (True, False)) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled blocks: features and labels."""
+    x, y = [], []
+    for html in pages(seed, renderings, names):
+        found = blocks(html)
+        x += features(found)
+        y += [b[0].startswith("§") for b in found]
+    return np.array(x, dtype=float), np.array(y, dtype=float)
+
+
 @lru_cache
 def tree() -> tuple | float:
-    rows = np.array(TABLE, dtype=float)
-    return grow(rows[:, :-1], rows[:, -1])
+    return grow(*table())
 
 
-def accepts(row: tuple) -> bool:
-    at = tree()
+def accepts(at: tuple | float, row: tuple) -> bool:
     while isinstance(at, tuple):
         j, cut, low, high = at
         at = low if row[j] <= cut else high
@@ -109,8 +107,8 @@ def accepts(row: tuple) -> bool:
 def kind(tag: str, attributes: str) -> tuple[bool, bool]:
     """Whether an element begins a side part of the page, and whether it begins the main part."""
     side, main = tag in SIDE, tag in ("article", "main")
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+    for name, value, bare in ATTRIBUTE.findall(attributes):
+        name, value = (name or bare).lower(), value.strip("\"'")
         if name == "style":
             side |= "display:none" in value.replace(" ", "").lower()
             continue
@@ -124,18 +122,27 @@ def kind(tag: str, attributes: str) -> tuple[bool, bool]:
             side |= value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu")
             main |= value.lower() in ("main", "article")
             continue
-        parts = {p.lower() for p in NAME_PART.findall(value)}
-        side |= bool(parts & SIDE_NAMES) and tag not in ("article", "main", "body")
-        main |= bool(parts & MAIN_NAMES) and not parts & SIDE_NAMES and name in ("class", "id") and tag in ("div", "section", "td") and bool(
-            parts & {"article", "post", "entry", "story", "prose", "articlebody"}
-        )
+        for token in value.split():
+            parts = {p.lower() for p in NAME_PART.findall(token)}
+            signs = parts & SIDE_NAMES
+            if parts & MAIN_NAMES:
+                signs -= WEAK_NAMES
+            side |= bool(signs) and tag not in ("article", "main", "body")
+            main |= not signs and bool(parts & MAIN_PARTS) and name in ("class", "id") and tag in ("div", "section", "td")
     return side, main
 
 
-def blocks(html: str) -> list[tuple[str, float, bool, bool, bool]]:
-    """The page's blocks in order: text, link density, and whether it is in the main part, in a side part, a heading."""
-    found, text, linked, in_link, heading = [], [], 0, False, False
+def blocks(html: str) -> list[tuple[str, float, bool, bool, int]]:
+    """The page's blocks in order: text, link density, whether it is in the main part, in a side part, and its form.
+
+    Inline elements that are hidden, or named as a side part, are left out. An end tag without a start is passed over at
+    once, so that the time is linear in the page's length, however deep it is nested.
+    """
+    found, text, linked, in_link = [], [], 0, False
+    form, aside = 0, False  # of the block that is being read
+    without = ""  # the inline element that is being left out
     stack: list[tuple[str, bool, bool]] = []  # (tag, side, main) as they hold inside
+    opened: Counter[str] = Counter()
 
     def end() -> None:
         nonlocal linked, text
@@ -143,12 +150,26 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool, bool]]:
             clean = " ".join(unescape("".join(text)).split())
             if clean:
                 side, main = stack[-1][1:] if stack else (False, False)
-                found.append((clean, min(1.0, linked / max(1, len(clean))), main, side, heading))
+                found.append((clean, min(1.0, linked / max(1, len(clean))), main, side or aside, form))
         text, linked = [], 0
 
+    def close(i: int) -> None:
+        for tag, *_ in stack[i:]:
+            opened[tag] -= 1
+        del stack[i:]
+
+    def close_last(tag: str, within: frozenset[str] = frozenset()) -> None:
+        """Ends the innermost open element of that name, and what is open in it, unless an element of ``within`` has begun since."""
+        if opened[tag]:
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in within:
+                    return
+                if stack[i][0] == tag:
+                    return close(i)
+
     at = 0
     for m in TOKEN.finditer(html):
-        if m.start() > at:
+        if m.start() > at and not without:
             part = html[at : m.start()]
             text.append(part)
             if in_link:
@@ -162,61 +183,59 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool, bool]]:
         if not tag:
             continue
         if tag in INLINE:
-            if tag == "a":
+            if without:
+                without = "" if m[2] and tag == without else without
+            elif tag == "a":
                 in_link = not m[2]
             elif tag == "br":
                 text.append(" ")
+            elif not m[2] and tag not in ("wbr", "img", "input") and m[4].strip() and kind(tag, m[4])[0]:
+                without = tag
             continue
         end()
-        if tag in HEADINGS:
-            heading = not m[2]
-        elif heading and not m[2]:
-            heading = False
+        without = ""
+        form = 0 if m[2] else 2 if tag in HEADINGS else 1 if tag in PARAGRAPHS else form if form == 2 else 0
+        aside = not m[2] and tag not in STRUCTURE and bool(m[4].strip()) and kind(tag, m[4])[0]
         if tag not in STRUCTURE:
             continue
         in_link = False
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            close_last(tag)
         else:
             if tag == "li":
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ("ul", "ol", "menu"):
-                        break
-                    if stack[i][0] == "li":
-                        del stack[i:]
-                        break
+                close_last("li", frozenset(("ul", "ol", "menu")))
             elif tag == "body" and stack and stack[-1][0] == "head":
-                stack.pop()
+                close(len(stack) - 1)
             side, main = kind(tag, m[4] or "")
             above = stack[-1] if stack else ("", False, False)
-            if tag == "header" and above[2] and not above[1] and not m[4].strip():
-                side = False  # an article's own head
+            if tag == "header" and above[2] and not above[1]:
+                side = kind("div", m[4] or "")[0]  # an article's own head, unless its name says more than that
             if main:
                 side = False
             stack.append((tag, above[1] or side, above[2] or main))
-    if at < len(html):
+            opened[tag] += 1
+    if at < len(html) and not without:
         text.append(html[at:])
     end()
     return found
 
 
-def main_text(html: str | None) -> str:
-    """The article's blocks, a line each; empty if there is none."""
-    found = blocks(html or "")
-    if not found:
-        return ""
+def features(found: list[tuple[str, float, bool, bool, int]]) -> list[tuple]:
+    """FEATURES of each block of a page."""
     on_page = any(main and not side for _, _, main, side, _ in found)
-    words = [0, *(min(100, b[0].count(" ") + 1) for b in found), 0]
+    words = [0, *(b[0].count(" ") + 1 for b in found), 0]
     links = [0.0, *(b[1] for b in found), 0.0]
-    kept = []
-    for i, (clean, link, main, side, heading) in enumerate(found, 1):
-        row = (words[i], link, words[i - 1], links[i - 1], words[i + 1], links[i + 1], main, on_page, side, heading)
-        if accepts(row):
-            kept.append(clean)
-    return "\n".join(kept)
+    places = [0 if side else 3 if main else 1 if on_page else 2 for _, _, main, side, _ in found]
+    return [
+        (words[i], links[i], words[i - 1], links[i - 1], words[i + 1], links[i + 1], b[4], place)
+        for i, (b, place) in enumerate(zip(found, places), 1)
+    ]
+
+
+def main_text(html: str | None, rules: tuple | float | None = None) -> str:
+    """The article's blocks, a line each; empty if there is none. ``rules`` is the tree, if not the usual one."""
+    found, rules = blocks(html or ""), tree() if rules is None else rules
+    return "\n".join(b[0] for b, row in zip(found, features(found)) if accepts(rules, row))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -226,9 +245,11 @@ def extract(pages: DataFrame) -> DataFrame:
     repeated results; an empty table gives an empty one.
     """
 
+    rules = tree()
+
     def make():
         def each(batch):
-            texts = [main_text(h) for h in batch["html"]]
+            texts = [main_text(h, rules) for h in batch["html"]]
             return {"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
         return each
