@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,15 +10,27 @@ from kinmatch.llm import op04_iblt as o
 from kinmatch.llm.queries import op4_iblt
 
 
+def plain_digests(spark, texts):
+    """The digests of each text, made from a list of parts in Python; the hash itself is Spark's."""
+    parts = [Counter(line[i : i + o.PART] for line in t.split("\n") for i in range(0, len(line), o.PART)) for t in texts]
+    wanted = sorted({(p, i) for c in parts for p, n in c.items() for i in range(n)})
+    df = spark.createDataFrame([("", -1), *wanted], "p string, i int")
+    hashed = {(r["p"], r["i"]): r["d"] for r in df.select("p", "i", F.xxhash64(F.xxhash64("p"), "i").alias("d")).collect()}
+    return [{hashed[p, i] for p, n in c.items() for i in range(n)} for c in parts]
+
+
 def near(spark, pairs):
-    """(likeness, by sets) of pairs of texts."""
+    """(likeness, by sets) of pairs of texts, after the digests that differ have been held against the sets'."""
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
     df = df.withColumn("x", o.digests(F.col("a"))).withColumn("y", o.digests(F.col("b")))
-    df = df.select("i", "x", "y", o.likeness(F.col("x"), F.col("y"), o.sketch(F.col("x")), o.sketch(F.col("y"))).alias("l"))
+    df = df.withColumn("d", o.differing(F.col("x"), F.col("y"), o.sketch(F.col("x")), o.sketch(F.col("y"))))
+    df = df.select("i", "x", "y", "d", o.likeness(F.col("x"), F.col("y"), F.col("d")).alias("l"))
+    want = plain_digests(spark, [t for p in pairs for t in p])
     out = []
     for r in df.orderBy("i").collect():
-        x, y = set(r["x"]), set(r["y"])
-        assert len(x) == len(r["x"])
+        x, y = want[2 * r["i"] : 2 * r["i"] + 2]
+        assert sorted(r["x"]) == sorted(x) and sorted(r["y"]) == sorted(y)
+        assert sorted(r["d"]["first"]) == sorted(x - y) and sorted(r["d"]["second"]) == sorted(y - x)
         out.append((r["l"], len(x & y) / len(x | y) if x | y else 1.0))
     return out
 
@@ -34,12 +47,29 @@ def test_likeness_is_exact(spark):
         assert got == pytest.approx(want)
 
 
-def test_fallbacks_are_exact_too(spark, monkeypatch):
-    monkeypatch.setattr(o, "ROUNDS", 1)  # nothing can be peeled in one round
-    for got, want in near(spark, [(LONG, LONG[:-2000]), ("a\nb", "c\nd")]):
+def test_very_long_texts(spark):
+    """Of 60,000 paragraphs, all of which differ or some, some repeated very often; in about linear time."""
+    many = "\n".join(f"p{i}" for i in range(60_000))
+    for got, want in near(spark, [(many, many.replace("7", "8")), ("same\n" * 60_000, "same\n" * 50_000 + many[:9000]), ("x" * 200_000, "y" * 200_000)]):
         assert got == pytest.approx(want)
 
 
+def test_failing_retries_are_tried_again(spark, monkeypatch):
+    """With tables for so many digests that the first of them can't be peeled; and with none that can, there is no result."""
+    monkeypatch.setattr(o, "A_TABLE", 16)
+    for got, want in near(spark, [(LONG, LONG[:-20_000]), (LONG, "other\n" * 3)]):
+        assert got == pytest.approx(want)
+    monkeypatch.setattr(o, "ROUNDS", 1)
+    with pytest.raises(Exception, match="no table tells apart"):
+        near(spark, [(LONG, "other\n" * 3)])
+
+
+def test_where_an_edit_stands_makes_no_difference(spark):
+    lines = [f"paragraph {i} " + "word " * (i % 5) for i in range(60)]
+    made = ["\n".join([*lines[:at], "quite another", *lines[at + 1 :]]) for at in (0, 30, 59)]
+    assert len({got for got, _ in near(spark, [("\n".join(lines), m) for m in made])}) == 1
+
+
 @given(st.lists(st.tuples(st.text("ab\n", max_size=60), st.text("ab\n", max_size=60)), min_size=1, max_size=30))
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 def test_random_texts(spark, pairs):
@@ -77,7 +107,7 @@ def test_edge_cases(spark):
     got = {r["doc_id"]: r for r in o.fingerprints(o.edited_pairs(df)).collect()}
     assert {(d, r["text"], r["edited"]) for d, r in got.items()} == set(brute_edit(docs))
     same = o.edited_pairs(spark.createDataFrame([(1, "aaaa"), (1, "aaaa"), (1, "bbbb"), (3, "cccc")], "doc_id long, text string")).collect()
-    assert sorted((r["doc_id"], r["text"]) for r in same) == [(1, "aaaa"), (1, "bbbb"), (3, "cccc")]
+    assert sorted((r["doc_id"], r["text"]) for r in same) == [(1, "aaaa"), (1, "aaaa"), (1, "bbbb"), (3, "cccc")]
     alone = o.edited_pairs(df.where("doc_id = 5")).first()
     assert alone["edited"] == "abcdefab"
     assert o.fingerprints(o.edited_pairs(df.where("false"))).count() == 0
