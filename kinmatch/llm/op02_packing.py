@@ -3,8 +3,9 @@
 Each task packs the documents it reads, in one pass. What is left of a document after its full windows goes, whole,
 into the partially filled window whose level minimises the sum of the squared counts of windows by level, which is
 tracked in an array of levels. Documents may be cut: when more than ``max_open`` windows are open, or the input ends,
-the open windows' pieces are laid end to end and cut at the window size, so that no more than that many windows are
-ever held and only a task's last tokens are left; these go to sequences whose lengths are powers of two.
+the fullest windows are filled with cuts from the emptiest, and nothing else is moved. So no more than that many windows
+are ever held, the windows that the rule has built stay, and only a task's last window isn't full; what is in it goes to
+sequences whose lengths are powers of two.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ class SumOfSquares:
         self.counts = np.zeros(window + 1, dtype=np.int64)
         self.open: dict[int, list[list]] = {}
         self.n_open = 0
+        self.moved = 0  # ids that were cut from one window to fill another
 
     def level_for(self, size: int) -> int:
         """The level (0: a new window) where an item adds least to the sum of squared counts; ties: the fullest."""
@@ -62,12 +64,35 @@ class SumOfSquares:
         self.n_open += 1
         return None
 
-    def drain(self) -> list:
-        """All items of open windows, of the fullest first; no window is open then."""
-        items = [x for level in sorted(self.open, reverse=True) for w in self.open[level] for x in w]
+    def fill(self, most: int) -> Iterator[list]:
+        """Fills the fullest windows with the last ids of the emptiest until ``most`` are open at most; yields the full ones."""
+        windows = [(level, w) for level in sorted(self.open) for w in self.open[level]]
+        low, high = 0, len(windows) - 1
+        while high - low + 1 > most and low < high:
+            level, items = windows[high]
+            need = self.window - level
+            while need and low < high:
+                size, given = windows[low]
+                ref, start, ids = given.pop()
+                take = min(need, len(ids))
+                items.append((ref, start + len(ids) - take, ids[len(ids) - take :]))
+                if take < len(ids):
+                    given.append((ref, start, ids[: len(ids) - take]))
+                windows[low] = (size - take, given)
+                need -= take
+                self.moved += take
+                low += not given
+            if need:
+                windows[high] = (self.window - need, items)
+            else:
+                yield items
+                high -= 1
         self.open, self.n_open = {}, 0
         self.counts[:] = 0
-        return items
+        for level, items in windows[low : high + 1]:
+            self.open.setdefault(level, []).append(items)
+            self.counts[level] += 1
+            self.n_open += 1
 
 
 def cut(items: list[tuple], sizes: Iterator[int]) -> Iterator[list[tuple]]:
@@ -83,15 +108,9 @@ def cut(items: list[tuple], sizes: Iterator[int]) -> Iterator[list[tuple]]:
                 need, row = next(sizes, 0), []
 
 
-def powers(total: int, window: int) -> list[int]:
-    """Full windows, then powers of two, which add up to the total."""
-    full, rest = divmod(total, window)
-    return [window] * full + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-
-
-def pack_documents(documents: Iterator[tuple], window: int = WINDOW, max_open: int = MAX_OPEN) -> Iterator[list[tuple]]:
+def pack_documents(documents: Iterator[tuple], window: int = WINDOW, max_open: int = MAX_OPEN, levels: SumOfSquares | None = None) -> Iterator[list[tuple]]:
     """Sequences, lists of (ref, start, ids), made from (ref, ids); each id lies in exactly one piece."""
-    levels = SumOfSquares(window)
+    levels = levels or SumOfSquares(window)
     for ref, ids in documents:
         full = len(ids) // window * window
         for at in range(0, full, window):
@@ -101,18 +120,10 @@ def pack_documents(documents: Iterator[tuple], window: int = WINDOW, max_open: i
             if done:
                 yield done
         if levels.n_open > max_open:
-            items = levels.drain()
-            total = sum(len(x[2]) for x in items)
-            kept = total % window  # the last tokens stay open
-            yield from cut(items, iter([window] * (total // window)))
-            for ref_, start, ids_ in reversed(items):
-                if not kept:
-                    break
-                take = min(kept, len(ids_))
-                levels.add(take, (ref_, start + len(ids_) - take, ids_[len(ids_) - take :]))
-                kept -= take
-    items = levels.drain()
-    yield from cut(items, iter(powers(sum(len(x[2]) for x in items), window)))
+            yield from levels.fill(max_open - max_open // 4)
+    yield from levels.fill(1)
+    for level, (items,) in levels.open.items():
+        yield from cut(items, (1 << b for b in range(level.bit_length() - 1, -1, -1) if level >> b & 1))
 
 
 def pack(
