@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -73,6 +74,7 @@ class Speller:
         return (ranked[0][2], ranked[0][0]) if ranked and ranked[0][0] <= self.most else None
 
 
+@lru_cache
 def uom_tokens() -> frozenset[str]:
     """Keys of units, of their labels and of each word of these."""
     parts = {key(p) for unit, labels in UNITS.items() for label in [unit, *labels] for p in [label, *label.split()]}
@@ -104,6 +106,6 @@ def correct_spelling(c: Column, terms: Iterable[tuple[str, int]]) -> Column:
         if not made:
             made.append(Speller(given))
         units = uom_tokens()
-        return s.map(lambda x: correct(x, made[0], units))
+        return s.map({x: correct(x, made[0], units) for x in s.unique()})
 
     return run(c)

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 #: Vectors in a block, on average; a task compares two blocks of one key.
 BLOCK = 2048
-#: Candidates without a key that are compared with all rows at once.
-MOST_QUERIES = 10_000
 
 
 def distinct_texts(rows: DataFrame, text: str, key: str | None = None) -> DataFrame:
@@ -34,17 +32,21 @@ def token_pairs(a: DataFrame, b: DataFrame, threshold: float, own: bool) -> Data
     """``(a, b, cosine)`` of rows of two token tables with one key whose cosine is at least the threshold.
 
     ``own``: a and b are one table, of which each pair is taken once. Only rows with a shared token can be similar, so
-    the join is on key and token; of a row's tokens in ``a``, only as many are looked up as a similar row must share
-    one of (prefix filter: the rest's squared weights are below the squared threshold).
+    the join is on key and token; of a row's tokens, only as many are looked up as a similar row must share one of
+    (prefix filter: the rest's squared weights are below the squared threshold). Both sides rank tokens alike, so the
+    rarest that a similar pair shares is among those of either.
     """
     from pyspark.sql import Window
 
     common = b.groupBy("k", "token").agg(F.count("*").alias("df"))
-    ranked = a.join(common, ["k", "token"])
     rest = Window.partitionBy("rep").orderBy(F.col("df").desc(), "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # in order from the commonest: tokens whose running weight stays below the threshold can't make a pair alone
-    prefix = ranked.withColumn("run", F.sum(F.col("w") * F.col("w")).over(rest)).where(F.col("run") >= threshold * threshold - 1e-9)
-    meet = prefix.select("k", "token", F.col("rep").alias("a")).join(b.select("k", "token", F.col("rep").alias("b")), ["k", "token"])
+
+    def prefix(side: DataFrame, name: str) -> DataFrame:
+        # in order from the commonest: tokens whose running weight stays below the threshold can't make a pair alone
+        ranked = side.join(common, ["k", "token"]).withColumn("run", F.sum(F.col("w") * F.col("w")).over(rest))
+        return ranked.where(F.col("run") >= threshold * threshold - 1e-9).select("k", "token", F.col("rep").alias(name))
+
+    meet = prefix(a, "a").join(prefix(b, "b"), ["k", "token"])
     candidates = meet.where("a <> b" if own else "true").select("k", *([F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")] if own else ["a", "b"])).distinct()
     x = a.select("k", F.col("rep").alias("a"), "token", F.col("w").alias("wa"))
     y = b.select("k", F.col("rep").alias("b"), "token", F.col("w").alias("wb"))
@@ -52,12 +54,20 @@ def token_pairs(a: DataFrame, b: DataFrame, threshold: float, own: bool) -> Data
     return scored.where(F.col("cosine") >= threshold - 1e-12)
 
 
+def _matrix(table: pa.Table) -> np.ndarray:
+    """The vectors of a table, in double precision; a null component is not a number."""
+    flat = table.column("v").combine_chunks().flatten().cast(pa.float64())
+    return flat.to_numpy(zero_copy_only=False).reshape(len(table), -1)
+
+
 def vector_pairs(rows: DataFrame, id_: str, vector: str, threshold: float, key: Column | None = None, block: int = BLOCK) -> DataFrame:
     """``(a, b)``, a < b: rows of one key whose vectors' inner product, in double precision, is at least the threshold.
 
     A key's rows are dealt into blocks by hash, and each pair of blocks is a task of bounded size, however large the key.
+    A null or empty vector, or one with null components, has no pair; vectors of other lengths aren't compared.
     """
     keyed = rows.select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v"), (F.lit("") if key is None else F.coalesce(key.cast("string"), F.lit(""))).alias("k"))
+    keyed = keyed.where(F.size("v") > 0).withColumn("k", F.concat_ws(":", F.size("v").cast("string"), "k"))
     sizes = keyed.groupBy("k").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = keyed.join(sizes, "k").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = placed.select("k", "id", "v", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
@@ -65,7 +75,7 @@ def vector_pairs(rows: DataFrame, id_: str, vector: str, threshold: float, key:
 
     def compare(table: pa.Table) -> pa.Table:
         ids, own, i = (table.column(c).to_numpy() for c in ("id", "own", "i"))
-        x = np.array(table.column("v").to_pylist(), dtype=np.float64)
+        x = _matrix(table)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own != i)
         same = not len(right)
         right = left if same else right
@@ -83,23 +93,37 @@ def vector_pairs(rows: DataFrame, id_: str, vector: str, threshold: float, key:
     return dealt.groupBy("k", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def vector_probe(candidates: DataFrame, rows: DataFrame, threshold: float, key: bool) -> DataFrame:
+def vector_probe(candidates: DataFrame, rows: DataFrame, threshold: float, key: bool, block: int = BLOCK) -> DataFrame:
     """``(cand, id)``: rows ``(id, v, k)`` whose product with a candidate ``(cand, v, k)`` is at least the threshold.
 
-    With ``key``, an equi-join on k, of any size. Without, the candidates are the stated batch of a request: at most
-    ``MOST_QUERIES``, which is checked, so that it can be sent to all rows; each row is compared with the whole batch.
+    With ``key``, an equi-join on k, of any size. Without, both are dealt into blocks by hash, and each pair of a block of
+    candidates and one of rows is a task of bounded size. Null vectors, and such of other lengths, match nothing.
     """
     from ..functions.vectors import dot
 
     if key:
         on = (F.col("c.k") == F.col("r.k")) & (dot(F.col("c.v"), F.col("r.v")) >= threshold)
         return candidates.alias("c").join(rows.alias("r"), on).select("cand", "id")
-    if candidates.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} candidates without a key: give them in batches")
-    batch = candidates.groupBy(F.lit(0).alias("b")).agg(F.collect_list(F.struct("cand", "v")).alias("batch"))
-    met = rows.select("id", "v", F.lit(0).alias("b")).join(F.broadcast(batch), "b")
-    hits = met.select("id", F.explode(F.filter("batch", lambda c: dot(c["v"], F.col("v")) >= threshold)).alias("c"))
-    return hits.select(F.col("c.cand").alias("cand"), "id")
+    sides = [candidates.select(F.col("cand").alias("_id"), "v"), rows.select(F.col("id").alias("_id"), "v")]
+    counts = [max(1, -(-side.count() // block)) for side in sides]
+
+    def dealt(n: int) -> DataFrame:
+        own = F.pmod(F.xxhash64("_id"), F.lit(counts[n])).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.lit(counts[1 - n] - 1)))
+        side = sides[n].where(F.size("v") > 0).select("_id", "v", F.size("v").alias("d"), own.alias("own"), each.alias("other"))
+        place = ("own", "other") if n == 0 else ("other", "own")
+        return side.select(F.col(place[0]).alias("i"), F.col(place[1]).alias("j"), "d", "v", F.lit(n).alias("side"), *[F.col("_id").alias(x) if k == n else F.lit(None).cast(sides[k].schema["_id"].dataType).alias(x) for k, x in enumerate(("cand", "id"))])
+
+    both = dealt(0).unionByName(dealt(1))
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        x = _matrix(table)
+        p, q = np.nonzero(x[left] @ x[right].T >= threshold)
+        return pa.table({"cand": table.column("cand").take(pa.array(left[p])), "id": table.column("id").take(pa.array(right[q]))})
+
+    return both.groupBy("i", "j", "d").applyInArrow(compare, both.select("cand", "id").schema)
 
 
 def exact_vector_groups(rows: DataFrame, id_: str, vector: str, digits: int = 6) -> DataFrame:

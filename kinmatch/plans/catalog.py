@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import identifiers, schedule, spell, text, uom, vectors
 from ..operators import grouping, similarity
 from ..sources import shared, store, tables
-from . import reports, views
+from . import records, reports, views
 
 VECTOR_THRESHOLD = 0.35
 UNITS = ("kgs", "KG", "Pkt", "packets", "m", "yd", "gm", "foo-bar", "%", " Sq. Feet ", "running metres", "oz/yd")
@@ -35,6 +36,18 @@ def vendor_name_groups(spark: SparkSession, d: str) -> DataFrame:
     return reports.text_groups(rows, "text", "numeric", reports.VENDOR_CLUSTER)
 
 
+def vendor_duplicate_report(spark: SparkSession, d: str) -> DataFrame:
+    """The members of the groups of similar names, and of each identifier's groups."""
+    rows = views.vendors(spark, d)
+    names = vendor_name_groups(spark, d).join(rows.select("row_no", "id", F.coalesce("Name", F.lit("")).alias("value")), "row_no")
+    report = grouping.field_report(rows, views.FIELDS)
+    return report.unionByName(names.select(F.lit("NAME").alias("field"), "group_min", "id", "value"))
+
+
+def vendor_duplicate_totals(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.field_totals(vendor_duplicate_report(spark, d))
+
+
 def vendor_identifier_probe(spark: SparkSession, d: str) -> DataFrame:
     v = views.vendors(spark, d)
     candidates = v.where("row_no % 100 = 0").select(F.col("row_no").alias("cand"), F.col("NTN").alias("value"))
@@ -93,7 +106,7 @@ def approval_union(spark: SparkSession, d: str) -> DataFrame:
 def rows_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Minimised rows written as JSON lines and read back."""
     rows = views.items(spark, d).select(F.col("row_no").cast("string"), F.nullif("text", F.lit("")).alias("text"), F.nullif("numeric", F.lit("")).alias("numeric"), "ITEM_TYPE")
-    path = f"{shared.shared_dir(spark).rstrip('/')}/rows-json"
+    path = f"{shared.shared_dir(spark).rstrip('/')}/rows-json-{uuid.uuid4().hex}"
     store.write_json_lines(rows, path)
     return tables.read_json_lines(spark, path, rows.columns)
 
@@ -150,6 +163,27 @@ def item_variant_probe(spark: SparkSession, d: str) -> DataFrame:
     return reports.text_matches(views.with_parts(given).select("cand", "text", "numeric"), views.located(items, views.approval(items)), reports.ITEM_PROBE)
 
 
+def item_match_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many matches of the probe there are in each location."""
+    return records.location_counts(item_variant_probe(spark, d))
+
+
+def item_bulk_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Of all rows as a batch: how many there are, how many are no repeats within it, and its groups."""
+    items = views.items(spark, d)
+    groups = shared.stored(reports.item_groups(items))
+    rest = grouping.first_of_each(items, groups).agg(F.count("*").alias("unique_count"))
+    found = groups.agg(F.countDistinct("group_min").alias("duplicate_groups"))
+    return items.agg(F.count("*").alias("total_submitted")).join(rest).join(found)
+
+
+def item_duplicate_report_records(spark: SparkSession, d: str) -> DataFrame:
+    """The records of the nested report, a row each, with the status of their group."""
+    nested = item_duplicate_report_nested(spark, d)
+    status = [F.col(f"status.{c}").alias(f"{c}_status") for c in views.ITEM_STATUS]
+    return nested.select("group_id", *status, F.explode("records").alias("r")).select("group_id", *[f"{c}_status" for c in views.ITEM_STATUS], "r.*")
+
+
 def _bulk(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     items = views.items(spark, d).select("row_no", "text", "numeric")
     batch = items.where("row_no % 4 = 1")
@@ -205,8 +239,6 @@ def spell_correct(spark: SparkSession, d: str) -> DataFrame:
 
 def embedding_refresh_summary(spark: SparkSession, d: str) -> DataFrame:
     """Writes and publishes a version of the items' vectors, and says what it holds."""
-    import uuid
-
     embedder = vectors.HashedTokens(128)
     rows = views.items(spark, d).select("row_no", "text", "numeric")
     kept = store.Store(spark, f"{shared.shared_dir(spark).rstrip('/')}/items-{uuid.uuid4().hex}")
@@ -218,10 +250,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            vendor_identifier_groups, vendor_field_report, vendor_field_totals, vendor_name_groups, vendor_identifier_probe, vendor_name_probe,
+            vendor_identifier_groups, vendor_field_report, vendor_field_totals, vendor_name_groups, vendor_duplicate_report, vendor_duplicate_totals, vendor_identifier_probe, vendor_name_probe,
             clean_str, normalize_identifier, uom_canonical, item_text_numeric_split, item_normalize_full, item_scan_ordered, catalog_scan,
             approval_union, rows_round_trip, vector_pairs_blocked, vector_pairs_unblocked, vector_exact_groups, vector_components, vector_probe,
-            item_duplicate_report, item_duplicate_report_nested, item_quality_score, item_column_status, item_variant_probe, item_bulk_check,
+            item_duplicate_report, item_duplicate_report_nested, item_duplicate_report_records, item_match_counts, item_bulk_summary, item_quality_score, item_column_status, item_variant_probe, item_bulk_check,
             item_bulk_groups, item_bulk_check_whole, item_bulk_groups_whole, catalog_probe, uom_cascade, next_refresh_slot, spell_correct, embedding_refresh_summary,
         )
     }

@@ -60,7 +60,13 @@ CASES = " ".join(f"WHEN {i} THEN '{u}'" for i, u in enumerate(UNITS_EXPECTED))
 CASCADE = {0: [1], 1: [1], 2: [6], 3: [6], 4: [3], 10: [2], len(UNITS): [4, 5]}
 CASCADE_ROWS = ", ".join(f"({i}, {j}, '{'similar' if i == len(UNITS) else 'alias'}')" for i, ids in CASCADE.items() for j in ids)
 
+STATUS = ", ".join(f"CASE WHEN count(DISTINCT lower(trim({c}))) = 1 THEN 'exact' ELSE 'different' END AS {c}_status" for c in ("ITEM_TYPE", "MAINGROUP", "SUBGROUP")) + ", 'different' AS ITEMDESC_status"  # a description's status is fixed
+NAMED = f"WITH RECURSIVE {VENDORS}, v AS (SELECT row_no, Name AS txt, '' AS num FROM vendor), {clusters('v', 0.9)}, l AS ({LONG}), s AS (SELECT field, k, min(row_no) AS group_min FROM l WHERE k <> '' GROUP BY field, k HAVING count(*) > 1), rep AS (SELECT l.field, s.group_min, l.id, coalesce(l.value, '') AS value FROM l JOIN s USING (field, k) UNION ALL SELECT 'NAME', grp.group_min, vendor.id, vendor.Name FROM grp JOIN vendor USING (row_no))"
 SQL = {
+    "vendor_duplicate_report": f"{NAMED} SELECT * FROM rep",
+    "vendor_duplicate_totals": f"{NAMED}, z AS (SELECT field, group_min, count(*) AS n FROM rep GROUP BY ALL) SELECT field, count(*) AS duplicate_groups, sum(n - 1)::BIGINT AS duplicate_records FROM z GROUP BY field",
+    "item_duplicate_report_records": f"{ITEM_CLUSTERS}, st AS (SELECT group_min, 'DUP_' || dense_rank() OVER (ORDER BY group_min) AS group_id, {STATUS} FROM grp JOIN item USING (row_no) GROUP BY group_min) SELECT group_id, ITEM_TYPE_status, MAINGROUP_status, SUBGROUP_status, ITEMDESC_status, row_no, ITEM_TYPE, MAINGROUP, SUBGROUP, ITEMDESC FROM st JOIN grp USING (group_min) JOIN item USING (row_no)",
+    "item_bulk_summary": f"{ITEM_CLUSTERS} SELECT (SELECT count(*) FROM item) AS total_submitted, (SELECT count(*) FROM item) - (SELECT count(*) - count(DISTINCT group_min) FROM grp) AS unique_count, (SELECT count(DISTINCT group_min) FROM grp) AS duplicate_groups",
     "vendor_identifier_groups": f"WITH {VENDORS}, k AS (SELECT row_no, {norm('NTN')} AS k FROM vendor), g AS (SELECT k, min(row_no) AS group_min FROM k WHERE k <> '' GROUP BY k HAVING count(*) > 1) SELECT row_no, group_min FROM k JOIN g USING (k)",
     "vendor_field_report": f"{REPORT} SELECT * FROM rep",
     "vendor_field_totals": f"{REPORT}, z AS (SELECT field, group_min, count(*) AS n FROM rep GROUP BY ALL) SELECT field, count(*) AS duplicate_groups, sum(n - 1)::BIGINT AS duplicate_records FROM z GROUP BY field",
@@ -84,6 +90,7 @@ SQL = {
     "item_quality_score": f"{ITEM_CLUSTERS}, x AS (SELECT count(*) - count(DISTINCT group_min) AS dup FROM grp), t AS (SELECT count(*) AS n FROM item) SELECT n AS total_records, n - dup AS valid_records, dup AS duplicate_records, round(100.0::DOUBLE * (n - dup) / n, 2) AS Data_quality_score FROM x, t",
     "item_column_status": f"{ITEM_CLUSTERS} SELECT group_min, " + ", ".join(f"CASE WHEN count(DISTINCT lower(trim({c}))) = 1 THEN 'exact' ELSE 'different' END AS {c}" for c in ("ITEM_TYPE", "MAINGROUP", "SUBGROUP")) + ", 'different' AS ITEMDESC FROM grp JOIN item USING (row_no) GROUP BY group_min",
     "item_variant_probe": f"WITH {ITEM}, i AS (SELECT row_no, txt, num FROM item), {LOCATED.format(s='i')}, cand AS (SELECT * FROM (VALUES (1::BIGINT, 'SMALL ring mm', '11'), (2, 'red bolt small MM', '28'), (3, '', '')) t(cand, txt, num)), {probe(0.75)} SELECT * FROM m",
+    "item_match_counts": f"WITH {ITEM}, i AS (SELECT row_no, txt, num FROM item), {LOCATED.format(s='i')}, cand AS (SELECT * FROM (VALUES (1::BIGINT, 'SMALL ring mm', '11'), (2, 'red bolt small MM', '28'), (3, '', '')) t(cand, txt, num)), {probe(0.75)} SELECT location, count(*) AS n FROM m GROUP BY location",
     "item_bulk_check": f"{BULK}, n AS (SELECT cand, count(*) AS n FROM m GROUP BY cand) SELECT cand.cand AS pos, CASE WHEN n.n > 0 THEN 'duplicate' ELSE 'unique' END AS status, coalesce(n.n, 0) AS n_matches FROM cand LEFT JOIN n USING (cand)",
     "item_bulk_groups": f"{BULK} SELECT group_min AS representative, string_agg(row_no, ',' ORDER BY row_no) FILTER (row_no <> group_min) AS duplicates FROM grp GROUP BY group_min",
     "catalog_probe": f"WITH u AS (SELECT 'main' AS location, p_brand AS txt FROM part UNION ALL SELECT 'sub', p_type FROM part), place AS (SELECT location, count(*) AS row_no, txt, '' AS num FROM u GROUP BY location, txt), cand AS (SELECT * FROM (VALUES (1::BIGINT, 'brand#7', ''), (2, 'Economy', ''), (3, 'Brand#7 Economy', ''), (4, '!!!', '')) t(cand, txt, num)), {probe(0.97)} SELECT * FROM m",

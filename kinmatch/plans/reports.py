@@ -36,10 +36,12 @@ def vector_groups(rows: DataFrame, threshold: float) -> DataFrame:
 def text_matches(candidates: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """``(cand, location, row_no)``: rows similar to candidates ``(cand, text, numeric)`` with an equal numeric part.
 
-    Two texts without a word are as similar as equal ones: what has no token but an equal key is a match.
+    Two texts without a word are as similar as equal ones: what has no token but an equal key is a match. Only rows with a
+    candidate's key are read into tokens.
     """
-    given = distinct_texts(candidates.select(F.col("cand").alias("row_no"), "text", "numeric"), "text", "numeric")
-    there = distinct_texts(rows.select("row_no", "text", "numeric"), "text", "numeric")
+    given = stored(distinct_texts(candidates.select(F.col("cand").alias("row_no"), "text", "numeric"), "text", "numeric"))
+    rows = stored(rows.select("location", "row_no", "text", "numeric").join(given.select(F.col("k").alias("numeric")).distinct(), "numeric", "left_semi"))
+    there = stored(distinct_texts(rows, "text", "numeric"))
     similar = token_pairs(token_weights(given), token_weights(there), threshold, own=False).select("a", "b")
     blank = given.where("t = ''").select("k", F.col("rep").alias("a")).join(there.where("t = ''").select("k", F.col("rep").alias("b")), "k").select("a", "b")
     hits = similar.unionByName(blank)

@@ -1,4 +1,4 @@
-"""The engine's relations over the tables at hand: items are parts, vendors are customers and suppliers, catalogs their codes."""
+"""The engine's relations over the tables at hand: items are parts, vendors are customers, catalogs their codes."""
 
 from __future__ import annotations
 

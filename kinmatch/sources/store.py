@@ -89,9 +89,12 @@ class Store:
         out = fs.create(fresh, True)
         out.write(bytearray(json.dumps(asdict(made)).encode()))
         out.close()
-        if fs.exists(current):
-            fs.delete(current, False)
-        fs.rename(fresh, current)
+        jvm, _ = self._fs()
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE  # readers see the old pointer or the new one
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(context.makeQualified(fresh), context.makeQualified(current), how)
 
     def read(self) -> DataFrame:
         """The rows of the published version; FileNotFoundError before the first."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -52,12 +53,13 @@ def order_by(clause: str | None, df: DataFrame, fallback: Sequence[str] = ITEM_C
 def with_row_no(df: DataFrame, order: Sequence[Column], name: str = "row_no") -> DataFrame:
     """Numbers rows from 1 in the given order. Rows are dealt by ranges; one task only adds up the ranges' counts."""
     spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stored(df.repartitionByRange(spread, *order).withColumn("_part", F.spark_partition_id()))
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    skip = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    numbered = dealt.withColumn("_own", own).join(F.broadcast(sizes.select("_part", skip.alias("_skip"))), "_part")
-    return numbered.withColumn(name, (F.col("_own") + F.col("_skip")).cast("long")).drop("_part", "_own", "_skip")
+    part, own, skip, n = (f"_{x}_{uuid.uuid4().hex}" for x in ("part", "own", "skip", "n"))  # no column of the rows has such a name
+    dealt = stored(df.repartitionByRange(spread, *order).withColumn(part, F.spark_partition_id()))
+    sizes = dealt.groupBy(part).agg(F.count("*").alias(n))
+    before = F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = dealt.withColumn(own, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    numbered = numbered.join(F.broadcast(sizes.select(part, before.alias(skip))), part)
+    return numbered.withColumn(name, (F.col(own) + F.col(skip)).cast("long")).drop(part, own, skip)
 
 
 def item_rows(df: DataFrame, order: str | None = None, extras: bool = False, limit: int | None = None) -> DataFrame:

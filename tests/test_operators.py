@@ -82,3 +82,29 @@ def test_groups_and_reports(spark):
     assert [tuple(r) for r in field_totals(report).collect()] == [("ident", 2, 2)]
     empty = df.where("false")
     assert totals(empty, groups.where("false")).first()["Data_quality_score"] == 0.0
+
+
+def test_vectors_of_all_kinds(spark):
+    """Null vectors, null components and other lengths have no pairs; candidates without a key in blocks lose none."""
+    from kinmatch.operators.similarity import vector_pairs, vector_probe
+
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [None, 1.0]), (5, []), (6, [1.0]), (7, [1.0, 0.0, 5.0])]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    assert [(r["a"], r["b"]) for r in vector_pairs(df, "id", "v", 0.9, block=2).collect()] == [(1, 2)]
+    rng = random.Random(4)
+    many = [(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(40)]
+    df = spark.createDataFrame(many, "id long, v array<double>")
+    want = {(i, j) for i, x in many[:15] for j, y in many if sum(a * b for a, b in zip(x, y)) >= 0.5}
+    given = df.where("id < 15").withColumnRenamed("id", "cand")
+    for block in (4, 1000):
+        got = [(r["cand"], r["id"]) for r in vector_probe(given, df, 0.5, False, block).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert vector_probe(given.where("false"), df, 0.5, False).count() == 0
+
+
+def test_row_numbers_leave_columns_alone(spark):
+    from kinmatch.sources.tables import with_row_no
+
+    df = spark.createDataFrame([(2, "a", 7, 8), (1, "b", 9, 10)], "id long, _part string, _own int, _skip int")
+    made = with_row_no(df, [F.col("id").asc()])
+    assert made.columns == [*df.columns, "row_no"] and [tuple(r) for r in made.orderBy("id").collect()] == [(1, "b", 9, 10, 1), (2, "a", 7, 8, 2)]
