@@ -51,9 +51,9 @@ REPORT = f"""WITH {VENDORS}, l AS ({LONG}),
   rep AS (SELECT l.field, s.group_min, l.id, coalesce(l.value, '') AS value FROM l JOIN s USING (field, k))"""
 COSINE = "array_cosine_similarity(a.embedding::DOUBLE[64], b.embedding::DOUBLE[64])"
 PRODUCT = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
-BULK = f"""WITH RECURSIVE {ITEM}, batch AS (SELECT * FROM item WHERE row_no % 4 = 1), {clusters('batch', 0.985)},
+BULK = f"""WITH RECURSIVE {ITEM}, batch AS (SELECT * FROM item), {clusters('batch', 0.985)},
   cand AS (SELECT row_no AS cand, txt, num FROM batch WHERE row_no NOT IN (SELECT row_no FROM grp WHERE row_no <> group_min)),
-  place AS (SELECT 'db' AS location, row_no, txt, num FROM item WHERE row_no % 4 = 2 UNION ALL SELECT 'approval', row_no, txt, num FROM item WHERE row_no % 20 = 0),
+  place AS (SELECT 'db' AS location, row_no, txt, num FROM item UNION ALL SELECT 'approval', row_no, txt, num FROM item WHERE row_no % 10 = 0),
   {probe(0.75)}"""
 CASES = " ".join(f"WHEN {i} THEN '{u}'" for i, u in enumerate(UNITS_EXPECTED))
 #: What the cascade finds for each label of UNITS, and for a last one that only a similar label matches.

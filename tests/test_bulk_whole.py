@@ -23,9 +23,9 @@ def test_whole_table_and_queue_are_probed(spark, sf):
         root = new
     queue = [r["row_no"] for r in views.approval(views.items(spark, sf)).collect()]
     want = {i: sum(like(rows[i], rows[j], reports.ITEM_PROBE) for j in [*rows, *queue]) for i in rows if root[i] == i}
-    got = catalog.queries()["item_bulk_check_whole"](spark, sf).collect()
+    got = catalog.queries()["item_bulk_check"](spark, sf).collect()
     assert {r["pos"]: r["n_matches"] for r in got} == want
     assert all(r["status"] == "duplicate" for r in got)  # each row is in the main table itself
     groups = {i: ",".join(str(j) for j in sorted(root) if root[j] == i and j != i) for i in want}
-    got = {r["representative"]: r["duplicates"] for r in catalog.queries()["item_bulk_groups_whole"](spark, sf).collect()}
+    got = {r["representative"]: r["duplicates"] for r in catalog.queries()["item_bulk_groups"](spark, sf).collect()}
     assert got == {i: g for i, g in groups.items() if g}
