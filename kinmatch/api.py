@@ -22,7 +22,7 @@ from .operators.grouping import column_status, field_report, field_totals, first
 from .operators.similarity import vector_pairs, vector_probe
 from .plans.records import answer, cache_rows, embedding_text, location_rank, minimized, schema_records
 from .sources.shared import stored
-from .sources.store import Store, Summary
+from .sources.store import Store, Summary, guard
 from .sources.tables import ITEM_COLUMNS, catalog_rows, item_rows, vendor_rows
 
 #: Vendors' identifier fields, by the name that a report gives them.
@@ -79,8 +79,7 @@ class Engine:
         found = self.items.summary()
         if found is None:
             raise FileNotFoundError("items have no published version")
-        if found.model != self.embedder.name:
-            raise RuntimeError(f"items were embedded by {found.model}, not by {self.embedder.name}")
+        guard(found, self.embedder.name, getattr(self.embedder, "width", None))
         take = lambda df, place: df.select(F.lit(place).alias("location"), "row_no", "ITEMDESC", F.col("embedding").alias("v"), match_key(F.col("numeric")).alias("k"))
         out = take(self.items.read(), "db")
         return out if approval is None else out.unionByName(take(self._prepared(item_rows(approval)), "approval"))
@@ -144,9 +143,7 @@ class Engine:
 
     def vendor_check_duplicate_name(self, name: str, approval: DataFrame) -> DataFrame:
         """``(cand, status, matches)`` of a name against the published vendors and the approval queue."""
-        found = self.vendors.summary()
-        if found is None or found.model != self.embedder.name:
-            raise RuntimeError("vendors have no published version of this model")
+        guard(self.vendors.summary(), self.embedder.name, getattr(self.embedder, "width", None))
         queue = embed(vendor_rows(approval).withColumn("text", F.coalesce("Name", F.lit(""))), "text", self.embedder)
         both = self.vendors.read().withColumn("location", F.lit("db")).unionByName(queue.withColumn("location", F.lit("approval")), allowMissingColumns=True)
         places = stored(both.select(F.struct("location", "row_no").alias("sid"), "location", "id", "Name", F.col("row_no").alias("row#"), F.col("embedding").alias("v")))

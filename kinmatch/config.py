@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import os
+import sys
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
@@ -29,6 +31,12 @@ class Settings:
         return cls(**{f.name: kinds[f.type](env[prefix + f.name.upper()]) for f in fields(cls) if prefix + f.name.upper() in env})
 
 
+def setup_logging(level: int = logging.INFO) -> None:
+    """Messages to standard output, unless the program has set up logging itself."""
+    if not logging.getLogger().handlers:
+        logging.basicConfig(level=level, format="%(asctime)s %(levelname)s %(name)s: %(message)s", stream=sys.stdout)
+
+
 def read_env_file(text: str, env: Mapping[str, str]) -> dict[str, str]:
     """The variables of a ``.env`` text that ``env`` doesn't have; a value that is quoted as a whole loses its quotes."""
     out = {}

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,3 +109,66 @@ def correct_spelling(c: Column, terms: Iterable[tuple[str, int]]) -> Column:
         return s.map({x: correct(x, made[0], units) for x in s.unique()})
 
     return run(c)
+
+
+def term_frequencies(rows: DataFrame, text: str) -> DataFrame:
+    """``(term, frequency)``: the lower-case words of a text column, those with a digit left out."""
+    words = rows.select(F.explode(F.split(F.lower(F.col(text)), r"(?U)[\s,;]+")).alias("term"))
+    return words.where(~F.col("term").rlike(r"(?U)\d") & (F.length("term") > 2)).groupBy("term").agg(F.count("*").alias("frequency"))
+
+
+def _deletes(word: Column, most: int) -> Column:
+    """The word and all that is left of it without up to ``most`` letters."""
+    def shorter(w: Column) -> Column:
+        at = F.when(F.length(w) > 0, F.sequence(F.lit(1), F.length(w))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+
+    out = F.array(word)
+    layer = out
+    for _ in range(most):
+        layer = F.array_distinct(F.flatten(F.transform(layer, shorter)))
+        out = F.array_union(out, layer)
+    return out
+
+
+@F.pandas_udf(T.IntegerType())
+def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([distance(x, y) for x, y in zip(a, b)], index=a.index, dtype="int32")
+
+
+def closest_terms(words: DataFrame, terms: DataFrame, most: int = MOST_EDITS) -> DataFrame:
+    """``(word, term, edits)`` of distinct ``words (word)`` and the closest of ``terms (term, frequency)``, of any size.
+
+    Both sides meet at what is left of them without some letters. Ties go to the most frequent term, then by name. A word
+    that is longer than any term by more than the edits allowed has none, and isn't taken apart.
+    """
+    longest = terms.agg(F.max(F.length("term")).alias("longest"))
+    near = words.join(F.broadcast(longest), F.length("word") <= F.col("longest") + most)  # one row
+    left = near.select("word", F.explode(_deletes(F.col("word"), most)).alias("rest"))
+    right = terms.select("term", "frequency", F.explode(_deletes(F.col("term"), most)).alias("rest"))
+    pairs = left.join(right, "rest").select("word", "term", "frequency").distinct()
+    scored = pairs.withColumn("edits", _distance("word", "term")).where(F.col("edits") <= most)
+    best = scored.groupBy("word").agg(F.min(F.struct("edits", (-F.col("frequency")).alias("rare"), "term")).alias("b"))
+    return best.select("word", "b.term", "b.edits")
+
+
+def correct_texts(rows: DataFrame, text: str, terms: DataFrame, to: str = "corrected") -> DataFrame:
+    """``rows`` with the corrected text, as ``correct`` has it, for a dictionary ``(term, frequency)`` of any size.
+
+    Each distinct text is taken apart once and each distinct word is looked up once. A null text is empty.
+    """
+    from ..sources.shared import stored
+
+    given = F.coalesce(F.col(text), F.lit(""))
+    tokens = rows.select(given.alias("_text")).distinct().select("_text", F.posexplode(F.split("_text", r"(?U)\s+")).alias("_at", "_token"))
+    tokens = tokens.withColumn("_token", F.regexp_replace("_token", "[,;]+$", "")).where("_token <> ''")
+    bare = F.upper(F.regexp_replace("_token", "[().#,:;]", ""))
+    unit = F.regexp_replace(F.lower("_token"), "[^a-z0-9]", "").isin(*sorted(uom_tokens()))
+    keep = F.col("_token").rlike(r"(?U)\d") | (F.length(bare) <= 2) | bare.isin(*sorted(MATERIALS | COLORS | DIMENSIONS)) | unit
+    tokens = stored(tokens.withColumn("_word", F.when(~keep, F.lower(bare))))
+    found = closest_terms(tokens.where("_word is not null").select(F.col("_word").alias("word")).distinct(), terms)
+    changed = tokens.join(found.where("edits > 0"), F.col("_word") == F.col("word"), "left")
+    placed = changed.select("_text", F.struct("_at", F.coalesce(F.upper("term"), F.col("_token")).alias("t")).alias("p"))
+    made = placed.groupBy("_text").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["t"]), " ").alias("_made"))
+    joined = rows.withColumn("_text", given).join(made, "_text", "left").withColumn(to, F.coalesce("_made", F.lit("")))
+    return joined.drop("_text", "_made")

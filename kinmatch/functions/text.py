@@ -86,6 +86,32 @@ def numeric_part(normalized: Column) -> Column:
     return clean_str(F.array_join(F.filter(_tokens(normalized), lambda t: t.rlike(r"(?U)\d")), " "))
 
 
+# Units in words and the shapes of dimensions.
+UNIT = r"(?:MM|CM|M\b|FT|INCH|IN\b|UF|MFD|NF|PF|VDC|VAC|VCA|MA\b|TEX|GSM|V\b|W\b|KW|MW|HP|BAR|PSI|KGF?|GM|G\b|LB|OZ|RPM|NOS|MTR|YDS|\"|')"
+DIMENSION = (
+    rf"[\d.,/~\-]+\s*{UNIT}",
+    r"[\d.]+[Xx\*][\d.]+(?:[Xx\*][\d.]+)?(?:MM|CM|\"|FT|IN)?",
+    r"[\d.]+[\"'](?:[Xx\*][\d.]+[\"'])+",
+    r"[\d.,/~\-]+",
+    r"[\d.,/~\-]+[\"']",
+)
+
+
+def is_dimension(token: Column) -> Column:
+    """Whether a token is a number, a number with a unit, or a product of such."""
+    return F.coalesce(token.rlike("(?iU)^(?:" + "|".join(DIMENSION) + ")$"), F.lit(False))
+
+
+def is_unit(token: Column) -> Column:
+    """Whether a token is a unit."""
+    return F.coalesce(token.rlike(f"(?iU)^{UNIT}$"), F.lit(False))
+
+
+def bare_token(token: Column) -> Column:
+    """A token in upper case without brackets, dots, commas, colons and number signs."""
+    return F.upper(F.regexp_replace(token, "[().#,:]", ""))
+
+
 def match_key(c: Column) -> Column:
     """What equality of numeric parts and of column values goes by; never null."""
     return F.lower(strip(F.coalesce(c.cast("string"), F.lit(""))))

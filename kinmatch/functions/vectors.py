@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -30,6 +32,14 @@ class Embedder(Protocol):
     def __call__(self, texts: list[str]) -> np.ndarray: ...
 
 
+@lru_cache(maxsize=1 << 16)
+def _hash(token: str) -> int:
+    h = 0
+    for b in token.encode():
+        h = (h * 131 + b) & 0xFFFFFFFF
+    return h
+
+
 class HashedTokens:
     """Term frequencies of lower-case tokens, hashed to ``width`` numbers; needs no model and gives equal texts equal vectors."""
 
@@ -40,20 +50,45 @@ class HashedTokens:
         out = np.zeros((len(texts), self.width), dtype=np.float32)
         for i, t in enumerate(texts):
             for token in t.lower().split():
-                h = 0
-                for b in token.encode():
-                    h = (h * 131 + b) & 0xFFFFFFFF
-                out[i, h % self.width] += 1
+                out[i, _hash(token) % self.width] += 1
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norms, out=out, where=norms > 0)
 
 
+#: Models that this worker process has loaded, by name.
+_LOADED: dict[str, Callable[[list[str]], np.ndarray]] = {}
+
+
+class Model:
+    """A model that each worker loads once, when it first meets it; only its name and ``load`` are sent to the workers."""
+
+    def __init__(self, name: str, load: Callable[[], Callable[[list[str]], np.ndarray]]):
+        self.name, self.load = name, load
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        if self.name not in _LOADED:
+            _LOADED[self.name] = self.load()
+        return _LOADED[self.name](texts)
+
+
+def in_halves(embedder: Embedder, texts: list[str]) -> np.ndarray:
+    """The vectors of texts; where memory doesn't suffice for all, those of either half."""
+    try:
+        return np.asarray(embedder(texts), dtype=np.float32)
+    except MemoryError:
+        if len(texts) < 2:
+            raise
+    half = len(texts) // 2
+    return np.concatenate([in_halves(embedder, texts[:half]), in_halves(embedder, texts[half:])])
+
+
 def embed(df: DataFrame, text: str, embedder: Embedder, to: str = "embedding") -> DataFrame:
     """Adds the vector of a text column, a batch at a time on the executors; a null text counts as empty."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def vectors(texts: pd.Series) -> pd.Series:
-        made = embedder(texts.fillna("").tolist())
-        return pd.Series(list(made), index=texts.index)
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            made = in_halves(embedder, texts.fillna("").tolist()) if len(texts) else []
+            yield pd.Series(list(made), index=texts.index, dtype=object)
 
     return df.withColumn(to, vectors(F.col(text)))

@@ -16,7 +16,6 @@ from . import records, reports, views
 VECTOR_THRESHOLD = 0.35
 UNITS = ("kgs", "KG", "Pkt", "packets", "m", "yd", "gm", "foo-bar", "%", " Sq. Feet ", "running metres", "oz/yd")
 UNITS_EXPECTED = ("KILOGRAM", "KILOGRAM", "PACKET", "PACKET", "MICRON", "SQUARE_YARD", "GSM", "FOOBAR", "", "SQUARE_FEET", "METER", "OZ_PER_SQ_YD")
-TERMS = (("small", 900), ("large", 800), ("red", 700), ("ring", 600), ("bolt", 500), ("widget", 400), ("gear", 300), ("plate", 200), ("gizmo", 100))
 
 
 def vendor_identifier_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -219,8 +218,9 @@ def next_refresh_slot(spark: SparkSession, d: str) -> DataFrame:
 
 def spell_correct(spark: SparkSession, d: str) -> DataFrame:
     typed = F.regexp_replace(F.regexp_replace("p_name", "ll", "l"), "dge", "deg")
-    rows = views.table(spark, d, "part").select("p_partkey", F.concat(typed, F.lit(" 20mm STEEL kgs")).alias("typed"))
-    return rows.select("p_partkey", spell.correct_spelling(F.col("typed"), TERMS).alias("corrected"))
+    part = views.table(spark, d, "part")
+    rows = part.select("p_partkey", F.concat(typed, F.lit(" 20mm STEEL kgs")).alias("typed"))
+    return spell.correct_texts(rows, "typed", spell.term_frequencies(part, "p_name")).select("p_partkey", "corrected")
 
 
 def embedding_refresh_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -233,7 +233,9 @@ def embedding_refresh_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    from . import service
+
+    return service.queries() | {
         f.__name__: f
         for f in (
             vendor_identifier_groups, vendor_field_report, vendor_field_totals, vendor_name_groups, vendor_duplicate_report, vendor_duplicate_totals, vendor_identifier_probe, vendor_name_probe,
@@ -246,6 +248,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import service_oracle
     from .oracle import SQL
 
-    return dict(SQL)
+    return SQL | service_oracle.SQL

@@ -60,6 +60,16 @@ CASES = " ".join(f"WHEN {i} THEN '{u}'" for i, u in enumerate(UNITS_EXPECTED))
 CASCADE = {0: [1], 1: [1], 2: [6], 3: [6], 4: [3], 10: [2], len(UNITS): [4, 5]}
 CASCADE_ROWS = ", ".join(f"({i}, {j}, '{'similar' if i == len(UNITS) else 'alias'}')" for i, ids in CASCADE.items() for j in ids)
 
+#: Colours are never corrected; no other word of the table is a unit or a term of the domain.
+SPELL = """WITH w AS (SELECT lower(unnest(string_split(p_name, ' '))) AS term FROM part),
+  term AS (SELECT term, count(*) AS f FROM w WHERE length(term) > 2 GROUP BY term),
+  typed AS (SELECT p_partkey, unnest(string_split(replace(replace(p_name, 'll', 'l'), 'dge', 'deg'), ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS place FROM part),
+  near AS (SELECT word, term, f, damerau_levenshtein(word, term) AS edits FROM (SELECT DISTINCT word FROM typed) JOIN term ON damerau_levenshtein(word, term) <= 2 WHERE word NOT IN ('red', 'blue')),
+  best AS (SELECT word, term, edits FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY edits, f DESC, term) = 1)
+  SELECT p_partkey, string_agg(CASE WHEN edits > 0 THEN upper(term) ELSE word END, ' ' ORDER BY place) || ' 20mm STEEL kgs' AS corrected
+  FROM typed LEFT JOIN best USING (word) GROUP BY p_partkey"""
+NORMAL = "p_name || ' IM # ' || p_partkey || ' PRONG: ' || p_size || ' 1.5 x 40s A 10-12 ' || p_size || ' GSM x'"
+
 STATUS = ", ".join(f"CASE WHEN count(DISTINCT lower(trim({c}))) = 1 THEN 'exact' ELSE 'different' END AS {c}_status" for c in ("ITEM_TYPE", "MAINGROUP", "SUBGROUP")) + ", 'different' AS ITEMDESC_status"  # a description's status is fixed
 NAMED = f"WITH RECURSIVE {VENDORS}, v AS (SELECT row_no, Name AS txt, '' AS num FROM vendor), {clusters('v', 0.9)}, l AS ({LONG}), s AS (SELECT field, k, min(row_no) AS group_min FROM l WHERE k <> '' GROUP BY field, k HAVING count(*) > 1), rep AS (SELECT l.field, s.group_min, l.id, coalesce(l.value, '') AS value FROM l JOIN s USING (field, k) UNION ALL SELECT 'NAME', grp.group_min, vendor.id, vendor.Name FROM grp JOIN vendor USING (row_no))"
 SQL = {
@@ -95,6 +105,8 @@ SQL = {
     "item_bulk_groups": f"{BULK} SELECT group_min AS representative, string_agg(row_no, ',' ORDER BY row_no) FILTER (row_no <> group_min) AS duplicates FROM grp GROUP BY group_min",
     "catalog_probe": f"WITH u AS (SELECT 'main' AS location, p_brand AS txt FROM part UNION ALL SELECT 'sub', p_type FROM part), place AS (SELECT location, count(*) AS row_no, txt, '' AS num FROM u GROUP BY location, txt), cand AS (SELECT * FROM (VALUES (1::BIGINT, 'brand#7', ''), (2, 'Economy', ''), (3, 'Brand#7 Economy', ''), (4, '!!!', '')) t(cand, txt, num)), {probe(0.97)} SELECT * FROM m",
     "uom_cascade": f"SELECT p_partkey AS cand, id::BIGINT AS id, how FROM part JOIN (VALUES {CASCADE_ROWS}) t(i, id, how) ON p_partkey % {len(UNITS) + 1} = i",
+    "spell_correct": SPELL,
+    "item_normalize_full": f"SELECT p_partkey, {NORMAL} AS normal, p_name || ' IM # PRONG: x A GSM x' AS text, p_partkey || ' ' || p_size || ' 1.5 40s 10-12 ' || p_size AS numeric FROM part",
     "next_refresh_slot": "SELECT event_id, date_trunc('day', ts) + to_hours(4 * (CAST(floor(date_part('hour', ts) / 4) AS INTEGER) + 1)) AS slot FROM events",
     "embedding_refresh_summary": "SELECT count(*) AS total, 128::BIGINT AS dim, 'hashed-tokens-128' AS model, 'complete' AS status FROM part",
 }

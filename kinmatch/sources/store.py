@@ -46,6 +46,26 @@ def mismatches(found: Summary | None, model: str, rows: int, digest: str | None
     return out
 
 
+def cache_action(found: Summary | None, model: str, rows: int, digest: str | None = None, force: bool = False) -> str:
+    """What a writer would do with a version: ``reuse`` it, ``compute`` a new one, or find it ``missing``."""
+    if force:
+        return "compute"
+    if found is None:
+        return "missing"
+    return "compute" if mismatches(found, model, rows, digest) else "reuse"
+
+
+def guard(found: Summary | None, model: str, dim: int | None = None) -> Summary:
+    """The version, if vectors of ``model`` with ``dim`` components can be compared with it; RuntimeError if not."""
+    if found is None:
+        raise RuntimeError("no version is published")
+    if found.model != model:
+        raise RuntimeError(f"vectors were made by {found.model}, not by {model}")
+    if dim is not None and found.rows and found.dim != dim:
+        raise RuntimeError(f"vectors have {found.dim} components, not {dim}")
+    return found
+
+
 class Store:
     """Versions below one path of any file system that Spark reaches; readers see a version whole or not at all."""
 
@@ -75,7 +95,9 @@ class Store:
         try:
             rows.write.parquet(staged.toString())
             kept = self.spark.read.parquet(staged.toString())
-            n, dim = kept.agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(0))).first()
+            n, dim, least = kept.agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(0)), F.coalesce(F.min(F.size(vector)), F.lit(0))).first()
+            if dim != least:
+                raise ValueError(f"vectors have {least} to {dim} components")
             made = Summary(version, model, n, dim, text_digest(kept, text=text))
             self._publish(made)
         except Exception:
@@ -116,6 +138,36 @@ class Store:
         return self.write(make(rows), model)
 
 
+#: Columns of records that aren't written out.
+PRIVATE = ("_item_description", "_item_type", "_main_group", "_sub_group")
+
+
+def without_private(records: DataFrame) -> DataFrame:
+    return records.drop(*PRIVATE)
+
+
 def write_json_lines(rows: DataFrame, path: str) -> None:
     """Rows as JSON lines, nulls written out."""
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_json_arrays(rows: DataFrame, path: str) -> None:
+    """Rows as JSON arrays, nulls written out: a file for each partition of ``rows``, each of them one array.
+
+    Arrays are written by the executors a row at a time; whoever needs a single file coalesces the rows to one partition.
+    A table without rows gives empty arrays, or an empty file where it has no partitions.
+    """
+    line = rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}).alias("line"))
+
+    def bracketed(batches):
+        import pyarrow as pa
+
+        first = True
+        for batch in batches:
+            values = [("[" if first and i == 0 else ",") + v for i, v in enumerate(batch.column(0).to_pylist())]
+            if values:
+                first = False
+                yield pa.RecordBatch.from_pydict({"value": pa.array(values, pa.string())})
+        yield pa.RecordBatch.from_pydict({"value": pa.array(["[]" if first else "]"], pa.string())})
+
+    line.mapInArrow(bracketed, "value string").write.mode("overwrite").text(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 import uuid
 from collections.abc import Sequence
@@ -17,13 +18,20 @@ ITEM_EXTRAS = ("ITEM_CODE", "UOM", "Supplier")
 VENDOR_COLUMNS = ("id", "Name", "CNIC", "NTN", "SalesTaxNo", "AccountNo", "IbanNO")
 FETCH_ROWS = 5000
 
+log = logging.getLogger(__name__)
+
+
+def quoted(name: str) -> str:
+    """A column's name in backticks; those inside it are doubled."""
+    return "`" + name.replace("`", "``") + "`"
+
 
 def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The named columns, in that order; KeyError if one is missing."""
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise KeyError(f"missing columns: {missing}")
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+    return df.select(*[F.col(quoted(c)) for c in columns])
 
 
 def has_column(df: DataFrame, name: str) -> bool:
@@ -38,7 +46,7 @@ def order_by(clause: str | None, df: DataFrame, fallback: Sequence[str] = ITEM_C
     """
     if not (clause or "").strip():
         names = ["id"] if has_column(df, "id") else list(fallback)
-        return [F.col(f"`{c}`").asc_nulls_last() for c in names]
+        return [F.col(quoted(c)).asc_nulls_last() for c in names]
     out = []
     for part in clause.split(","):
         m = re.fullmatch(r"\s*\"?([A-Za-z_][A-Za-z0-9_]*)\"?\s*(ASC|DESC)?\s*(?:NULLS\s+(FIRST|LAST))?\s*", part, re.I)
@@ -62,29 +70,32 @@ def with_row_no(df: DataFrame, order: Sequence[Column], name: str = "row_no") ->
     return numbered.withColumn(name, (F.col(own) + F.col(skip)).cast("long")).drop(part, own, skip)
 
 
+def _first(df: DataFrame, order: Sequence[Column], limit: int | None) -> DataFrame:
+    """Numbered rows; of a limit, only the first rows of each partition are put in order and numbered."""
+    return with_row_no(df if limit is None else df.orderBy(*order).limit(limit), order)
+
+
 def item_rows(df: DataFrame, order: str | None = None, extras: bool = False, limit: int | None = None) -> DataFrame:
-    """Item rows as texts with their row number, of four columns or, with ``extras``, of seven."""
+    """Item rows as texts with their row number, of four columns or, with ``extras``, of seven; the first ``limit`` if given."""
     names = ITEM_COLUMNS + (ITEM_EXTRAS if extras else ())
     missing = [c for c in names if c not in df.columns]
     if missing:
         raise KeyError(f"missing columns: {missing}")
-    rows = with_row_no(df, order_by(order, df)).select("row_no", *[F.col(f"`{c}`").cast("string").alias(c) for c in names])
-    return rows if limit is None else rows.where(F.col("row_no") <= limit)
+    return _first(df, order_by(order, df), limit).select("row_no", *[F.col(quoted(c)).cast("string").alias(c) for c in names])
 
 
 def vendor_rows(df: DataFrame, order: str | None = None, limit: int | None = None) -> DataFrame:
     """Vendor rows with their row number, by id."""
-    rows = with_row_no(require(df, VENDOR_COLUMNS), order_by(order, df))
-    return rows if limit is None else rows.where(F.col("row_no") <= limit)
+    return _first(require(df, VENDOR_COLUMNS), order_by(order, df), limit)
 
 
 def catalog_rows(df: DataFrame, text: str, id_: str = "id") -> DataFrame:
     """``(id, text)`` of a catalog: null ids are 0, a table without ids is numbered; null texts are empty, others stripped."""
     from ..functions.text import strip
 
-    label = strip(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("text")
+    label = strip(F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))).alias("text")
     if has_column(df, id_):
-        return df.select(F.coalesce(F.col(f"`{id_}`").cast("long"), F.lit(0)).alias("id"), label)
+        return df.select(F.coalesce(F.col(quoted(id_)).cast("long"), F.lit(0)).alias("id"), label)
     return with_row_no(df, order_by(None, df, [text]), "id").select("id", label)
 
 
@@ -97,9 +108,11 @@ def read_jdbc(spark: SparkSession, url: str, table: str, columns: Sequence[str],
 
 
 def read_json_lines(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """Rows of texts from JSON lines; lines that are blank are skipped."""
+    """Rows of texts from JSON lines; lines that are blank are skipped, others that can't be read are an error when read."""
+    if not set(columns) & set(ITEM_COLUMNS):
+        log.warning("none of the display columns is read from %s", path)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def read_excel(spark: SparkSession, path: str, sheet: str | int = 0, limit: int | None = None) -> DataFrame:

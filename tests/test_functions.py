@@ -91,3 +91,50 @@ def test_embedding(spark):
     assert rows[0]["embedding"] == rows[1]["embedding"]
     assert sum(x * x for x in rows[0]["embedding"]) == pytest.approx(1)
     assert set(rows[2]["embedding"]) == {0.0}
+
+
+def test_spelling_by_joins_equals_spelling_by_word(spark):
+    terms = [("bolt", 5), ("bold", 9), ("valve", 3), ("ab", 1), ("gearwheel", 2)]
+    values = ["BOTL valve, 20mm STEEL kgs ab qqqqqq", "bolx", None, "", "  ,; ", "vlve;  gearwhel (bolt)", "x" * 5000 + " boltt", "VALVE. bolt", "bolx"]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+    made = spell.correct_texts(df, "v", spark.createDataFrame(terms, "term string, frequency long"))
+    s, units = spell.Speller(terms), spell.uom_tokens()
+    assert [r["corrected"] for r in made.orderBy("i").collect()] == [spell.correct(v, s, units) for v in values]
+    none = spell.correct_texts(df, "v", spark.createDataFrame([], "term string, frequency long"))
+    assert {r["corrected"] for r in none.where("i = 1").collect()} == {"bolx"}
+    assert spell.correct_texts(df.limit(0), "v", spark.createDataFrame(terms, "term string, frequency long")).count() == 0
+
+
+def test_terms_of_a_table(spark):
+    df = spark.createDataFrame([("Red bolt, 20mm",), ("bolt of",), (None,)], "t string")
+    assert sorted(map(tuple, spell.term_frequencies(df, "t").collect())) == [("bolt", 2), ("red", 1)]
+
+
+def test_token_classes(spark):
+    values = ["20mm", "1/2IN", "10X20", '3"x4"', "5'", "1,000", "mm", "Kg", "BOLT", "x20", None]
+    assert one(spark, values, text.is_dimension) == [True] * 6 + [False] * 5
+    assert one(spark, values, text.is_unit) == [False] * 6 + [True, True, False, False, False]
+    assert one(spark, ["(w:)", "a#.b,"], text.bare_token) == ["W", "AB"]
+
+
+def test_halves_where_memory_is_short():
+    sizes = []
+
+    def small(texts):
+        sizes.append(len(texts))
+        if len(texts) > 2:
+            raise MemoryError
+        return vectors.HashedTokens(8)(texts)
+
+    texts = ["a", "b c", "d", "e f", "g"]
+    assert (vectors.in_halves(small, texts) == vectors.HashedTokens(8)(texts)).all()
+    assert sizes == [5, 2, 3, 1, 2]
+    with pytest.raises(MemoryError):
+        vectors.in_halves(lambda t: (_ for _ in ()).throw(MemoryError()), ["a"])
+
+
+def test_model_is_loaded_once():
+    loads = []
+    model = vectors.Model("m", lambda: loads.append(1) or vectors.HashedTokens(8))
+    model(["a"]), model(["b"])
+    assert loads == [1]

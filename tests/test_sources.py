@@ -65,3 +65,50 @@ def test_json_lines(spark, tmp_path):
     store.write_json_lines(rows, str(tmp_path / "j"))
     assert '"b":null' in "".join(r[0] for r in spark.read.text(str(tmp_path / "j")).collect())
     assert [tuple(r) for r in tables.read_json_lines(spark, str(tmp_path / "j"), ["a", "b"]).collect()] == [("1", None)]
+
+
+def test_json_arrays(spark, tmp_path):
+    import json
+
+    rows = spark.createDataFrame([("1", None), ("2", 'x"y')], "a string, b string").coalesce(1)
+    store.write_json_arrays(rows, str(tmp_path / "a"))
+    files = list((tmp_path / "a").glob("*.txt"))
+    assert [json.loads(f.read_text()) for f in files] == [[{"a": "1", "b": None}, {"a": "2", "b": 'x"y'}]]
+    store.write_json_arrays(rows.limit(0), str(tmp_path / "e"))
+    assert all(f.read_text().strip() in ("", "[]") for f in (tmp_path / "e").glob("*.txt"))
+    assert spark.read.schema(rows.schema).option("multiLine", "true").json(str(tmp_path / "e")).count() == 0
+
+
+def test_lines_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "l.json").write_text('{"a": "1"}\n\n{nope\n')
+    with pytest.raises(Exception, match="FAILFAST|Malformed|MALFORMED"):
+        tables.read_json_lines(spark, str(tmp_path / "l.json"), ["a"]).collect()
+
+
+def test_lines_without_display_columns_warn(spark, tmp_path, caplog):
+    tables.read_json_lines(spark, str(tmp_path), ["a"])
+    assert "display columns" in caplog.text
+
+
+def test_names_with_backticks(spark):
+    df = spark.createDataFrame([(1, 2)], ["a`b", "c"])
+    assert tables.require(df, ["a`b"]).first()[0] == 1
+
+
+def test_cache_actions():
+    made = store.Summary("v", "m", 2, 16, "d")
+    assert store.cache_action(None, "m", 2) == "missing"
+    assert store.cache_action(made, "m", 2, "d") == "reuse"
+    assert {store.cache_action(made, "m", 2, "d", force=True), store.cache_action(made, "n", 2), store.cache_action(made, "m", 2, "e"), store.cache_action(made, "m", 3)} == {"compute"}
+    assert store.guard(made, "m", 16) == made
+    for found, model, dim in ((None, "m", None), (made, "n", None), (made, "m", 8)):
+        with pytest.raises(RuntimeError):
+            store.guard(found, model, dim)
+
+
+def test_vectors_of_two_lengths_are_not_published(spark, tmp_path):
+    kept = store.Store(spark, str(tmp_path / "u"))
+    rows = spark.createDataFrame([(1, "a", [1.0]), (2, "b", [1.0, 2.0])], "row_no long, text string, embedding array<float>")
+    with pytest.raises(ValueError, match="1 to 2"):
+        kept.write(rows, "m")
+    assert kept.summary() is None

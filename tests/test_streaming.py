@@ -1,3 +1,6 @@
+import datetime as dt
+import threading
+
 import pytest
 
 from kinmatch.functions.vectors import HashedTokens
@@ -47,3 +50,34 @@ def test_cycle(spark, tmp_path):
     assert done[0] is None and done[1] == store.summary() and pauses == [5]
     with pytest.raises(RuntimeError):
         refresh.cycle(lambda: None, fails, 0, pauses.append)
+
+
+def test_next_run():
+    day = dt.datetime(2024, 5, 1)
+    assert refresh.next_run(day.replace(hour=9, minute=15)) == day.replace(hour=12)
+    assert refresh.next_run(day.replace(hour=12)) == day.replace(hour=16)
+    assert refresh.next_run(day.replace(hour=23, minute=59)) == day + dt.timedelta(days=1)
+
+
+def test_refresher_starts_and_stops():
+    ran = threading.Event()
+
+    def run():
+        ran.set()
+        raise RuntimeError("logged")
+
+    loop = refresh.Refresher(run, at_once=True, now=lambda: dt.datetime(2024, 5, 1, 9))
+    loop.start()
+    first = loop._thread
+    loop.start()
+    assert loop._thread is first and ran.wait(5) and loop.running()
+    loop.stop()
+    assert not loop.running()
+
+
+def test_refresher_runs_at_slots():
+    ran, just = threading.Event(), dt.datetime(2024, 5, 1, 11, 59, 59, 990000)
+    loop = refresh.Refresher(ran.set, now=lambda: just)
+    loop.start()
+    assert ran.wait(5)
+    loop.stop()
