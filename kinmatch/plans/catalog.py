@@ -15,7 +15,7 @@ from . import records, reports, views
 
 VECTOR_THRESHOLD = 0.35
 UNITS = ("kgs", "KG", "Pkt", "packets", "m", "yd", "gm", "foo-bar", "%", " Sq. Feet ", "running metres", "oz/yd")
-UNITS_EXPECTED = ("KILOGRAM", "KILOGRAM", "PACKET", "PACKET", "MICRON", "SQUARE_YARD", "GSM", "FOOBAR", "", "SQUARE_FEET", "METER", "OZ_PER_SQ_YD")
+CATALOG_UNITS = ("Kilogram", "Mtr", "micron", "Odd Unit", "Odd Unit ", "Packet", "")
 
 
 def vendor_identifier_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +157,7 @@ def item_column_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def item_variant_probe(spark: SparkSession, d: str) -> DataFrame:
-    items = views.items(spark, d).select("row_no", "text", "numeric")
+    items = shared.stored(views.items(spark, d).select("row_no", "text", "numeric"))
     given = spark.createDataFrame([(1, "SMALL  ring 11mm"), (2, "red bolt small, 28 MM"), (3, "none")], "cand long, ITEMDESC string")
     return reports.text_matches(views.with_parts(given).select("cand", "text", "numeric"), views.located(items, views.approval(items)), reports.ITEM_PROBE)
 
@@ -185,7 +185,7 @@ def item_duplicate_report_records(spark: SparkSession, d: str) -> DataFrame:
 
 def _bulk(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """All rows as a batch against the whole main table and approval queue."""
-    items = views.items(spark, d).select("row_no", "text", "numeric")
+    items = shared.stored(views.items(spark, d).select("row_no", "text", "numeric"))
     return reports.bulk(items, views.located(items, views.approval(items)))
 
 
@@ -207,7 +207,7 @@ def catalog_probe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def uom_cascade(spark: SparkSession, d: str) -> DataFrame:
-    labels = spark.createDataFrame([(1, "Kilogram"), (2, "Mtr"), (3, "micron"), (4, "Odd Unit"), (5, "Odd Unit "), (6, "Packet"), (7, "")], "id long, text string")
+    labels = spark.createDataFrame(list(enumerate(CATALOG_UNITS, 1)), "id long, text string")
     given = views.table(spark, d, "part").select(F.col("p_partkey").alias("cand"), F.element_at(F.array(*[F.lit(u) for u in (*UNITS, "unit ODD")]), (F.col("p_partkey") % (len(UNITS) + 1) + 1).cast("int")).alias("value"))
     return reports.uom_matches(given, tables.catalog_rows(labels, "text"))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .catalog import UNITS, UNITS_EXPECTED
+from ..functions import uom
+from .catalog import CATALOG_UNITS, UNITS
 from .views import FIELDS, VENDOR
 
 ITEM = """item AS (
@@ -55,10 +56,29 @@ BULK = f"""WITH RECURSIVE {ITEM}, batch AS (SELECT * FROM item), {clusters('batc
   cand AS (SELECT row_no AS cand, txt, num FROM batch WHERE row_no NOT IN (SELECT row_no FROM grp WHERE row_no <> group_min)),
   place AS (SELECT 'db' AS location, row_no, txt, num FROM item UNION ALL SELECT 'approval', row_no, txt, num FROM item WHERE row_no % 10 = 0),
   {probe(0.75)}"""
-CASES = " ".join(f"WHEN {i} THEN '{u}'" for i, u in enumerate(UNITS_EXPECTED))
-#: What the cascade finds for each label of UNITS, and for a last one that only a similar label matches.
-CASCADE = {0: [1], 1: [1], 2: [6], 3: [6], 4: [3], 10: [2], len(UNITS): [4, 5]}
-CASCADE_ROWS = ", ".join(f"({i}, {j}, '{'similar' if i == len(UNITS) else 'alias'}')" for i, ids in CASCADE.items() for j in ids)
+KEY = "regexp_replace(lower(trim({c})), '[^a-z0-9]', '', 'g')"
+#: alias(k, unit): of the labels with one key, the last.
+ALIASES = ", ".join(f"({i}, '{label}', '{unit}')" for i, (unit, label) in enumerate((u, x) for u, labels in uom.UNITS.items() for x in [*labels, u]))
+ALIAS = f"alias AS (SELECT {KEY.format(c='label')} AS k, arg_max(unit, place) AS unit FROM (VALUES {ALIASES}) t(place, label, unit) GROUP BY 1 HAVING k <> '')"
+
+
+def canonical(source: str) -> str:
+    """``source``'s rows with the unit code of their ``value``; an unknown one is its own key."""
+    return f"(SELECT s.*, coalesce(unit, upper({KEY.format(c='value')})) AS code FROM {source} s LEFT JOIN alias ON alias.k = {KEY.format(c='value')})"
+
+
+def picked(labels: tuple[str, ...]) -> str:
+    """``(p_partkey, value)``: the labels in turn."""
+    cases = " ".join(f"WHEN {i} THEN '{u}'" for i, u in enumerate(labels))
+    return f"(SELECT p_partkey, CASE p_partkey % {len(labels)} {cases} END AS value FROM part)"
+
+
+CASCADE = f"""WITH {ALIAS}, cat AS (SELECT id, value, code FROM {canonical("(SELECT id, trim(label) AS value FROM (VALUES " + ", ".join(f"({i}, '{u}')" for i, u in enumerate(CATALOG_UNITS, 1)) + ") t(id, label))")}),
+  ask AS (SELECT p_partkey AS cand, value, code FROM {canonical(picked((*UNITS, "unit ODD")))} WHERE code <> ''),
+  same AS (SELECT cand, id FROM ask JOIN cat USING (code) WHERE cat.value <> ''),
+  cand AS (SELECT cand, value AS txt, '' AS num FROM ask WHERE cand NOT IN (SELECT cand FROM same)),
+  place AS (SELECT 'db' AS location, id AS row_no, value AS txt, '' AS num FROM cat), {probe(0.97)}
+  SELECT cand, id::BIGINT AS id, 'alias' AS how FROM same UNION ALL SELECT cand, row_no::BIGINT, 'similar' FROM m"""
 
 #: Colours are never corrected; no other word of the table is a unit or a term of the domain.
 SPELL = """WITH w AS (SELECT lower(unnest(string_split(p_name, ' '))) AS term FROM part),
@@ -85,7 +105,7 @@ SQL = {
     "vendor_name_probe": f"WITH {VENDORS}, v AS (SELECT row_no, Name AS txt, '' AS num FROM vendor), {LOCATED.format(s='v')}, cand AS (SELECT row_no AS cand, upper(txt) AS txt, num FROM v WHERE row_no % 100 = 0), {probe(0.97)} SELECT * FROM m",
     "clean_str": "SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 2) THEN '' WHEN event_id % 6 = 3 THEN 'none' ELSE event_type END AS cleaned FROM events",
     "normalize_identifier": f"WITH {VENDORS} SELECT row_no, {', '.join(f'{norm(f)} AS {f}' for f in FIELDS)} FROM vendor",
-    "uom_canonical": f"SELECT p_partkey, CASE p_partkey % {len(UNITS)} {CASES} END AS canonical FROM part",
+    "uom_canonical": f"WITH {ALIAS} SELECT p_partkey, code AS canonical FROM {canonical(picked(UNITS))}",
     "item_text_numeric_split": f"WITH {ITEM} SELECT row_no, txt AS text, num AS numeric FROM item",
     "item_scan_ordered": "SELECT p_partkey, p_brand, row_number() OVER (ORDER BY p_brand DESC NULLS LAST, p_partkey) AS row_no FROM part",
     "catalog_scan": "SELECT row_number() OVER (ORDER BY p_brand) AS id, p_brand AS text FROM (SELECT DISTINCT p_brand FROM part)",
@@ -104,7 +124,7 @@ SQL = {
     "item_bulk_check": f"{BULK}, n AS (SELECT cand, count(*) AS n FROM m GROUP BY cand) SELECT cand.cand AS pos, CASE WHEN n.n > 0 THEN 'duplicate' ELSE 'unique' END AS status, coalesce(n.n, 0) AS n_matches FROM cand LEFT JOIN n USING (cand)",
     "item_bulk_groups": f"{BULK} SELECT group_min AS representative, string_agg(row_no, ',' ORDER BY row_no) FILTER (row_no <> group_min) AS duplicates FROM grp GROUP BY group_min",
     "catalog_probe": f"WITH u AS (SELECT 'main' AS location, p_brand AS txt FROM part UNION ALL SELECT 'sub', p_type FROM part), place AS (SELECT location, count(*) AS row_no, txt, '' AS num FROM u GROUP BY location, txt), cand AS (SELECT * FROM (VALUES (1::BIGINT, 'brand#7', ''), (2, 'Economy', ''), (3, 'Brand#7 Economy', ''), (4, '!!!', '')) t(cand, txt, num)), {probe(0.97)} SELECT * FROM m",
-    "uom_cascade": f"SELECT p_partkey AS cand, id::BIGINT AS id, how FROM part JOIN (VALUES {CASCADE_ROWS}) t(i, id, how) ON p_partkey % {len(UNITS) + 1} = i",
+    "uom_cascade": CASCADE,
     "spell_correct": SPELL,
     "item_normalize_full": f"SELECT p_partkey, {NORMAL} AS normal, p_name || ' IM # PRONG: x A GSM x' AS text, p_partkey || ' ' || p_size || ' 1.5 40s 10-12 ' || p_size AS numeric FROM part",
     "next_refresh_slot": "SELECT event_id, date_trunc('day', ts) + to_hours(4 * (CAST(floor(date_part('hour', ts) / 4) AS INTEGER) + 1)) AS slot FROM events",

@@ -17,11 +17,15 @@ VENDOR_CLUSTER, NAME_PROBE = 0.9, 0.97
 
 
 def text_groups(rows: DataFrame, text: str, key: str, threshold: float) -> DataFrame:
-    """``(row_no, group_min)``: rows whose texts are similar, transitively, and whose keys are equal."""
-    reps = stored(distinct_texts(rows.select("row_no", text, key), text, key))
+    """``(row_no, group_min)``: rows whose texts are similar, transitively, and whose keys are equal.
+
+    The rows are written first: they are read twice, and their texts are costly to normalise.
+    """
+    rows = stored(rows.select("row_no", F.col(text).alias("text"), F.col(key).alias("numeric")))
+    reps = stored(distinct_texts(rows, "text", "numeric"))
     weights = token_weights(reps)
     pairs = token_pairs(weights, weights, threshold, own=True)
-    return groups_of_texts(rows, text, key, connected_components(pairs, "a", "b"), reps)
+    return groups_of_texts(rows, "text", "numeric", connected_components(pairs, "a", "b"), reps)
 
 
 def item_groups(items: DataFrame, threshold: float = ITEM_CLUSTER) -> DataFrame:
