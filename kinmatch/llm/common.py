@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kinmatch.sources.shared import durable, shared_dir, stored
 
@@ -33,7 +34,7 @@ def map_arrow(
     df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, Iterable]]], schema: T.StructType
 ) -> DataFrame:
     """Apply a function of Python lists, made once a task by ``make()``, to parts of each Arrow batch; ``schema`` is what it returns."""
-    out = pa.schema([(f.name, ARROW[type(f.dataType)]) for f in schema])
+    out = pa.schema([(f.name, ARROW.get(type(f.dataType)) or to_arrow_type(f.dataType)) for f in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = None

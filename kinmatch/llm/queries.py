@@ -19,6 +19,9 @@ from . import (
     op08_byte_bpe,
     op09_toxicity,
     op10_html as op10_html_operator,
+    op11_licences,
+    op12_divergence,
+    op13_centroids,
 )
 from .common import crc_mod5
 
@@ -110,6 +113,18 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_html_operator.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_licences.scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_grid_join": op1_grid_join,
@@ -122,6 +137,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_toxicity": op9_toxicity,
         "op10_html": op10_html,
+        "op11_licence_scan": op11_licence_scan,
+        "op12_divergence_audit": op12_divergence_audit,
+        "op13_centroid_clusters": op13_centroid_clusters,
     }
 
 
@@ -173,5 +191,65 @@ def _op6_sql() -> str:
     )
 
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x
+  FROM documents),
+t AS (SELECT lang, source, r, unnest(regexp_extract_all(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, sum(c.n)::HUGEINT AS total FROM c JOIN k USING (lang, term) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (coalesce(n.total, 0) + l.v) AS p,
+    1 + 1000000000::HUGEINT * (k.n + 1) // (l.total + l.v) AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN n USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value,
+  (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
+def _op13_sql(k: int = 8, rounds: int = 10) -> str:
+    """Each round is two steps: rows to their nearest centroids, then floors of the means of those that have rows."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(
+            f"a{i} AS MATERIALIZED (SELECT r, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT v.r, c.k, sum((v.x - c.x) * (v.x - c.x)) AS d "
+            f"FROM v JOIN c{i} c USING (i) GROUP BY v.r, c.k) GROUP BY r)"
+        )
+        if i < rounds:
+            steps.append(
+                f"m{i} AS (SELECT a.k, v.i, sum(v.x) AS s, count(*) AS n FROM v JOIN a{i} a USING (r) GROUP BY a.k, v.i), "
+                f"c{i + 1} AS MATERIALIZED (SELECT c.k, c.i, coalesce((s - ((s % n) + n) % n) // n, c.x) AS x FROM c{i} c LEFT JOIN m{i} USING (k, i))"
+            )
+    finite = "len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0"
+    return f"""
+WITH e AS (SELECT vec_id, embedding, row_number() OVER () AS r FROM embeddings WHERE {finite}),
+v AS MATERIALIZED (
+  SELECT r, generate_subscripts(embedding, 1) AS i, floor(1024 * unnest(embedding)::DOUBLE)::HUGEINT AS x FROM e),
+f AS (
+  SELECT r, row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), embedding) - 1 AS k FROM e QUALIFY k < {k}),
+c0 AS MATERIALIZED (SELECT f.k, v.i, v.x FROM f JOIN v USING (r)),
+{", ".join(steps)},
+h AS (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS digest FROM c{rounds} GROUP BY k)
+SELECT e.vec_id, a.k::INTEGER AS cluster, a.d::BIGINT AS distance, (sum(a.d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia,
+  (sum(a.d) OVER ())::BIGINT AS inertia, h.digest AS centroid_sha256
+FROM e JOIN a{rounds} a USING (r) JOIN h USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_grid_join": OP1_SQL, "op6_chat": _op6_sql()}
+    return {"op1_grid_join": OP1_SQL, "op6_chat": _op6_sql(), "op12_divergence_audit": OP12_SQL, "op13_centroid_clusters": _op13_sql()}
