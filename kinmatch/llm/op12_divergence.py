@@ -21,6 +21,7 @@ from operator import methodcaller
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,40 +75,49 @@ def partial_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, source string, term binary, n long, docs long")
 
 
+def starts(*columns: pa.Array) -> np.ndarray:
+    """Where runs of rows that are equal in all columns begin."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
 def kept_counts(partial: DataFrame, least: int) -> DataFrame:
     """``(lang, term, source, n, first)`` of the terms in at least ``least`` documents of a language; ``first`` is 1 in one row a term.
 
-    A task holds one term's counts at a time, a number for each of the language's sources.
+    A task holds a batch, and the sums of one term for each of the language's sources.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, documents, counts = None, 0, {}
-        out: list[tuple] = []
-
-        def close() -> None:
-            if documents >= least:
-                out.extend((*at, source, n, int(i == 0)) for i, (source, n) in enumerate(counts.items()))
-
-        def made() -> pa.RecordBatch:
-            columns = zip(*out)
-            kinds = {"lang": pa.string(), "term": pa.binary(), "source": pa.string(), "n": pa.int64(), "first": pa.int64()}
-            batch = pa.record_batch({name: pa.array(next(columns), kind) for name, kind in kinds.items()})
-            out.clear()
-            return batch
+    def summed(rows: pa.Table) -> pa.Table:
+        at = starts(rows["source"], rows["term"], rows["lang"])
+        sums = {c: pa.array(np.add.reduceat(rows[c].to_numpy(), at)) for c in ("n", "docs")}
+        keys = rows.select(["lang", "term", "source"]).take(pa.array(at))
+        return pa.table({**{c: keys[c].combine_chunks() for c in keys.column_names}, **sums})
+
+    def told(rows: pa.Table) -> pa.Table:
+        """The rows of whole terms that are kept."""
+        at = starts(rows["term"].combine_chunks(), rows["lang"].combine_chunks())
+        documents = np.add.reduceat(rows["docs"].to_numpy(), at)
+        first = np.zeros(len(rows), dtype=np.int64)
+        first[at] = 1
+        keep = (documents >= least)[np.cumsum(first) - 1]
+        return rows.drop_columns("docs").append_column("first", pa.array(first)).filter(pa.array(keep))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("lang", "term", "source", "n", "docs"))
-            for lang, term, source, n, docs in zip(*columns):
-                if (lang, term) != at:
-                    close()
-                    at, documents, counts = (lang, term), 0, {}
-                documents += docs
-                counts[source] = counts.get(source, 0) + n
-            if len(out) >= 10_000:
-                yield made()
-        close()
-        if out:
-            yield made()
+            if not len(batch):
+                continue
+            rows = pa.Table.from_batches([batch]).select(["lang", "term", "source", "n", "docs"])
+            rows = summed((pa.concat_tables([held, rows]) if held else rows).combine_chunks())
+            whole = int(starts(rows["term"].combine_chunks(), rows["lang"].combine_chunks())[-1])
+            if whole:
+                yield from told(rows.slice(0, whole)).to_batches()
+            held = rows.slice(whole)
+        if held:
+            yield from told(held).to_batches()
 
     dealt = partial.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
     return dealt.mapInArrow(run, "lang string, term binary, source string, n long, first long")
@@ -132,7 +142,8 @@ class _Slice:
         self.place: dict[str, int] = {}
         self.pairs: np.ndarray | None = None
         self.best: list[list[tuple[int, bytes]]] = []
-        self.waiting: list[tuple[bytes, list[int], list[int]]] = []
+        self.terms_seen: list[bytes] = []
+        self.cells: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def header(self, source: str, own: bool, n: int, terms: int, total: int) -> None:
         self.place[source] = len(self.names)
@@ -142,19 +153,27 @@ class _Slice:
         self.n.append(n)
         self.terms, self.total = terms, total
 
-    def run(self, term: bytes, at: list[int], n: list[int]) -> None:
-        self.waiting.append((term, at, n))
-        if len(self.waiting) * len(self.names) >= CELLS:
+    def runs(self, term: pa.Array, source: pa.Array, n: np.ndarray) -> None:
+        """Further rows, in which a term's are together; the first may go on with the last term before."""
+        at = starts(term)
+        terms = term.take(pa.array(at)).to_pylist()
+        more = bool(self.terms_seen) and self.terms_seen[-1] == terms[0]
+        if not more and len(self.terms_seen) * len(self.names) >= CELLS:
             self.add()
+        row = len(self.terms_seen) - more + np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(term)]))
+        self.terms_seen += terms[more:]
+        coded = source.dictionary_encode()
+        place = np.array([self.place[s] for s in coded.dictionary.to_pylist()])
+        self.cells.append((row, place[coded.indices.to_numpy()], n))
 
     def add(self) -> None:
         """The values of the terms that wait; sums of a pair stay below (10^9 + V)^2 + 10^9 + V, which fits in 64 bits."""
         if self.pairs is None:  # all of the slice's groups have been read
             self.pairs = np.zeros((len(self.own), len(self.names)), dtype=np.int64)
             self.best = [[] for _ in self.own]
-        count = np.zeros((len(self.waiting), len(self.names)), dtype=np.int64)
-        for row, (_, at, n) in zip(count, self.waiting):
-            row[at] = n
+        count = np.zeros((len(self.terms_seen), len(self.names)), dtype=np.int64)
+        for row, place, n in self.cells:
+            count[row, place] = n
         p = shares(count, self.n, self.terms)
         q = shares(count.sum(axis=1), self.total, self.terms)
         for k, i in enumerate(self.own):
@@ -163,10 +182,10 @@ class _Slice:
             more = np.flatnonzero((count[:, i] > 0) & (p[:, i] > q))
             value = (p[more, i] - q[more]) ** 2 // q[more]
             best = self.best[k]
-            best.extend((-v, self.waiting[j][0]) for v, j in zip(value.tolist(), more.tolist()))
+            best.extend((-v, self.terms_seen[j]) for v, j in zip(value.tolist(), more.tolist()))
             best.sort()
             del best[self.top :]
-        self.waiting = []
+        self.terms_seen, self.cells = [], []
 
     def rows(self) -> Iterator[tuple[str, str, bytes, int]]:
         self.add()
@@ -179,42 +198,40 @@ class _Slice:
 def partial_values(dealt: DataFrame, top: int) -> DataFrame:
     """``(lang, source, part, item, value)`` of each slice and block, from rows sorted so that a slice begins with its groups."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, now, term, at, n = None, None, None, [], []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if now is None:
-                return
-            if term is not None:
-                now.run(term, at, n)
-            if rows := list(now.rows()):
-                source, part, item, value = zip(*rows)
-                yield pa.record_batch(
-                    {
-                        "lang": pa.array([where[0]] * len(rows), pa.string()),
-                        "source": pa.array(source, pa.string()),
-                        "part": pa.array(part, pa.string()),
-                        "item": pa.array(item, pa.binary()),
-                        "value": pa.array(value, pa.int64()),
-                    }
-                )
+    def values(lang: str, now: _Slice) -> Iterator[pa.RecordBatch]:
+        if rows := list(now.rows()):
+            source, part, item, value = zip(*rows)
+            yield pa.record_batch(
+                {
+                    "lang": pa.array([lang] * len(rows), pa.string()),
+                    "source": pa.array(source, pa.string()),
+                    "part": pa.array(part, pa.string()),
+                    "item": pa.array(item, pa.binary()),
+                    "value": pa.array(value, pa.int64()),
+                }
+            )
 
-        columns = ("lang", "slice", "block", "term", "source", "n", "own", "terms", "total")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, now = None, None
         for batch in batches:
-            for lang, cut, block, word, source, count, own, terms, total in zip(*(batch.column(c).to_pylist() for c in columns)):
-                if (lang, cut, block) != where:
-                    yield from close()
-                    where, now, term = (lang, cut, block), _Slice(top), None
-                if word is None:
-                    now.header(source, own, count, terms, total)
-                    continue
-                if word != term:
-                    if term is not None:
-                        now.run(term, at, n)
-                    term, at, n = word, [], []
-                at.append(now.place[source])
-                n.append(count)
-        yield from close()
+            keys = [batch.column(c) for c in ("lang", "slice", "block")]
+            at = starts(*keys)
+            for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(batch)]):
+                key = tuple(k[lo].as_py() for k in keys)
+                if key != where:
+                    if now is not None:
+                        yield from values(where[0], now)
+                    where, now = key, _Slice(top)
+                part = batch.slice(lo, hi - lo)
+                groups = part.column("term").null_count
+                if groups:
+                    for row in part.slice(0, groups).select(["source", "own", "n", "terms", "total"]).to_pylist():
+                        now.header(**row)
+                if groups < len(part):
+                    part = part.slice(groups)
+                    now.runs(part.column("term"), part.column("source"), part.column("n").to_numpy())
+        if now is not None:
+            yield from values(where[0], now)
 
     return dealt.mapInArrow(run, "lang string, source string, part string, item binary, value long")
 
