@@ -16,7 +16,8 @@ def plain_terms(text):
         if "a" <= c <= "z" or c > "\x7f":
             now += c
         elif now:
-            out, now = [*out, now], ""
+            out.append(now)
+            now = ""
     return out + [now] * bool(now)
 
 
