@@ -19,7 +19,7 @@ from .functions.uom import canonical_uom
 from .functions.vectors import Embedder, HashedTokens, embed
 from .operators.components import connected_components
 from .operators.grouping import column_status, field_report, field_totals, first_of_each, groups_of_texts, numbered, smallest_first, totals
-from .operators.similarity import vector_pairs, vector_probe
+from .operators.similarity import vector_links, vector_probe
 from .plans.records import answer, cache_rows, embedding_text, location_rank, minimized, schema_records
 from .sources.shared import stored
 from .sources.store import Store, Summary, guard
@@ -57,7 +57,7 @@ class Engine:
         """``(row_no, group_min)`` of ``(row_no, text, numeric, embedding)`` rows; each distinct text is compared once."""
         keyed = rows.select("row_no", embedding_text(F.col("text")).alias("text"), match_key(F.col("numeric")).alias("numeric"), "embedding")
         reps = stored(keyed.groupBy(F.col("text").alias("t"), F.col("numeric").alias("k")).agg(F.min("row_no").alias("rep"), F.count("*").alias("n"), F.any_value("embedding").alias("v")))
-        pairs = vector_pairs(reps, "rep", "v", threshold, F.col("k"))
+        pairs = vector_links(reps, "rep", "v", threshold, F.col("k"))
         return groups_of_texts(keyed, "text", "numeric", connected_components(pairs, "a", "b"), reps.drop("v"))
 
     def item_duplicate_engine(self) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import dot
+from ..sources.shared import stored
+from .pivots import compared, dealt, matrix
+
 #: Vectors in a block, on average; a task compares two blocks of one key.
 BLOCK = 2048
 
@@ -54,43 +58,36 @@ def token_pairs(a: DataFrame, b: DataFrame, threshold: float, own: bool) -> Data
     return scored.where(F.col("cosine") >= threshold - 1e-12)
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
-    """The vectors of a table, in double precision; a null component is not a number."""
-    flat = table.column("v").combine_chunks().flatten().cast(pa.float64())
-    return flat.to_numpy(zero_copy_only=False).reshape(len(table), -1)
+def _keyed(rows: DataFrame, id_: str, vector: str, key: Column | None) -> DataFrame:
+    """``(k, id, v)``: vectors of one length under one key; a null or empty vector is left out."""
+    keyed = rows.select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v"), (F.lit("") if key is None else F.coalesce(key.cast("string"), F.lit(""))).alias("k"))
+    return keyed.where(F.size("v") > 0).withColumn("k", F.concat_ws(":", F.size("v").cast("string"), "k"))
 
 
 def vector_pairs(rows: DataFrame, id_: str, vector: str, threshold: float, key: Column | None = None, block: int = BLOCK) -> DataFrame:
     """``(a, b)``, a < b: rows of one key whose vectors' inner product, in double precision, is at least the threshold.
 
-    A key's rows are dealt into blocks by hash, and each pair of blocks is a task of bounded size, however large the key.
-    A null or empty vector, or one with null components, has no pair; vectors of other lengths aren't compared.
+    Pairs of vectors that can't match are skipped by pivots, where a key has more rows than a block; each task is of
+    bounded size. A null or empty vector, or one with null components, has no pair; vectors of other lengths aren't
+    compared; a threshold of 0 or less skips nothing.
     """
-    keyed = rows.select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v"), (F.lit("") if key is None else F.coalesce(key.cast("string"), F.lit(""))).alias("k"))
-    keyed = keyed.where(F.size("v") > 0).withColumn("k", F.concat_ws(":", F.size("v").cast("string"), "k"))
-    sizes = keyed.groupBy("k").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = keyed.join(sizes, "k").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = placed.select("k", "id", "v", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    dealt = dealt.select("k", "id", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    tasks, _ = dealt(_keyed(rows, id_, vector, key), threshold, block)
+    return compared(tasks, threshold, links=False)
 
-    def compare(table: pa.Table) -> pa.Table:
-        ids, own, i = (table.column(c).to_numpy() for c in ("id", "own", "i"))
-        x = _matrix(table)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own != i)
-        same = not len(right)
-        right = left if same else right
-        a, b = [], []
-        for at in range(0, len(left), 512):
-            part = left[at : at + 512]
-            p, q = np.nonzero(x[part] @ x[right].T >= threshold)
-            a.append(ids[part[p]])
-            b.append(ids[right[q]])
-        a, b = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (a, b))
-        keep = a < b if same else a != b
-        lo, hi = np.minimum(a[keep], b[keep]), np.maximum(a[keep], b[keep])
-        return pa.table({"a": pa.array(lo, pa.int64()), "b": pa.array(hi, pa.int64())})
-
-    return dealt.groupBy("k", "i", "j").applyInArrow(compare, "a long, b long")
+
+def vector_links(rows: DataFrame, id_: str, vector: str, threshold: float, key: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """``(a, b)``, a < b: links that connect what the pairs of ``vector_pairs`` connect, for grouping.
+
+    Equal vectors of a key are compared once. A task returns a forest of what it has found, at most one link for each of
+    its rows, so that a group of n near copies gives in the order of n links. A link needn't be a pair itself.
+    """
+    keyed = _keyed(rows, id_, vector, key)
+    distinct = stored(keyed.groupBy("k", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    tasks, known = dealt(distinct.select("k", "id", "v"), threshold, block, links=True)
+    links = compared(tasks, threshold, links=True)
+    links = links if known is None else links.unionByName(known)
+    copied = distinct.where((F.col("copies") > 1) & (dot(F.col("v"), F.col("v")) >= threshold)).select("k", "v", F.col("id").alias("a"))
+    return links.unionByName(keyed.join(copied, ["k", "v"]).where("a <> id").select("a", F.col("id").alias("b")))
 
 
 def vector_probe(candidates: DataFrame, rows: DataFrame, threshold: float, key: bool, block: int = BLOCK) -> DataFrame:
@@ -99,8 +96,6 @@ def vector_probe(candidates: DataFrame, rows: DataFrame, threshold: float, key:
     With ``key``, an equi-join on k, of any size. Without, both are dealt into blocks by hash, and each pair of a block of
     candidates and one of rows is a task of bounded size. Null vectors, and such of other lengths, match nothing.
     """
-    from ..functions.vectors import dot
-
     if key:
         on = (F.col("c.k") == F.col("r.k")) & (dot(F.col("c.v"), F.col("r.v")) >= threshold)
         return candidates.alias("c").join(rows.alias("r"), on).select("cand", "id")
@@ -119,7 +114,7 @@ def vector_probe(candidates: DataFrame, rows: DataFrame, threshold: float, key:
     def compare(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        x = _matrix(table)
+        x = matrix(table)
         p, q = np.nonzero(x[left] @ x[right].T >= threshold)
         return pa.table({"cand": table.column("cand").take(pa.array(left[p])), "id": table.column("id").take(pa.array(right[q]))})
 

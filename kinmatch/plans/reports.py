@@ -9,7 +9,7 @@ from ..functions.identifiers import normalize_identifier
 from ..functions.uom import canonical_uom
 from ..operators.components import connected_components
 from ..operators.grouping import first_of_each, groups_of_texts
-from ..operators.similarity import distinct_texts, token_pairs, token_weights, vector_pairs
+from ..operators.similarity import distinct_texts, token_pairs, token_weights, vector_links
 from ..sources.shared import stored
 
 ITEM_CLUSTER, ITEM_PROBE = 0.985, 0.75
@@ -34,7 +34,7 @@ def item_groups(items: DataFrame, threshold: float = ITEM_CLUSTER) -> DataFrame:
 
 def vector_groups(rows: DataFrame, threshold: float) -> DataFrame:
     """``(vec_id, component_id)`` of vectors that are linked to another."""
-    return connected_components(vector_pairs(rows, "vec_id", "embedding", threshold), "a", "b").withColumnRenamed("node", "vec_id")
+    return connected_components(vector_links(rows, "vec_id", "embedding", threshold), "a", "b").withColumnRenamed("node", "vec_id")
 
 
 def text_matches(candidates: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
