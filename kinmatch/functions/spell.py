@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterable
 from functools import lru_cache
+from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,8 @@ DIMENSIONS = {
     "SPEED", "FLOW", "STROKE", "TRAVEL", "RANGE", "SPAN", "W", "L", "H", "D", "T", "R",
 }
 MOST_EDITS = 2
+#: Letters of a word's beginning that are taken apart; a fixed value.
+PREFIX = 7
 
 
 def distance(a: str, b: str) -> int:
@@ -49,18 +52,50 @@ def distance(a: str, b: str) -> int:
     return one[-1]
 
 
+def within(a: str, b: str, most: int) -> int | None:
+    """``distance(a, b)`` if it is at most ``most``, else None; it looks at few columns of each row."""
+    if abs(len(a) - len(b)) > most:
+        return None
+    if a == b:
+        return 0
+    shared = len(commonprefix((a, b)))
+    a, b = a[shared:], b[shared:]
+    back = len(commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - back], b[: len(b) - back]
+    far = most + 1
+    # row i holds columns i - most to i + most; all others are further than most
+    two, one = {}, {j: j for j in range(min(most, len(b)) + 1)}
+    for i, x in enumerate(a, 1):
+        row = {0: i} if i <= most else {}
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            y = b[j - 1]
+            best = min(one.get(j, far) + 1, row.get(j - 1, far) + 1, one.get(j - 1, far) + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                best = min(best, two.get(j - 2, far) + 1)
+            row[j] = min(best, far)
+        if min(row.values()) > most:
+            return None
+        two, one = one, row
+    found = one.get(len(b), far)
+    return found if found <= most else None
+
+
 class Speller:
-    """Finds the closest term of a dictionary, by its terms with letters left out; ties: the most frequent, then by name."""
+    """Finds the closest term of a dictionary, by the beginnings of terms with letters left out; ties: the most frequent, then by name.
 
-    def __init__(self, terms: Iterable[tuple[str, int]], most: int = MOST_EDITS):
-        self.most, self.frequency = most, dict(terms)
+    Strings with at most ``most`` edits between them have beginnings that leave an equal rest when at most as many letters
+    are left out of either, so a term is kept under at most 29 rests, however long it is.
+    """
+
+    def __init__(self, terms: Iterable[tuple[str, int]], most: int = MOST_EDITS, prefix: int = PREFIX):
+        self.most, self.prefix, self.frequency = most, prefix, dict(terms)
         self.shorter: dict[str, list[str]] = defaultdict(list)
         for t in self.frequency:
             for d in self._deletes(t):
                 self.shorter[d].append(t)
 
     def _deletes(self, word: str) -> set[str]:
-        out = layer = {word}
+        out = layer = {word[: self.prefix]}
         for _ in range(self.most):
             layer = {w[:i] + w[i + 1 :] for w in layer for i in range(len(w))}
             out = out | layer
@@ -70,8 +105,9 @@ class Speller:
         if word in self.frequency:
             return word, 0
         found = {t for d in self._deletes(word) for t in self.shorter.get(d, ())}
-        ranked = sorted((distance(word, t), -self.frequency[t], t) for t in found)
-        return (ranked[0][2], ranked[0][0]) if ranked and ranked[0][0] <= self.most else None
+        near = ((within(word, t, self.most), -self.frequency[t], t) for t in found)
+        best = min((n for n in near if n[0] is not None), default=None)
+        return (best[2], best[0]) if best else None
 
 
 @lru_cache
@@ -111,19 +147,24 @@ def correct_spelling(c: Column, terms: Iterable[tuple[str, int]]) -> Column:
     return run(c)
 
 
-def term_frequencies(rows: DataFrame, text: str) -> DataFrame:
-    """``(term, frequency)``: the lower-case words of a text column, those with a digit left out."""
+def term_frequencies(rows: DataFrame, text: str, least: int = 1) -> DataFrame:
+    """``(term, frequency)``: the lower-case words of a text column that occur ``least`` times or more, those with a digit left out.
+
+    With 1, every word that occurs is a term, and so its own correction; a higher number makes rare words of a large
+    column, which are mostly misspelt, be corrected to frequent ones.
+    """
     words = rows.select(F.explode(F.split(F.lower(F.col(text)), r"(?U)[\s,;]+")).alias("term"))
-    return words.where(~F.col("term").rlike(r"(?U)\d") & (F.length("term") > 2)).groupBy("term").agg(F.count("*").alias("frequency"))
+    counted = words.where(~F.col("term").rlike(r"(?U)\d") & (F.length("term") > 2)).groupBy("term").agg(F.count("*").alias("frequency"))
+    return counted.where(F.col("frequency") >= least) if least > 1 else counted
 
 
-def _deletes(word: Column, most: int) -> Column:
-    """The word and all that is left of it without up to ``most`` letters."""
+def _deletes(word: Column, most: int, prefix: int) -> Column:
+    """A word's beginning and all that is left of it without up to ``most`` letters."""
     def shorter(w: Column) -> Column:
         at = F.when(F.length(w) > 0, F.sequence(F.lit(1), F.length(w))).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
 
-    out = F.array(word)
+    out = F.array(F.substring(word, 1, prefix))
     layer = out
     for _ in range(most):
         layer = F.array_distinct(F.flatten(F.transform(layer, shorter)))
@@ -131,25 +172,33 @@ def _deletes(word: Column, most: int) -> Column:
     return out
 
 
-@F.pandas_udf(T.IntegerType())
-def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([distance(x, y) for x, y in zip(a, b)], index=a.index, dtype="int32")
+def _edits(most: int):
+    @F.pandas_udf(T.IntegerType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([within(x, y, most) for x, y in zip(a, b)], index=a.index, dtype="Int32")
+
+    return run
 
 
-def closest_terms(words: DataFrame, terms: DataFrame, most: int = MOST_EDITS) -> DataFrame:
+def closest_terms(words: DataFrame, terms: DataFrame, most: int = MOST_EDITS, prefix: int = PREFIX) -> DataFrame:
     """``(word, term, edits)`` of distinct ``words (word)`` and the closest of ``terms (term, frequency)``, of any size.
 
-    Both sides meet at what is left of them without some letters. Ties go to the most frequent term, then by name. A word
-    that is longer than any term by more than the edits allowed has none, and isn't taken apart.
+    A word that is a term needs no search. Others meet terms of nearly their length at what is left of the beginnings of
+    both without some letters: at most 29 rows a word or term, however long. The bounded Levenshtein distance, in which a
+    swap of neighbours counts as two edits, is at most twice the edits; what it leaves is verified with swaps. Ties go to the most frequent term, then by name.
     """
-    longest = terms.agg(F.max(F.length("term")).alias("longest"))
-    near = words.join(F.broadcast(longest), F.length("word") <= F.col("longest") + most)  # one row
-    left = near.select("word", F.explode(_deletes(F.col("word"), most)).alias("rest"))
-    right = terms.select("term", "frequency", F.explode(_deletes(F.col("term"), most)).alias("rest"))
-    pairs = left.join(right, "rest").select("word", "term", "frequency").distinct()
-    scored = pairs.withColumn("edits", _distance("word", "term")).where(F.col("edits") <= most)
+    same = words.join(terms, words["word"] == terms["term"], "left_semi").select("word", F.col("word").alias("term"), F.lit(0).alias("edits"))
+    others = words.join(terms, words["word"] == terms["term"], "left_anti")
+    left = others.select("word", F.explode(_deletes(F.col("word"), most, prefix)).alias("rest"))
+    right = terms.select("term", "frequency", F.explode(_deletes(F.col("term"), most, prefix)).alias("rest"))
+    near = (left["rest"] == right["rest"]) & (F.abs(F.length("word") - F.length("term")) <= most)
+    pairs = left.join(right, near).select("word", "term", "frequency").distinct()
+    pairs = pairs.withColumn("plain", F.levenshtein("word", "term", 2 * most)).where("plain >= 0")
+    simple = pairs.where("plain <= 1").withColumn("edits", F.col("plain"))
+    rest = pairs.where("plain > 1").withColumn("edits", _edits(most)("word", "term")).where("edits is not null")
+    scored = simple.unionByName(rest)
     best = scored.groupBy("word").agg(F.min(F.struct("edits", (-F.col("frequency")).alias("rare"), "term")).alias("b"))
-    return best.select("word", "b.term", "b.edits")
+    return best.select("word", "b.term", "b.edits").unionByName(same)
 
 
 def correct_texts(rows: DataFrame, text: str, terms: DataFrame, to: str = "corrected") -> DataFrame:

@@ -146,17 +146,17 @@ def dealt(rows: DataFrame, threshold: float, block: int, links: bool = False) ->
 
     With ``links``, also links that are known without comparison, if any; the tasks needn't find what these connect. Kind 0: the blocks i <= j of the vectors at home; kind 1: block i of those at home with block j of the visitors.
     """
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    sizes = stored(rows.groupBy("k").agg(F.count("*").alias("n"), F.max(F.when(~F.isnan(norm), norm)).alias("most")))
-    large = sizes.where(F.col("n") > block)
-    whole = rows.join(sizes, "k").select("k", F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), F.lit(0.0).alias("angle"), "most", "id", "v", "n")
-    none = large.isEmpty()
-    cells, known = whole.drop("n").withColumn("tight", F.lit(False)), None
-    if not none and threshold > 0:  # else one block a key, or no angle bounds a product
+    large = rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    alone = [F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), F.lit(False).alias("tight"), F.lit(0.0).alias("angle"), F.lit(0.0).alias("most"), "id", "v"]
+    cells, known = rows.select("k", *alone), None
+    if large.isEmpty():  # one block a key
+        zero = [F.lit(0).alias(c) for c in ("i", "j", "kind", "own")]
+        return cells.select("k", "cell", *zero, "id", "v", "home", "angle", "most"), None
+    if threshold > 0:  # else no angle bounds a product
+        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+        large = stored(rows.groupBy("k").agg(F.count("*").alias("n"), F.max(F.when(~F.isnan(norm), norm)).alias("most")).where(F.col("n") > block))
         in_cells, known = _in_cells(rows, large, threshold, block, links)
         cells = stored(cells.join(large.select("k"), "k", "left_anti").unionByName(in_cells))
-    if none:
-        return cells.select("k", "cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("kind"), F.lit(0).alias("own"), "id", "v", "home", "angle", "most"), None
     counts = cells.groupBy("k", "cell").agg(F.ceil(F.count_if("home") / block).cast("int").alias("homes"), F.ceil(F.count_if(~F.col("home")) / block).cast("int").alias("visits"))
     placed = cells.join(counts, ["k", "cell"]).where("homes > 0")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.when(F.col("home"), F.col("homes")).otherwise(F.col("visits"))).cast("int"))

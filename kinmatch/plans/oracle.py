@@ -128,5 +128,5 @@ SQL = {
     "spell_correct": SPELL,
     "item_normalize_full": f"SELECT p_partkey, {NORMAL} AS normal, p_name || ' IM # PRONG: x A GSM x' AS text, p_partkey || ' ' || p_size || ' 1.5 40s 10-12 ' || p_size AS numeric FROM part",
     "next_refresh_slot": "SELECT event_id, date_trunc('day', ts) + to_hours(4 * (CAST(floor(date_part('hour', ts) / 4) AS INTEGER) + 1)) AS slot FROM events",
-    "embedding_refresh_summary": "SELECT count(*) AS total, 128::BIGINT AS dim, 'hashed-tokens-128' AS model, 'complete' AS status FROM part",
+    "embedding_refresh_summary": "SELECT count(*) AS total, 128::BIGINT AS dim, 'hashed-tokens-8-128' AS model, 'complete' AS status FROM part",
 }

@@ -83,11 +83,12 @@ def name_matches(candidates: DataFrame, rows: DataFrame, threshold: float = NAME
 def uom_matches(candidates: DataFrame, catalog: DataFrame, threshold: float = NAME_PROBE) -> DataFrame:
     """``(cand, id, how)``: units with the candidate's canonical code or, only if there are none, a similar label.
 
-    A blank candidate, or one of which no letter or digit is left, matches nothing.
+    Each distinct value is looked up once. A blank candidate, or one of which no letter or digit is left, matches nothing.
     """
-    given = candidates.withColumn("_c", canonical_uom(F.col("value"))).where("_c <> ''")
+    asked = stored(candidates.select("value").distinct().withColumn("_c", canonical_uom(F.col("value"))).where("_c <> ''"))
     there = catalog.withColumn("_c", canonical_uom(F.col("text"))).where("text <> '' and _c <> ''")
-    same = stored(there.join(given, "_c").select("cand", "id", F.lit("alias").alias("how")))
-    rest = given.join(same.select("cand").distinct(), "cand", "left_anti").select("cand", F.col("value").alias("text"))
+    same = stored(there.join(asked, "_c").select("value", "id", F.lit("alias").alias("how")))
+    rest = asked.join(same.select("value").distinct(), "value", "left_anti").select(F.col("value").alias("cand"), F.col("value").alias("text"))
     near = name_matches(rest, catalog.select(F.col("id").alias("row_no"), "text", F.lit("db").alias("location")), threshold)
-    return same.unionByName(near.select("cand", F.col("row_no").alias("id"), F.lit("similar").alias("how")))
+    found = same.unionByName(near.select(F.col("cand").alias("value"), F.col("row_no").alias("id"), F.lit("similar").alias("how")))
+    return candidates.join(found, "value").select("cand", "id", "how")

@@ -13,8 +13,6 @@ from ..functions import text, vectors
 from ..sources import shared, store, tables
 from . import records, views
 
-#: Wide enough for the words of the tables at hand to have components of their own.
-WIDTH = 3626
 TERMS = (("small", 900), ("large", 800), ("ring", 600), ("bolt", 500), ("widget", 400))
 BATCH = ("small  RING 11mm", "Ring small, 11 mm", "bolt blue 5mm", "new anvil 77mm", "old rod 20 MM", "")
 IDENTIFIERS = {"CNIC": "11123-2222123 1", "NTN": "0123", "STRN": "st 123", "Account No": "AC-123", "IBAN": "pk36-scbl-0000000123"}
@@ -45,7 +43,7 @@ def _queue(view: DataFrame) -> DataFrame:
 
 def _engine(spark: SparkSession) -> Engine:
     path = f"{shared.shared_dir(spark).rstrip('/')}/engine-{uuid.uuid4().hex}"
-    return Engine(spark, path, vectors.HashedTokens(WIDTH), terms=TERMS)
+    return Engine(spark, path, vectors.HashedTokens(), terms=TERMS)
 
 
 def _matches(answers: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -138,3 +140,59 @@ def test_model_is_loaded_once():
     model = vectors.Model("m", lambda: loads.append(1) or vectors.HashedTokens(8))
     model(["a"]), model(["b"])
     assert loads == [1]
+
+
+@given(st.text(alphabet="abc", max_size=9), st.text(alphabet="abc", max_size=9), st.integers(0, 3))
+@settings(max_examples=600, deadline=None)
+def test_bounded_distance(a, b, most):
+    want = spell.distance(a, b)
+    assert spell.within(a, b, most) == (want if want <= most else None)
+
+
+@given(st.lists(st.text(alphabet="abcd", min_size=1, max_size=11), min_size=1, max_size=12), st.text(alphabet="abcd", min_size=1, max_size=11))
+@settings(max_examples=300, deadline=None)
+def test_beginnings_lose_no_term(terms, word):
+    """Terms longer and shorter than the beginning that is taken apart, against all distances."""
+    s = spell.Speller([(t, i) for i, t in enumerate(terms)])
+    ranked = sorted((spell.distance(word, t), -f, t) for t, f in s.frequency.items())
+    want = (ranked[0][2], ranked[0][0]) if ranked[0][0] <= 2 else None
+    assert s.closest(word) == want
+
+
+def test_closest_terms_as_by_all_distances(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcde", k=rng.randint(1, 10)))
+    terms = {word(): rng.randint(1, 5) for _ in range(60)}
+    long = "x" * 100_000
+    terms[long] = 9
+    words = sorted({word() for _ in range(80)} | {long[1:], long[:-2] + "y", "x" * 50, long + "zzz"} | set(list(terms)[:5]))
+    got = spell.closest_terms(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame(list(terms.items()), "term string, frequency int"))
+    want = {}
+    for w in words:
+        near = [(n, -f, t) for t, f in terms.items() for n in [spell.within(w, t, 2)] if n is not None]
+        if near:
+            want[w] = min(near)[2], min(near)[0]
+    assert {r["word"]: (r["term"], r["edits"]) for r in got.collect()} == want
+    assert want[long[1:]] == (long, 1) and want[long[:-2] + "y"] == (long, 2) and long + "zzz" not in want
+
+
+def test_few_rows_a_term(spark):
+    rests = spark.createDataFrame([("abcdefghij" * 3000,)], "t string").select(F.size(spell._deletes(F.col("t"), 2, spell.PREFIX)))
+    assert rests.first()[0] == 29
+
+
+def test_rare_words_are_corrected_to_frequent_ones(spark):
+    rows = spark.createDataFrame([("bolt steel",)] * 5 + [("blot stel",)], "t string")
+    fixed = spell.correct_texts(rows.where("t = 'blot stel'"), "t", spell.term_frequencies(rows, "t", least=3))
+    assert fixed.first()["corrected"] == "BOLT STEEL"
+
+
+def test_hashed_tokens_tell_words_apart(spark, sf):
+    """At the default width, all words of the tables and their numbers: none equal, none alike; and sentences' cosines nearly exact."""
+    words = {w for c, t in (("p_name", "part"), ("p_type", "part"), ("c_name", "customer"), ("s_name", "supplier"), ("c_mktsegment", "customer")) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(c).distinct().collect() for w in r[0].lower().split()}
+    words = sorted(words | {str(i) for i in range(1200)})
+    v = vectors.HashedTokens()(words).astype(float)
+    off = np.abs(v @ v.T - np.eye(len(words)))
+    assert off.max() < 0.6 and (off ** 2).mean() ** 0.5 < 0.04
+    many = vectors.HashedTokens()([f"vendor {i} building" for i in range(800)]).astype(float)
+    assert np.abs(many @ many.T - (1 / 3 * np.eye(800) + 2 / 3)).max() < 0.9 - 2 / 3

@@ -36,8 +36,7 @@ def groups(pairs):
     return {x: find(x) for x in root}
 
 
-@pytest.mark.parametrize("threshold", [0.97, 0.7, 0.2, -0.5])
-@pytest.mark.parametrize("scaled", [False, True])
+@pytest.mark.parametrize(("threshold", "scaled"), [(0.97, False), (0.97, True), (0.2, True), (-0.5, False)])
 def test_pairs_and_links_against_brute_force(spark, threshold, scaled):
     """Norms of one, and of very different sizes; a hot key, a small one, copies, zero vectors and other lengths."""
     x = clustered(150, 9, 0.08)
