@@ -7,12 +7,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
 from ..sources.shared import stored
-from .pivots import compared, dealt, matrix
+from .pivots import HELD, compared, dealt, forest, matrix
 
 #: Vectors in a block, on average; a task compares two blocks of one key.
 BLOCK = 2048
@@ -32,25 +32,26 @@ def token_weights(texts: DataFrame) -> DataFrame:
     return tf.join(norms, "rep").select("rep", "k", "token", (F.col("tf") / F.col("norm")).alias("w"))
 
 
+def _prefix(side: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
+    """``(k, token, rep)``: of a row's tokens, as many as a similar row must share one of, the rarest ones.
+
+    The others' squared weights are below the squared threshold, so they can't make a pair alone. Rows that rank tokens
+    alike, by ``common (k, token, df)``, have the rarest token that they share among those of either.
+    """
+    rest = Window.partitionBy("rep").orderBy(F.col("df").desc(), "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = side.join(common, ["k", "token"]).withColumn("run", F.sum(F.col("w") * F.col("w")).over(rest))
+    return ranked.where(F.col("run") >= threshold * threshold - 1e-9).select("k", "token", "rep")
+
+
 def token_pairs(a: DataFrame, b: DataFrame, threshold: float, own: bool) -> DataFrame:
     """``(a, b, cosine)`` of rows of two token tables with one key whose cosine is at least the threshold.
 
     ``own``: a and b are one table, of which each pair is taken once. Only rows with a shared token can be similar, so
-    the join is on key and token; of a row's tokens, only as many are looked up as a similar row must share one of
-    (prefix filter: the rest's squared weights are below the squared threshold). Both sides rank tokens alike, so the
-    rarest that a similar pair shares is among those of either.
+    the join is on key and token, of the tokens of ``_prefix`` only. For groups of similar rows ``token_links`` needs no
+    row for each pair.
     """
-    from pyspark.sql import Window
-
     common = b.groupBy("k", "token").agg(F.count("*").alias("df"))
-    rest = Window.partitionBy("rep").orderBy(F.col("df").desc(), "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def prefix(side: DataFrame, name: str) -> DataFrame:
-        # in order from the commonest: tokens whose running weight stays below the threshold can't make a pair alone
-        ranked = side.join(common, ["k", "token"]).withColumn("run", F.sum(F.col("w") * F.col("w")).over(rest))
-        return ranked.where(F.col("run") >= threshold * threshold - 1e-9).select("k", "token", F.col("rep").alias(name))
-
-    meet = prefix(a, "a").join(prefix(b, "b"), ["k", "token"])
+    meet = _prefix(a, common, threshold).withColumnRenamed("rep", "a").join(_prefix(b, common, threshold).withColumnRenamed("rep", "b"), ["k", "token"])
     candidates = meet.where("a <> b" if own else "true").select("k", *([F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")] if own else ["a", "b"])).distinct()
     x = a.select("k", F.col("rep").alias("a"), "token", F.col("w").alias("wa"))
     y = b.select("k", F.col("rep").alias("b"), "token", F.col("w").alias("wb"))
@@ -58,6 +59,74 @@ def token_pairs(a: DataFrame, b: DataFrame, threshold: float, own: bool) -> Data
     return scored.where(F.col("cosine") >= threshold - 1e-12)
 
 
+#: Rows of a bucket of one key and token that a task takes, or twice as many of two parts of one; rows of small buckets of a task.
+BUCKET, SMALL = 2048, 1 << 14
+
+
+def _bucket_links(ids: np.ndarray, first: np.ndarray, rows: list[list[dict]], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between similar rows of a bucket, by postings; between those in ``first`` and the others, unless all are."""
+    whole = bool(first.all())
+    postings: dict[str, tuple[list[int], list[float]]] = {}
+    for n in range(len(rows)) if whole else np.flatnonzero(first).tolist():
+        for t in rows[n]:
+            at, w = postings.setdefault(t["token"], ([], []))
+            at.append(n)
+            w.append(t["w"])
+    arrays = {t: (np.array(at), np.array(w)) for t, (at, w) in postings.items()}
+    a, b, held = [], [], 0
+    for n in range(len(rows)) if whole else np.flatnonzero(~first).tolist():
+        score = np.zeros(len(rows))
+        for t in rows[n]:
+            if t["token"] in arrays:
+                at, w = arrays[t["token"]]
+                score[at] += w * t["w"]
+        near = np.flatnonzero(score >= threshold - 1e-12)
+        near = near[near < n] if whole else near
+        a.append(np.minimum(ids[near], ids[n]))
+        b.append(np.maximum(ids[near], ids[n]))
+        held += len(near)
+        if held > HELD:
+            one = forest(np.concatenate(a), np.concatenate(b))
+            a, b, held = [one[0]], [one[1]], len(one[0])
+    if not held:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return forest(np.concatenate(a), np.concatenate(b))
+
+
+def token_links(weights: DataFrame, threshold: float, bucket: int = BUCKET, small: int = SMALL) -> DataFrame:
+    """``(a, b)``, a < b: links that connect the rows of ``weights (rep, k, token, w)`` whose cosine is at least the threshold.
+
+    Rows meet in the buckets of the tokens of ``_prefix``, with all their tokens, and no row is made for a pair: a task
+    returns a forest of what it has found, at most one link for each of its rows. Many small buckets share a task; a
+    bucket with too many rows (a hot token) is cut into parts, of which each pair is a task. A link needn't be a pair itself.
+    """
+    common = weights.groupBy("k", "token").agg(F.count("*").alias("df"))
+    prefix = stored(_prefix(weights, common.where("df > 1"), threshold))  # a token that no other row has links nothing
+    sizes = prefix.groupBy("k", "token").agg(F.count("*").alias("n")).where("n > 1")
+    whole = weights.groupBy("rep").agg(F.collect_list(F.struct("token", "w")).alias("row"))
+    tasks = max(1, -(-prefix.count() // small))
+    parts = F.ceil(F.col("n") / bucket).cast("int")
+    dealt = prefix.join(sizes, ["k", "token"]).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    dealt = dealt.withColumn("p", F.explode(others))
+    task = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("k", "token"), F.lit(tasks))).otherwise(F.xxhash64("k", "token", "p.i", "p.j"))
+    name = F.xxhash64("k", "token", "p.i", "p.j").alias("name")
+    given = dealt.select(task.alias("task"), name, "k", "token", "p.i", "own", "rep").join(whole, "rep")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("name", "k", "token")]).combine_chunks()
+        names = list(zip(*(table.column(c).to_pylist() for c in ("name", "k", "token"))))
+        ids, first, rows = table.column("rep").to_numpy(), table.column("own").to_numpy() == table.column("i").to_numpy(), table.column("row")
+        a, b, lo = [], [], 0
+        for hi in range(1, len(names) + 1):
+            if hi == len(names) or names[hi] != names[lo]:
+                x, y = _bucket_links(ids[lo:hi], first[lo:hi], rows.slice(lo, hi - lo).to_pylist(), threshold)
+                a, b, lo = [*a, x], [*b, y], hi
+        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+
+    return given.groupBy("task").applyInArrow(compare, "a long, b long").distinct()
+
+
 def _keyed(rows: DataFrame, id_: str, vector: str, key: Column | None) -> DataFrame:
     """``(k, id, v)``: vectors of one length under one key; a null or empty vector is left out."""
     keyed = rows.select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v"), (F.lit("") if key is None else F.coalesce(key.cast("string"), F.lit(""))).alias("k"))

@@ -9,7 +9,7 @@ from ..functions.identifiers import normalize_identifier
 from ..functions.uom import canonical_uom
 from ..operators.components import connected_components
 from ..operators.grouping import first_of_each, groups_of_texts
-from ..operators.similarity import distinct_texts, token_pairs, token_weights, vector_links
+from ..operators.similarity import distinct_texts, token_links, token_pairs, token_weights, vector_links
 from ..sources.shared import stored
 
 ITEM_CLUSTER, ITEM_PROBE = 0.985, 0.75
@@ -23,9 +23,8 @@ def text_groups(rows: DataFrame, text: str, key: str, threshold: float) -> DataF
     """
     rows = stored(rows.select("row_no", F.col(text).alias("text"), F.col(key).alias("numeric")))
     reps = stored(distinct_texts(rows, "text", "numeric"))
-    weights = token_weights(reps)
-    pairs = token_pairs(weights, weights, threshold, own=True)
-    return groups_of_texts(rows, "text", "numeric", connected_components(pairs, "a", "b"), reps)
+    links = token_links(stored(token_weights(reps)), threshold)
+    return groups_of_texts(rows, "text", "numeric", connected_components(links, "a", "b"), reps)
 
 
 def item_groups(items: DataFrame, threshold: float = ITEM_CLUSTER) -> DataFrame:

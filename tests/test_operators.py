@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinmatch.operators.components import connected_components
 from kinmatch.operators.grouping import column_status, field_report, field_totals, groups_by_key, numbered, smallest_first, totals
-from kinmatch.operators.similarity import token_pairs, token_weights, vector_pairs
+from kinmatch.operators.similarity import token_links, token_pairs, token_weights, vector_pairs
 
 
 def brute_components(edges):
@@ -55,6 +55,18 @@ def test_token_pairs_equal_brute_force(spark):
         want = {(i, j) for i, s, k in texts for j, t, m in texts if i < j and k == m and cosine(s, t) >= threshold - 1e-12}
         w = token_weights(df)
         assert {(r["a"], r["b"]) for r in token_pairs(w, w, threshold, own=True).collect()} == want
+        for sizes in ({}, {"bucket": 3, "small": 5}):
+            links = token_links(w, threshold, **sizes)
+            assert {r["node"]: r["component_id"] for r in connected_components(links, "a", "b").collect()} == brute_components(want)
+
+
+def test_near_copies_of_a_text_give_few_links(spark):
+    """4,000 rows that are all similar: no row for a pair, a few links a row, no task with more than two parts."""
+    n = 4000
+    rows = [(i, " ".join(f"w{j}" for j in range(30)) + f" x{i}", "k") for i in range(n)]
+    links = token_links(token_weights(spark.createDataFrame(rows, "rep long, t string, k string")), 0.9, bucket=1000)
+    assert links.count() < 8 * n
+    assert {r["component_id"] for r in connected_components(links, "a", "b").collect()} == {0}
 
 
 def test_vector_pairs_in_blocks(spark):
