@@ -47,6 +47,13 @@ SIDE_NAMES = frozenset(
 #: Parts that are no sign of a side part where a name also has one of MAIN_NAMES.
 WEAK_NAMES = frozenset("alert notice notices notification header head top toc tags legal promo search form social".split())
 MAIN_NAMES = frozenset("article main post entry story content body text prose articlebody mainbody".split())
+#: Parts of names that say how a part is laid out, or where, and not what it holds.
+LAYOUT_NAMES = frozenset(
+    "site page global main left right center top bottom upper lower inner outer primary secondary mini small large big first last box block list item items "
+    "container wrapper wrap holder area section row col column columns grid panel pane bar inline link links icon icons button buttons group slot unit zone "
+    "region module component div ul li nav id js fixed sticky floating mobile desktop default no new the by and for with more of us my all "
+    "label text title posts articles stories news topics videos products reading read user users reader readers visitor google dfp gpt wp fb facebook twitter".split()
+)
 #: Names that begin the main part.
 MAIN_PARTS = frozenset("article post entry story prose articlebody".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -103,45 +110,59 @@ def accepts(at: tuple | float, row: tuple) -> bool:
     return at >= 0.5
 
 
+#: How sure it is that an element begins a side part: not at all, as a form, which may also be put round a whole page, or otherwise.
+NONE, FORM, SURE = 0, 1, 2
+
+
 @lru_cache(maxsize=20_000)
-def kind(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element begins a side part of the page, and whether it begins the main part."""
-    side, main = tag in SIDE, tag in ("article", "main")
+def kind(tag: str, attributes: str) -> tuple[int, bool]:
+    """Whether an element begins a side part of the page, and whether it begins the main part.
+
+    A name is a sign of a side part if all of its parts are in SIDE_NAMES or speak of the layout only, or if two are: a
+    section named ``related-work`` or ``search-algorithms`` isn't one, ``related-box`` and ``comment-form-3`` are.
+    """
+    side, main = FORM if tag == "form" else SURE if tag in SIDE else NONE, tag in ("article", "main")
     for name, value, bare in ATTRIBUTE.findall(attributes):
         name, value = (name or bare).lower(), value.strip("\"'")
         if name == "style":
-            side |= "display:none" in value.replace(" ", "").lower()
+            side = max(side, SURE * ("display:none" in value.replace(" ", "").lower()))
             continue
         if name == "hidden":
-            side = True
+            side = SURE
             continue
         if name == "itemprop":
             main |= value.lower() == "articlebody"
             continue
         if name == "role":
-            side |= value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu")
+            away = value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu")
+            side = max(side, SURE * away)
             main |= value.lower() in ("main", "article")
             continue
+        if tag == "form":  # whatever it is called
+            continue
         for token in value.split():
             parts = {p.lower() for p in NAME_PART.findall(token)}
             signs = parts & SIDE_NAMES
             if parts & MAIN_NAMES:
                 signs -= WEAK_NAMES
-            side |= bool(signs) and tag not in ("article", "main", "body")
+            other = {p for p in parts - SIDE_NAMES - LAYOUT_NAMES - MAIN_NAMES if not p.isdigit() and len(p) > 1}
+            if other and len(signs) < 2:
+                signs = set()
+            side = max(side, SURE * (bool(signs) and tag not in ("article", "main", "body")))
             main |= not signs and bool(parts & MAIN_PARTS) and name in ("class", "id") and tag in ("div", "section", "td")
     return side, main
 
 
-def blocks(html: str) -> list[tuple[str, float, bool, bool, int]]:
+def blocks(html: str) -> list[tuple[str, float, bool, int, int]]:
     """The page's blocks in order: text, link density, whether it is in the main part, in a side part, and its form.
 
     Inline elements that are hidden, or named as a side part, are left out. An end tag without a start is passed over at
     once, so that the time is linear in the page's length, however deep it is nested.
     """
     found, text, linked, in_link = [], [], 0, False
-    form, aside = 0, False  # of the block that is being read
+    form, aside = 0, NONE  # of the block that is being read
     without = ""  # the inline element that is being left out
-    stack: list[tuple[str, bool, bool]] = []  # (tag, side, main) as they hold inside
+    stack: list[tuple[str, int, bool]] = []  # (tag, side, main) as they hold inside
     opened: Counter[str] = Counter()
 
     def end() -> None:
@@ -149,8 +170,8 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool, int]]:
         if text:
             clean = " ".join(unescape("".join(text)).split())
             if clean:
-                side, main = stack[-1][1:] if stack else (False, False)
-                found.append((clean, min(1.0, linked / max(1, len(clean))), main, side or aside, form))
+                side, main = stack[-1][1:] if stack else (NONE, False)
+                found.append((clean, min(1.0, linked / max(1, len(clean))), main, max(side, aside), form))
         text, linked = [], 0
 
     def close(i: int) -> None:
@@ -195,7 +216,7 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool, int]]:
         end()
         without = ""
         form = 0 if m[2] else 2 if tag in HEADINGS else 1 if tag in PARAGRAPHS else form if form == 2 else 0
-        aside = not m[2] and tag not in STRUCTURE and bool(m[4].strip()) and kind(tag, m[4])[0]
+        aside = kind(tag, m[4])[0] if not m[2] and tag not in STRUCTURE and m[4].strip() else NONE
         if tag not in STRUCTURE:
             continue
         in_link = False
@@ -207,12 +228,13 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool, int]]:
             elif tag == "body" and stack and stack[-1][0] == "head":
                 close(len(stack) - 1)
             side, main = kind(tag, m[4] or "")
-            above = stack[-1] if stack else ("", False, False)
+            above = stack[-1] if stack else ("", NONE, False)
             if tag == "header" and above[2] and not above[1]:
                 side = kind("div", m[4] or "")[0]  # an article's own head, unless its name says more than that
             if main:
-                side = False
-            stack.append((tag, above[1] or side, above[2] or main))
+                side = NONE
+            over = NONE if main and above[1] == FORM else above[1]  # an article begins anew in a form that is put round it
+            stack.append((tag, max(over, side), above[2] or main))
             opened[tag] += 1
     if at < len(html) and not without:
         text.append(html[at:])
@@ -220,12 +242,15 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool, int]]:
     return found
 
 
-def features(found: list[tuple[str, float, bool, bool, int]]) -> list[tuple]:
-    """FEATURES of each block of a page."""
-    on_page = any(main and not side for _, _, main, side, _ in found)
-    words = [0, *(b[0].count(" ") + 1 for b in found), 0]
+def features(found: list[tuple[str, float, bool, int, int]]) -> list[tuple]:
+    """FEATURES of each block of a page. A form that holds most of the page's paragraphs is put round the page, and no side part."""
+    count = [b[0].count(" ") + 1 for b in found]
+    prose = [sum(n for n, b in zip(count, found) if b[3] == level and b[4] == 1 and b[1] < 0.5) for level in (NONE, FORM)]
+    side = [b[3] == SURE or b[3] == FORM and not (prose[FORM] >= 40 and prose[FORM] > 3 * prose[NONE]) for b in found]
+    on_page = any(b[2] and not away for b, away in zip(found, side))
+    words = [0, *count, 0]
     links = [0.0, *(b[1] for b in found), 0.0]
-    places = [0 if side else 3 if main else 1 if on_page else 2 for _, _, main, side, _ in found]
+    places = [0 if away else 3 if b[2] else 1 if on_page else 2 for b, away in zip(found, side)]
     return [
         (words[i], links[i], words[i - 1], links[i - 1], words[i + 1], links[i + 1], b[4], place)
         for i, (b, place) in enumerate(zip(found, places), 1)

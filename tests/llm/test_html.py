@@ -48,6 +48,12 @@ def test_edge_rows(spark):
 
 
 DEPARTURES = {
+    f"<form id=aspnetForm><article><h1>T</h1><p>{W}</p><form class=search><p>q</p></form></article><div class=footer>{W}</div></form>": "T\n" + W.strip(),
+    f"<body><form method=post id=form1><div id=head><a href=a>Home</a></div><h1>Head</h1><p>{W}</p><p>{W}</p><p>Fin.</p><div class=sidebar>{W}</div></form></body>": f"Head\n{W.strip()}\n{W.strip()}\nFin.",
+    f"<article><p>{W}</p></article><form><p>{W}</p><p>{W}</p></form>": W.strip(),
+    f'<article><h1>T</h1><section class="related-work"><h2>Related work</h2><p>{W}</p></section><section id="search-algorithms"><p>{W}</p></section></article>': f"T\nRelated work\n{W.strip()}\n{W.strip()}",
+    f'<article><p>one <span class="ad-word">two</span> three</p><div class="related-posts"><p>{W}</p></div><div class="comment-form-3"><p>{W}</p></div></article>': "one two three",
+    f'<aside><article class="card"><p>{W}</p></article></aside><article><p>{W}end</p></article>': W + "end",
     f'<article><header class="entry-header"><h1>T</h1></header><p>{W}</p></article>': "T\n" + W.strip(),
     f'<article><h1>T</h1><p>{W}</p><p class="advert">{W}</p><p class="notice">Mind this.</p><p>end</p></article>': f"T\n{W.strip()}\nend",
     "<article><p>a <span hidden>b</span><span class='ad-label'>ad</span> c</p><p>d <i hidden>e <p>f</p></article>": "a c\nd\nf",
