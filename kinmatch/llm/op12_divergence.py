@@ -34,7 +34,7 @@ PARTS = 1_000_000_000
 #: Terms that a task holds before it passes them on; bytes of a text from which its terms aren't listed at once.
 HELD, LONG = 400_000, 1 << 20
 #: Kept counts of a slice, at least; sources of a block; cells of the matrix of counts that is worked on at a time.
-SLICE, BLOCK, CELLS = 1 << 12, 512, 1 << 20
+SLICE, BLOCK, CELLS = 1 << 14, 512, 1 << 20
 
 
 def partial_counts(docs: DataFrame) -> DataFrame:
@@ -277,9 +277,7 @@ def audit(docs: DataFrame, least: int = 3, top: int = 200, rows: int = SLICE, bl
     dealt = headers.unionByName(counts).repartition("lang", "slice", "block").sortWithinPartitions("lang", "slice", "block", "term", "source")
     made = stored(partial_values(dealt, top))
     pairs = made.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    ranked = pairs.unionByName(made.where("part = 'term'")).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    )
-    return ranked.where((F.col("part") == "pair") | (F.col("rank") <= top)).select(
-        "lang", "source", "part", F.col("item").cast("string").alias("item"), "value", "rank"
-    )
+    order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
+    terms = made.where("part = 'term'").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    ranked = pairs.withColumn("rank", F.row_number().over(order)).unionByName(terms)
+    return ranked.select("lang", "source", "part", F.col("item").cast("string").alias("item"), "value", "rank")
