@@ -24,6 +24,11 @@ def distinct_texts(rows: DataFrame, text: str, key: str | None = None) -> DataFr
     return rows.groupBy(F.col(text).alias("t"), k.alias("k")).agg(F.min("row_no").alias("rep"), F.count("*").alias("n"))
 
 
+def text_id(text: str, key: str) -> Column:
+    """A digest that stands for a text within its key, wherever its rows are and however they are numbered."""
+    return F.sha2(F.concat_ws("\x1f", F.length(key).cast("string"), key, text), 256)
+
+
 def token_weights(texts: DataFrame) -> DataFrame:
     """``(rep, k, token, w)``: unit vectors of the token frequencies of ``texts (t, k, rep)``, in lower case."""
     tokens = texts.select("rep", "k", F.explode(F.split(F.lower("t"), r"\s+")).alias("token")).where("token <> ''")

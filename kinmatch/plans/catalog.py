@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, schedule, spell, text, uom, vectors
-from ..operators import grouping, similarity
-from ..sources import shared, store, tables
+from ..operators import grouping, probe_index, similarity
+from ..sources import ranges, shared, store, tables
 from . import records, reports, views
 
 VECTOR_THRESHOLD = 0.35
@@ -162,6 +162,26 @@ def item_variant_probe(spark: SparkSession, d: str) -> DataFrame:
     return reports.text_matches(views.with_parts(given).select("cand", "text", "numeric"), views.located(items, views.approval(items)), reports.ITEM_PROBE)
 
 
+def _index_path(spark: SparkSession, what: str) -> str:
+    return f"{shared.shared_dir(spark).rstrip('/')}/index-{what}-{uuid.uuid4().hex}"
+
+
+def item_variant_probe_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates of ``item_variant_probe`` against an index of all items that is published first."""
+    items = shared.stored(views.items(spark, d).select("row_no", "text", "numeric"))
+    index = probe_index.publish(views.located(items, views.approval(items)), _index_path(spark, "items"), reports.ITEM_PROBE)
+    given = spark.createDataFrame([(1, "SMALL  ring 11mm"), (2, "red bolt small, 28 MM"), (3, "none")], "cand long, ITEMDESC string")
+    return index.matches(views.with_parts(given).select("cand", "text", "numeric"))
+
+
+def vendor_name_probe_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The names of all vendors, as candidates, against a published index of vendors; how many rows each matches by location."""
+    v = views.vendors(spark, d).select("row_no", F.col("Name").alias("text"), F.lit("").alias("numeric"))
+    index = probe_index.publish(views.located(v, views.approval(v)), _index_path(spark, "vendors"), reports.NAME_PROBE)
+    names = v.groupBy(F.upper("text").alias("text"), "numeric").agg(F.min("row_no").alias("cand"))
+    return index.matches(names.select("cand", "text", "numeric")).groupBy("cand", "location").agg(F.count("*").alias("n"))
+
+
 def item_match_counts(spark: SparkSession, d: str) -> DataFrame:
     """How many matches of the probe there are in each location."""
     return records.location_counts(item_variant_probe(spark, d))
@@ -232,6 +252,20 @@ def embedding_refresh_summary(spark: SparkSession, d: str) -> DataFrame:
     return kept.read().agg(F.count("*").alias("total"), F.max(F.size("embedding")).cast("long").alias("dim")).withColumn("model", F.lit(made.model)).withColumn("status", F.lit(made.status))
 
 
+def embedding_refresh_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Refreshes a store of all items after one item's text has changed: its ranges, and which of them were made again."""
+    embedder = vectors.HashedTokens(128)
+    rows = shared.stored(views.items(spark, d).select("row_no", "text"))
+    kept = ranges.RangedStore(spark, f"{shared.shared_dir(spark).rstrip('/')}/ranges-{uuid.uuid4().hex}", size=256)
+    make = lambda r: vectors.embed(r, "text", embedder)
+    kept.refresh(rows, embedder.name, make)
+    last = rows.agg(F.max("row_no").alias("last"))
+    changed = rows.join(last, F.col("row_no") == F.col("last"), "left").select("row_no", F.when(F.col("last").isNotNull(), F.concat("text", F.lit(" changed"))).otherwise(F.col("text")).alias("text"))
+    made = kept.refresh(changed, embedder.name, make).summary
+    of_range = kept.read().groupBy(F.floor((F.col("row_no") - 1) / 256).alias("range_no")).agg(F.max("text").alias("last_text"), F.max(F.length("text")).cast("long").alias("longest"))
+    return kept.ranges().select("range_no", "n", (F.col("folder") == made.version).alias("made_again")).join(of_range, "range_no")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from . import service
 
@@ -241,8 +275,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             vendor_identifier_groups, vendor_field_report, vendor_field_totals, vendor_name_groups, vendor_duplicate_report, vendor_duplicate_totals, vendor_identifier_probe, vendor_name_probe,
             clean_str, normalize_identifier, uom_canonical, item_text_numeric_split, item_normalize_full, item_scan_ordered, catalog_scan,
             approval_union, rows_round_trip, vector_pairs_blocked, vector_pairs_unblocked, vector_exact_groups, vector_components, vector_probe,
-            item_duplicate_report, item_duplicate_report_nested, item_duplicate_report_records, item_match_counts, item_bulk_summary, item_quality_score, item_column_status, item_variant_probe, item_bulk_check,
-            item_bulk_groups, catalog_probe, uom_cascade, next_refresh_slot, spell_correct, embedding_refresh_summary,
+            item_duplicate_report, item_duplicate_report_nested, item_duplicate_report_records, item_match_counts, item_bulk_summary, item_quality_score, item_column_status, item_variant_probe, item_variant_probe_indexed, vendor_name_probe_indexed, item_bulk_check,
+            item_bulk_groups, catalog_probe, uom_cascade, next_refresh_slot, spell_correct, embedding_refresh_summary, embedding_refresh_ranges,
         )
     }
 

@@ -38,7 +38,7 @@ def clusters(source: str, threshold: float) -> str:
 def probe(threshold: float) -> str:
     """Matches of cand(cand, txt, num) in place(location, row_no, txt, num)."""
     return f"""cd AS (SELECT cand AS rep, txt, num FROM cand), {tokens("cw", "cd")},
-  pd AS (SELECT min(row_no) AS rep, txt, num FROM place GROUP BY txt, num), {tokens("pw", "pd")},
+  pd AS (SELECT row_number() OVER (ORDER BY txt, num) AS rep, txt, num FROM place GROUP BY txt, num), {tokens("pw", "pd")},
   hit AS (SELECT a.rep AS cand, b.rep FROM cw a JOIN pw b ON a.num = b.num AND a.tok = b.tok GROUP BY a.rep, b.rep HAVING sum(a.w * b.w) >= {threshold} - 1e-12
     UNION ALL SELECT cd.rep, pd.rep FROM cd JOIN pd ON cd.num = pd.num WHERE cd.txt = '' AND pd.txt = ''),
   m AS (SELECT hit.cand, place.location, place.row_no FROM hit JOIN pd USING (rep) JOIN place USING (txt, num))"""
@@ -130,3 +130,14 @@ SQL = {
     "next_refresh_slot": "SELECT event_id, date_trunc('day', ts) + to_hours(4 * (CAST(floor(date_part('hour', ts) / 4) AS INTEGER) + 1)) AS slot FROM events",
     "embedding_refresh_summary": "SELECT count(*) AS total, 128::BIGINT AS dim, 'hashed-tokens-8-128' AS model, 'complete' AS status FROM part",
 }
+
+SQL["item_variant_probe_indexed"] = SQL["item_variant_probe"]
+SQL["vendor_name_probe_indexed"] = (
+    f"WITH {VENDORS}, v AS (SELECT row_no, Name AS txt, '' AS num FROM vendor), {LOCATED.format(s='v')}, "
+    f"cand AS (SELECT min(row_no) AS cand, upper(txt) AS txt, num FROM v GROUP BY upper(txt), num), {probe(0.97)} "
+    "SELECT cand, location, count(*) AS n FROM m GROUP BY cand, location"
+)
+SQL["embedding_refresh_ranges"] = (
+    f"WITH {ITEM}, changed AS (SELECT row_no, CASE WHEN row_no = (SELECT max(row_no) FROM item) THEN txt || ' changed' ELSE txt END AS txt FROM item) "
+    "SELECT CAST(floor((row_no - 1) / 256) AS BIGINT) AS range_no, count(*) AS n, max(row_no) = (SELECT max(row_no) FROM item) AS made_again, max(txt) AS last_text, max(length(txt)) AS longest FROM changed GROUP BY range_no"
+)

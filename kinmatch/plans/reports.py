@@ -9,7 +9,7 @@ from ..functions.identifiers import normalize_identifier
 from ..functions.uom import canonical_uom
 from ..operators.components import connected_components
 from ..operators.grouping import first_of_each, groups_of_texts
-from ..operators.similarity import distinct_texts, token_links, token_pairs, token_weights, vector_links
+from ..operators.similarity import distinct_texts, text_id, token_links, token_pairs, token_weights, vector_links
 from ..sources.shared import stored
 
 ITEM_CLUSTER, ITEM_PROBE = 0.985, 0.75
@@ -39,17 +39,18 @@ def vector_groups(rows: DataFrame, threshold: float) -> DataFrame:
 def text_matches(candidates: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """``(cand, location, row_no)``: rows similar to candidates ``(cand, text, numeric)`` with an equal numeric part.
 
-    Two texts without a word are as similar as equal ones: what has no token but an equal key is a match. Only rows with a
-    candidate's key are read into tokens.
+    Two texts without a word are as similar as equal ones: what has no token but an equal key is a match. A null text or
+    key matches nothing. Only rows with a candidate's key are read into tokens. Rows of two locations may have the same
+    number: a text is known by a digest, not by a row that has it. ``ProbeIndex`` answers the same from published tables.
     """
-    given = stored(distinct_texts(candidates.select(F.col("cand").alias("row_no"), "text", "numeric"), "text", "numeric"))
-    rows = stored(rows.select("location", "row_no", "text", "numeric").join(given.select(F.col("k").alias("numeric")).distinct(), "numeric", "left_semi"))
-    there = stored(distinct_texts(rows, "text", "numeric"))
+    known = lambda df, *names: df.where("text IS NOT NULL AND numeric IS NOT NULL").select(*names, text_id("text", "numeric").alias("rep"), F.col("text").alias("t"), F.col("numeric").alias("k"))
+    candidates = stored(known(candidates, "cand"))
+    rows = stored(known(rows, "location", "row_no").join(candidates.select("k").distinct(), "k", "left_semi"))
+    given, there = (df.select("rep", "k", "t").distinct() for df in (candidates, rows))
     similar = token_pairs(token_weights(given), token_weights(there), threshold, own=False).select("a", "b")
     blank = given.where("t = ''").select("k", F.col("rep").alias("a")).join(there.where("t = ''").select("k", F.col("rep").alias("b")), "k").select("a", "b")
     hits = similar.unionByName(blank)
-    c = candidates.join(given, (F.col("text") == F.col("t")) & (F.col("numeric") == F.col("k"))).select("cand", F.col("rep").alias("a"))
-    r = rows.join(there, (F.col("text") == F.col("t")) & (F.col("numeric") == F.col("k"))).select("location", "row_no", F.col("rep").alias("b"))
+    c, r = candidates.select("cand", F.col("rep").alias("a")), rows.select("location", "row_no", F.col("rep").alias("b"))
     return hits.join(c, "a").join(r, "b").select("cand", "location", "row_no")
 
 

@@ -6,7 +6,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,12 +22,24 @@ class Summary:
     status: str = "complete"
 
 
+#: Columns of ``digest_sums``.
+DIGESTS = ("h0", "h1", "h2", "h3")
+
+
+def digest_sums(row: str, text: str) -> list[Column]:
+    """Sums over rows that make up a digest of their numbers and texts; those of parts add up to those of the whole."""
+    h = F.sha2(F.concat_ws("\x1f", F.col(row).cast("string"), F.coalesce(F.col(text), F.lit(""))), 256)
+    return [F.sum(F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(38,0)")).alias(name) for name, at in zip(DIGESTS, (1, 16, 31, 46))]
+
+
+def as_digest(rows: int, sums) -> str:
+    return "-".join(str(x or 0) for x in (rows, *sums))
+
+
 def text_digest(df: DataFrame, row: str = "row_no", text: str = "text") -> str:
     """A digest of all texts and their row numbers; rows may be read in any order and are combined before the shuffle."""
-    h = F.sha2(F.concat_ws("\x1f", F.col(row).cast("string"), F.coalesce(F.col(text), F.lit(""))), 256)
-    halves = [F.conv(F.substring(h, i, 15), 16, 10).cast("decimal(38,0)") for i in (1, 16, 31, 46)]
-    sums = df.select(*[x.alias(f"h{i}") for i, x in enumerate(halves)]).agg(F.count("*"), *[F.sum(f"h{i}") for i in range(4)]).first()
-    return "-".join(str(x or 0) for x in sums)
+    n, *sums = df.agg(F.count("*"), *digest_sums(row, text)).first()
+    return as_digest(n, sums)
 
 
 def mismatches(found: Summary | None, model: str, rows: int, digest: str | None = None) -> list[str]:
