@@ -1,6 +1,6 @@
 """Document fingerprints as invertible Bloom lookup tables, in DataFrame functions only.
 
-A text's paragraphs (its lines, each in parts of PART code points) are hashed into cells that hold a count, the exclusive
+A text's paragraphs (its lines, in parts that end where their content says so) are hashed into cells that hold a count, the exclusive
 or of the digests and that of their check sums (Eppstein et al., SIGCOMM 2011). Two texts' tables subtract cell by cell,
 what they share cancels out, and peeling recovers the digests that only one of them has: a cell with one digest gives it
 away, and taking it out of its other cells opens further ones. If that fails, larger tables are made of both and tried
@@ -16,8 +16,15 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Code points of a paragraph's part.
-PART = 256
+#: A text of fewer code points than this is cut at blanks, into parts of at least and at most so many code points.
+SHORT, SHORT_PART = 512, (12, 48)
+#: A longer one is cut at ends of its content, into parts of at least and at most so many code points.
+PART = (48, 320)
+#: Ends of content: a blank after one of four code points of each 32, a full stop or the like of scripts without blanks,
+#: and some pairs of a digit and a letter for texts without any of these.
+ENDS = "(?:[ \\t](?<=[%s].)|[\u3001\u3002\uff0c\uff01\uff1f\u4e00-\u4e1f\u3044-\u3047]|[0-3](?=[A-Ca-c]))" % "".join(
+    f"\\u{c:04x}-\\u{c + 3:04x}" for c in range(0x20, 0x3000, 32)
+)
 #: Cells a hash function addresses: in the fingerprint, and in the tables of the retries one after another.
 CELLS, RETRY_CELLS = 8, (8, 16, 16, 16, 16, 16, 16, 16)
 #: Digests of both texts that a table of the retries is made for, on average at most.
@@ -41,9 +48,21 @@ def _starts(sorted_: Column, of: Callable[[Column], Column]) -> Column:
     return F.filter(every, lambda i: (i == 0) | (of(F.get(sorted_, i - 1)) != of(F.get(sorted_, i))))
 
 
+def pattern(part: tuple[int, int], ends: str) -> str:
+    """Parts of lines: up to the first end after the least length, or of the greatest length where there is none."""
+    least, most = part
+    return f"[^\n]{{{least},{most - 1}}}?{ends}|[^\n]{{1,{most}}}"
+
+
 def digests(text: Column) -> Column:
-    """The digests of a text's paragraphs; a paragraph's n-th occurrence has a digest of its own. Linear but for a sort."""
-    hashed = F.transform(F.regexp_extract_all(text, F.lit(f"[^\n]{{1,{PART}}}"), F.lit(0)), lambda p: F.xxhash64(p))
+    """The digests of a text's paragraphs; a paragraph's n-th occurrence has a digest of its own. Linear but for a sort.
+
+    Where a part ends depends on the code points before it back to its beginning, and beginnings fall into step again
+    after something was put in or taken out. Texts on either side of ``SHORT`` have few parts in common.
+    """
+    parts = lambda part, ends: F.regexp_extract_all(text, F.lit(pattern(part, ends)), F.lit(0))
+    cut = F.when(F.length(text) < SHORT, parts(SHORT_PART, "[ \\t]")).otherwise(parts(PART, ENDS))
+    hashed = F.transform(cut, lambda p: F.xxhash64(p))
 
     def numbered(all_: Column) -> Column:
         each = lambda at, n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.get(all_, at), i))

@@ -10,9 +10,30 @@ from kinmatch.llm import op04_iblt as o
 from kinmatch.llm.queries import op4_iblt
 
 
+def parts_of(text):
+    """A text's parts, found code point by code point."""
+    short = len(text) < o.SHORT
+    least, most = o.SHORT_PART if short else o.PART
+
+    def ends(line, i):  # whether a part may end before i
+        c = line[i - 1]
+        if c in " \t":
+            return short or (i > 1 and 32 <= ord(line[i - 2]) < 0x3000 and ord(line[i - 2]) % 32 < 4)
+        if short:
+            return False
+        return c in "。！？" or (c in "0123" and i < len(line) and line[i] in "ABCabc")
+
+    for line in text.split("\n"):
+        at = 0
+        while at < len(line):
+            stop = next((i for i in range(at + least + 1, min(at + most, len(line)) + 1) if ends(line, i)), min(at + most, len(line)))
+            yield line[at:stop]
+            at = stop
+
+
 def plain_digests(spark, texts):
     """The digests of each text, made from a list of parts in Python; the hash itself is Spark's."""
-    parts = [Counter(line[i : i + o.PART] for line in t.split("\n") for i in range(0, len(line), o.PART)) for t in texts]
+    parts = [Counter(parts_of(t)) for t in texts]
     wanted = sorted({(p, i) for c in parts for p, n in c.items() for i in range(n)})
     df = spark.createDataFrame([("", -1), *wanted], "p string, i int")
     hashed = {(r["p"], r["i"]): r["d"] for r in df.select("p", "i", F.xxhash64(F.xxhash64("p"), "i").alias("d")).collect()}
@@ -77,6 +98,27 @@ def test_random_texts(spark, pairs):
         assert got == pytest.approx(want)
 
 
+def words(n, letters="abcdefghijklmnopqrstuvwxyz", blank=" ", often=45):
+    """A line of n characters of words that a hash makes."""
+    made = hashlib.shake_256(letters.encode()).digest(2 * n)
+    return "".join(blank if made[i + n] < often else letters[made[i] % len(letters)] for i in range(n))
+
+
+@pytest.mark.parametrize("line", [words(17_000), words(17_000, "абвгдежзиклмнопрстуфхцчшщыэюя"), words(17_000, "一二不三的是在我有他这中大来上国个到说们", "。", 8), words(17_000, "ABCDEFGHabcdefgh0123456789+/", "k")])
+def test_what_is_put_in_changes_little(spark, line):
+    """A character, or a sentence, put before a line, or into its midst."""
+    pairs = [(line, "x" + line), (line, "Quite another beginning of it. " + line), (line, line[:8000] + "something else" + line[8000:])]
+    for got, want in near(spark, pairs):
+        assert got == pytest.approx(want) and got >= 0.9
+
+
+def test_short_texts_keep_a_likeness(spark):
+    """No text of more than 64 characters is wholly unlike itself with another last quarter."""
+    texts = [words(n + 26)[26:] for n in range(65, 700, 9)]
+    pairs = [(t, t[: len(t) - len(t) // 4] + "Z" * (len(t) // 4)) for t in texts]
+    assert all(got == pytest.approx(want) and got > 0 for got, want in near(spark, pairs))
+
+
 def brute_edit(docs):
     order = sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0))
     for i, (d, t) in enumerate(order):
