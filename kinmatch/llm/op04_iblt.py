@@ -22,7 +22,7 @@ SHORT, SHORT_PART = 512, (12, 48)
 PART = (48, 320)
 #: Ends of content: a blank after one of four code points of each 32, a full stop or the like of scripts without blanks,
 #: and some pairs of a digit and a letter for texts without any of these.
-ENDS = "(?:[ \\t](?<=[%s].)|[\u3001\u3002\uff0c\uff01\uff1f\u4e00-\u4e1f\u3044-\u3047]|[0-3](?=[A-Ca-c]))" % "".join(
+ENDS = "(?:[ \\t](?<=[%s].)|[\u3002\uff01\uff1f]|[0-3](?=[A-Ca-c]))" % "".join(
     f"\\u{c:04x}-\\u{c + 3:04x}" for c in range(0x20, 0x3000, 32)
 )
 #: Cells a hash function addresses: in the fingerprint, and in the tables of the retries one after another.
