@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, schedule, spell, text, uom, vectors
-from ..operators import grouping, probe_index, similarity
+from ..operators import component_store, grouping, probe_index, similarity
 from ..sources import ranges, shared, store, tables
 from . import records, reports, views
 
@@ -266,6 +266,15 @@ def embedding_refresh_ranges(spark: SparkSession, d: str) -> DataFrame:
     return kept.ranges().select("range_no", "n", (F.col("folder") == made.version).alias("made_again")).join(of_range, "range_no")
 
 
+def vendor_components_updated(spark: SparkSession, d: str) -> DataFrame:
+    """Vendors that share identifiers, directly or through others: a batch of links for each identifier, one after another."""
+    report = shared.stored(grouping.field_report(views.vendors(spark, d), views.FIELDS).select("field", "id", "group_min"))
+    kept = component_store.ComponentStore(spark, f"{shared.shared_dir(spark).rstrip('/')}/components-{uuid.uuid4().hex}", parts=16)
+    for field in views.FIELDS:
+        kept.add(report.where(F.col("field") == field), "id", "group_min")
+    return kept.read()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from . import service
 
@@ -276,7 +285,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             clean_str, normalize_identifier, uom_canonical, item_text_numeric_split, item_normalize_full, item_scan_ordered, catalog_scan,
             approval_union, rows_round_trip, vector_pairs_blocked, vector_pairs_unblocked, vector_exact_groups, vector_components, vector_probe,
             item_duplicate_report, item_duplicate_report_nested, item_duplicate_report_records, item_match_counts, item_bulk_summary, item_quality_score, item_column_status, item_variant_probe, item_variant_probe_indexed, vendor_name_probe_indexed, item_bulk_check,
-            item_bulk_groups, catalog_probe, uom_cascade, next_refresh_slot, spell_correct, embedding_refresh_summary, embedding_refresh_ranges,
+            item_bulk_groups, catalog_probe, uom_cascade, next_refresh_slot, spell_correct, embedding_refresh_summary, embedding_refresh_ranges, vendor_components_updated,
         )
     }
 

@@ -99,6 +99,10 @@ SQL = {
     "item_bulk_summary": f"{ITEM_CLUSTERS} SELECT (SELECT count(*) FROM item) AS total_submitted, (SELECT count(*) FROM item) - (SELECT count(*) - count(DISTINCT group_min) FROM grp) AS unique_count, (SELECT count(DISTINCT group_min) FROM grp) AS duplicate_groups",
     "vendor_identifier_groups": f"WITH {VENDORS}, k AS (SELECT row_no, {norm('NTN')} AS k FROM vendor), g AS (SELECT k, min(row_no) AS group_min FROM k WHERE k <> '' GROUP BY k HAVING count(*) > 1) SELECT row_no, group_min FROM k JOIN g USING (k)",
     "vendor_field_report": f"{REPORT} SELECT * FROM rep",
+    "vendor_components_updated": f"""{REPORT.replace("WITH", "WITH RECURSIVE", 1)},
+      e AS (SELECT id AS a, group_min AS b FROM rep WHERE id <> group_min UNION SELECT group_min, id FROM rep WHERE id <> group_min),
+      r(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
+      SELECT node, min(root) AS component_id FROM r GROUP BY node""",
     "vendor_field_totals": f"{REPORT}, z AS (SELECT field, group_min, count(*) AS n FROM rep GROUP BY ALL) SELECT field, count(*) AS duplicate_groups, sum(n - 1)::BIGINT AS duplicate_records FROM z GROUP BY field",
     "vendor_name_groups": f"WITH RECURSIVE {VENDORS}, v AS (SELECT row_no, Name AS txt, '' AS num FROM vendor), {clusters('v', 0.9)} SELECT * FROM grp",
     "vendor_identifier_probe": f"WITH {VENDORS}, {LOCATED.format(s='vendor')}, k AS (SELECT row_no AS cand, {norm('NTN')} AS k FROM vendor WHERE row_no % 100 = 0) SELECT k.cand, p.location, p.id, p.NTN AS field_value FROM place p JOIN k ON k.k = {norm('p.NTN')} WHERE k.k <> ''",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.identifiers import normalize_identifier
+from ..operators.component_store import ComponentStore
 from ..plans.reports import ITEM_PROBE, text_matches
 
 
@@ -33,3 +34,12 @@ def description_stream(candidates: DataFrame, rows: DataFrame, path: str, checkp
         text_matches(batch, rows, threshold).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return candidates.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def component_stream(links: DataFrame, store: ComponentStore, checkpoint: str, a: str = "a", b: str = "b") -> StreamingQuery:
+    """Adds streamed links to stored components, a version for each micro-batch; one that is run again adds nothing."""
+
+    def one(batch: DataFrame, _: int) -> None:
+        store.add(batch, a, b)
+
+    return links.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
