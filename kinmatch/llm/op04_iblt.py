@@ -20,11 +20,25 @@ from .common import stored
 SHORT, SHORT_PART = 512, (12, 48)
 #: A longer one is cut at ends of its content, into parts of at least and at most so many code points.
 PART = (48, 320)
+
+
+def _marks() -> str:
+    """A pattern's class of four code points of each 32, from U+0020 to U+2FFF, in blocks.
+
+    A class of many ranges is tried range by range for each code point; in blocks only those of its own block are, and
+    ASCII, listed singly, is looked up in one table.
+    """
+    code = lambda c: f"\\u{c:04x}"
+    ascii_ = "".join(code(c + i) for c in range(0x20, 0x80, 32) for i in range(4))
+    ranges = lambda at, to: "".join(f"{code(c)}-{code(c + 3)}" for c in range(at, to, 32))
+    edges = [0x80, *range(0x200, 0x3001, 0x200)]
+    blocks = "".join(f"[[{code(a)}-{code(b - 1)}]&&[{ranges(a, b)}]]" for a, b in zip(edges, edges[1:]))
+    return f"[{ascii_}{blocks}]"
+
+
 #: Ends of content: a blank after one of four code points of each 32, a full stop or the like of scripts without blanks,
 #: and some pairs of a digit and a letter for texts without any of these.
-ENDS = "(?:[ \\t](?<=[%s].)|[\u3002\uff01\uff1f]|[0-3](?=[A-Ca-c]))" % "".join(
-    f"\\u{c:04x}-\\u{c + 3:04x}" for c in range(0x20, 0x3000, 32)
-)
+ENDS = f"(?:[ \\t](?<={_marks()}.)|[\u3002\uff01\uff1f]|[0-3](?=[A-Ca-c]))"
 #: Cells a hash function addresses: in the fingerprint, and in the tables of the retries one after another.
 CELLS, RETRY_CELLS = 8, (8, 16, 16, 16, 16, 16, 16, 16)
 #: Digests of both texts that a table of the retries is made for, on average at most.

@@ -158,3 +158,13 @@ def test_edge_cases(spark):
 def test_no_python_on_the_main_path(spark, sf):
     plan = op4_iblt(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_ends_of_content_by_code_point(spark):
+    """A blank ends a part after one of four code points of each 32 up to U+2FFF; full stops without blanks end one, too."""
+    from kinmatch.llm.op04_iblt import ENDS
+
+    every = spark.range(1, 0x11000).where("id < 55296 or id > 57343")
+    text = F.concat(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')"), F.lit(" "))
+    want = F.col("id").between(0x20, 0x2FFF) & (F.col("id") % 32 < 4) | F.col("id").isin(0x3002, 0xFF01, 0xFF1F)
+    assert every.where(text.rlike(ENDS) != want).count() == 0
