@@ -1,7 +1,10 @@
 import pytest
+from pyspark.accumulators import AccumulatorParam
+from pyspark.sql import functions as F
 
 from kinmatch.api import Engine
 from kinmatch.config import Settings, read_env_file
+from kinmatch.functions.vectors import HashedTokens, embed
 
 ITEM = "id long, ITEM_TYPE string, MAINGROUP string, SUBGROUP string, ITEMDESC string, ITEM_CODE string, UOM string, Supplier string"
 VENDOR = "id long, Name string, CNIC string, NTN string, SalesTaxNo string, AccountNo string, IbanNO string"
@@ -89,3 +92,46 @@ def test_catalogs(engine, spark):
 def test_settings():
     assert Settings.from_env({"KINMATCH_ITEM_PROBE": "0.8", "KINMATCH_PASSES": "3"}) == Settings(item_probe=0.8, passes=3)
     assert read_env_file("A=1\n# B=2\nexport C='x y'\nD=\"q\nE=2", {"E": "1"}) == {"A": "1", "C": "x y", "D": '"q'}
+
+
+def counted(spark, width=16):
+    """An embedder, how many texts it was given, and a list of how many at a time."""
+
+    class Lists(AccumulatorParam):
+        def zero(self, value):
+            return []
+
+        def addInPlace(self, a, b):
+            return a + b
+
+    seen, most = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator([], Lists())
+
+    def model(texts):
+        seen.add(len(texts))
+        most.add([len(texts)])
+        return HashedTokens(width)(texts)
+
+    model.name, model.width = HashedTokens(width).name, width
+    return model, seen, most
+
+
+def test_a_report_embeds_each_name_once(spark, tmp_path):
+    """900 vendors of 300 names: 300 vectors, made a few texts at a time."""
+    model, seen, most = counted(spark)
+    made = Engine(spark, str(tmp_path), model)
+    rows = spark.range(900).coalesce(1).select("id", F.expr("concat('n', id % 300)").alias("Name"), *[F.lit(None).cast("string").alias(c) for c in ("CNIC", "NTN", "SalesTaxNo", "AccountNo", "IbanNO")])
+    totals, _ = made.vendor_duplicate_engine(rows)
+    found = totals.first()
+    assert seen.value == 300 and max(most.value) <= 256
+    assert (found["field"], found["duplicate_groups"] >= 1, found["duplicate_records"] >= 600) == ("NAME", True, True)
+
+
+def test_vectors_are_made_a_few_texts_at_a_time(spark):
+    """Of a batch of 2,000 rows, no more than 256 texts are made into vectors at once; rows keep their columns."""
+    model, seen, most = counted(spark)
+    rows = spark.range(2000).coalesce(1).select("id", F.when(F.col("id") % 7 > 0, F.expr("concat('t ', id)")).alias("text"), F.array("id").alias("other"))
+    out = embed(rows, "text", model).collect()
+    assert seen.value == 2000 and max(most.value) <= 256
+    want = HashedTokens(16)([r["text"] or "" for r in out])
+    assert [r["id"] for r in out] == [r["other"][0] for r in out] == list(range(2000))
+    assert all(list(w) == r["embedding"] for w, r in zip(want.tolist(), out))
