@@ -135,3 +135,40 @@ def test_vectors_are_made_a_few_texts_at_a_time(spark):
     want = HashedTokens(16)([r["text"] or "" for r in out])
     assert [r["id"] for r in out] == [r["other"][0] for r in out] == list(range(2000))
     assert all(list(w) == r["embedding"] for w, r in zip(want.tolist(), out))
+
+
+def passing(spark, kind):
+    """A function that returns its argument, and how often it was called."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def same(x):
+        seen.add(1)
+        return x
+
+    return F.udf(same, kind), seen
+
+
+def test_units_are_made_ready_once_a_label(spark, tmp_path):
+    """A catalog is a distinct of 3,000 rows with three labels: only labels are normalised, not the rows beneath."""
+    same, seen = passing(spark, "string")
+
+    class Counting(Engine):
+        def _ready(self, c):
+            return same(super()._ready(c))
+
+    made = Counting(spark, str(tmp_path))
+    labels = spark.range(3000).select((F.col("id") % 3).alias("id"), F.expr("element_at(array('Kilogram', 'Odd Unit', 'Box'), cast(id % 3 + 1 as int))").alias("UOM_Description")).distinct()
+    assert listed(made.uom_check_duplicate_variant("kgs", labels)) == ("duplicate", [("Kilogram", 0)])
+    assert listed(made.uom_check_duplicate_variant("unit odd", labels)) == ("duplicate", [("Odd Unit", 1)])
+    assert seen.value < 100
+
+
+def test_several_identifiers_read_vendors_once(engine, spark, vendors):
+    """Five identifiers have the answers of five checks; rows are read to be dealt and numbered, not again for each."""
+    same, seen = passing(spark, "long")
+    asked = {"CNIC": "123 45 1", "NTN": "0007", "STRN": "S-1", "Account No": " - ", "IBAN": "i9"}
+    counted_view = vendors.withColumn("id", same("id"))
+    got = {r["label"]: (r["status"], [tuple(m) for m in r["matches"]]) for r in engine.vendor_check_identifiers(asked, counted_view, vendors.where("id = 1")).collect()}
+    assert seen.value <= 3 * 3
+    assert got == {k: listed(engine.vendor_check_duplicate(k, v, vendors, vendors.where("id = 1"))) for k, v in asked.items()}
+    assert [(m[0], m[3]) for m in got["STRN"][1]] == [(1, "db"), (3, "db"), (1, "approval")] and got["IBAN"] == got["Account No"] == ("unique", [])
