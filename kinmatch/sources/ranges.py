@@ -54,7 +54,7 @@ class RangedStore(Store):
         return self.spark.read.parquet(f"{self.path}/columns={self.summary().version}").schema
 
     def _rows(self, ranges: DataFrame) -> DataFrame | None:
-        """The rows of the ranges named, each from its folder; other folders and ranges aren't opened."""
+        """The rows of the ranges named, each from its folder; other folders aren't opened."""
         folders = sorted(r[0] for r in ranges.select("folder").distinct().collect())  # as many as ``self.folders`` at most
         if not folders:  # a version without rows
             return None
@@ -113,7 +113,8 @@ class RangedStore(Store):
             made = made.unionByName(copied.drop("folder").select(*made.columns))
             changed, kept = changed.unionByName(kept.select(*changed.columns)), None
         self.spark.createDataFrame([], made.drop("range_no").schema).coalesce(1).write.parquet(f"{self.path}/columns={version}")
-        made.repartition("range_no").write.partitionBy("range_no").parquet(folder)
+        # ranges share files, in order within each: a file for each range would be as many as there are ranges
+        made.repartition("range_no").sortWithinPartitions("range_no").write.parquet(folder)
         there = self.spark.read.schema(made.schema).parquet(folder).groupBy("range_no")
         there = there.agg(F.count("*").alias("found"), F.max(F.size(vector)).alias("dim"), F.min(F.size(vector)).alias("least"))
         of_new = stored(changed.join(there, "range_no", "left").withColumn("folder", F.lit(version)))

@@ -74,3 +74,13 @@ def test_edge_cases(spark, tmp_path):
     with pytest.raises(ValueError, match="8 to 16"):
         kept.refresh(more, MODEL.name, lambda r: embed(r, "text", HashedTokens(8)))
     assert kept.summary() == first and len(kept.sweep(0)) == 0
+
+
+def test_ranges_share_files(spark, tmp_path):
+    """500 ranges are written to as many files as there are partitions, at most."""
+    kept = RangedStore(spark, str(tmp_path / "s"), size=4)
+    made = kept.refresh(texts(spark, 2000), MODEL.name, with_vectors)
+    assert made.made == 500 and len(list((tmp_path / "s").rglob("*.parquet"))) < 20
+    changed = texts(spark, 2000).withColumn("text", F.when(F.col("row_no") == 9, "other").otherwise(F.col("text")))
+    assert kept.refresh(changed, MODEL.name, with_vectors).made == 1
+    assert rows_of(kept.read()) == rows_of(with_vectors(changed))
