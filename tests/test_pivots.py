@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kinmatch.operators.components import connected_components
+from kinmatch.operators import pivots
 from kinmatch.operators.pivots import dealt, forest
 from kinmatch.operators.similarity import vector_links, vector_pairs
 
@@ -86,3 +88,28 @@ def test_forest_connects_the_same():
         a, b = forest(*(np.array(c) for c in zip(*pairs)))
         assert groups(zip(a.tolist(), b.tolist())) == {k: v for k, v in groups(pairs).items()}
         assert len(a) < len(groups(pairs))
+
+
+def test_a_task_lists_visits_without_vectors():
+    """400 vectors without structure, which visit most of 40 cells: each leaves the task once, and slices share the visits."""
+    x, n = clustered(400, 400, 0.0, seed=3), 400
+    right = pa.table({"pivot": pa.array(range(40), pa.int64()), "p": pa.array(x[:40].tolist()), "radius": pa.array([3.0] * 40), "least": pa.array([-1.0] * 40)})
+
+    def listed(part, parts):
+        left = pa.table({"k": pa.array([""] * n), "id": pa.array(range(n), pa.int64()), "v": pa.array(x.tolist()), "most": pa.array([1.0] * n), "slice": pa.array([part] * n), "slices": pa.array([parts] * n)})
+        out = pivots._nearest(left, right, 0.2, True, False)
+        assert len(out) == n and out.nbytes < n * (16 * 8 + 40 * 16 + 100)
+        return {(r["id"], o["cell"]) for r in out.to_pylist() for o in r["visits"]}
+
+    whole, parts = listed(0, 1), [listed(i, 3) for i in range(3)]
+    assert len(whole) > 10 * n and sum(map(len, parts)) == len(whole) and set().union(*parts) == whole
+
+
+@pytest.mark.parametrize("most", [1 << 20, 300])
+def test_slices_of_visits_lose_no_pair(spark, monkeypatch, most):
+    monkeypatch.setattr(pivots, "VISITS", most)
+    rows = [(i, v.tolist(), "") for i, v in enumerate(clustered(300, 300, 0.0, seed=7))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, vector_pairs(df, "id", "v", 0.4, block=16).collect())) == brute(rows, 0.4)
+    links = vector_links(df, "id", "v", 0.4, block=16)
+    assert {r["node"]: r["component_id"] for r in connected_components(links, "a", "b").collect()} == groups(brute(rows, 0.4))
