@@ -172,3 +172,19 @@ def test_several_identifiers_read_vendors_once(engine, spark, vendors):
     assert seen.value <= 3 * 3
     assert got == {k: listed(engine.vendor_check_duplicate(k, v, vendors, vendors.where("id = 1"))) for k, v in asked.items()}
     assert [(m[0], m[3]) for m in got["STRN"][1]] == [(1, "db"), (3, "db"), (1, "approval")] and got["IBAN"] == got["Account No"] == ("unique", [])
+
+
+def test_items_and_their_queue_are_embedded_a_few_at_a_time(spark, tmp_path):
+    """3,000 items and a queue of 1,500, published, probed by one and by a batch, and grouped: never over 256 vectors at once."""
+    model, seen, most = counted(spark)
+    made = Engine(spark, str(tmp_path), model)
+    view = spark.range(3000).coalesce(1).select("id", *[F.lit("x").alias(c) for c in ("ITEM_TYPE", "MAINGROUP", "SUBGROUP")], F.expr("concat('bolt ', id % 500 + 1, 'mm')").alias("ITEMDESC"))
+    queue = view.where("id < 1500")
+    made.item_update_embeddings(view)
+    assert seen.value == 3000
+    status, matches = listed(made.item_check_duplicate_variant("bolt 7mm", queue))
+    assert (status, len(matches)) == ("duplicate", 9)
+    results = made.item_check_duplicate_bulk(["bolt 7mm", "Bolt 7 mm", "nut 9mm"], queue)["results"].orderBy("cand").collect()
+    assert [(r["cand"], r["status"], len(r["matches"])) for r in results] == [(0, "duplicate", 9), (2, "unique", 0)]
+    assert made.item_duplicate_engine()[0].first()["duplicate_records"] == 2500
+    assert max(most.value) <= 256
