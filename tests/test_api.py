@@ -188,3 +188,13 @@ def test_items_and_their_queue_are_embedded_a_few_at_a_time(spark, tmp_path):
     assert [(r["cand"], r["status"], len(r["matches"])) for r in results] == [(0, "duplicate", 9), (2, "unique", 0)]
     assert made.item_duplicate_engine()[0].first()["duplicate_records"] == 2500
     assert max(most.value) <= 256
+
+
+def test_vendors_and_their_queue_are_embedded_a_few_at_a_time(spark, tmp_path):
+    model, seen, most = counted(spark)
+    made = Engine(spark, str(tmp_path), model)
+    rows = spark.range(3000).coalesce(1).select("id", F.expr("concat('n', id % 300)").alias("Name"), *[F.lit(None).cast("string").alias(c) for c in ("CNIC", "NTN", "SalesTaxNo", "AccountNo", "IbanNO")])
+    made.vendor_update_embeddings(rows)
+    status, matches = listed(made.vendor_check_duplicate_name("N7", rows.where("id < 1500")))
+    assert (status, seen.value >= 4500, max(most.value) <= 256) == ("duplicate", True, True)
+    assert len([m for m in matches if m[1] == "n7"]) == 15
