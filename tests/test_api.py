@@ -198,3 +198,29 @@ def test_vendors_and_their_queue_are_embedded_a_few_at_a_time(spark, tmp_path):
     status, matches = listed(made.vendor_check_duplicate_name("N7", rows.where("id < 1500")))
     assert (status, seen.value >= 4500, max(most.value) <= 256) == ("duplicate", True, True)
     assert len([m for m in matches if m[1] == "n7"]) == 15
+
+
+def test_of_a_queue_only_rows_with_a_candidate_s_numbers_are_embedded(spark, tmp_path):
+    """1,500 rows of 500 numbers: a probe by one number needs the vectors of 3, a batch of three numbers those of 6, as 600 is none of theirs."""
+    model, seen, _ = counted(spark)
+    made = Engine(spark, str(tmp_path), model)
+    view = spark.range(3000).coalesce(1).select("id", *[F.lit("x").alias(c) for c in ("ITEM_TYPE", "MAINGROUP", "SUBGROUP")], F.expr("concat('bolt ', id % 500 + 1, 'mm')").alias("ITEMDESC"))
+    queue = view.where("id < 1500")
+    made.item_update_embeddings(view)
+    before = seen.value
+    status, matches = listed(made.item_check_duplicate_variant("bolt 7mm", queue))
+    assert (status, len(matches), seen.value - before) == ("duplicate", 9, 3 + 1)
+    before = seen.value
+    results = made.item_check_duplicate_bulk(["bolt 7mm", "nut 9mm", "bolt 600mm", "bolt"], queue)["results"].orderBy("cand").collect()
+    assert [(r["cand"], r["status"], len(r["matches"])) for r in results] == [(0, "duplicate", 9), (1, "unique", 0), (2, "unique", 0), (3, "unique", 0)]
+    assert seen.value - before == 6 + 4
+
+
+def test_rows_without_numbers_are_probed(spark, tmp_path):
+    """A candidate without numbers meets rows without, a null description among them, in both places."""
+    made = Engine(spark, str(tmp_path), HashedTokens(64))
+    rows = [(1, "bolt"), (2, None), (3, "bolt 5mm"), (4, "")]
+    view = spark.createDataFrame(rows, "id long, ITEMDESC string").select("id", *[F.lit("x").alias(c) for c in ("ITEM_TYPE", "MAINGROUP", "SUBGROUP")], "ITEMDESC")
+    made.item_update_embeddings(view)
+    status, matches = listed(made.item_check_duplicate_variant("Bolt", view))
+    assert (status, [m[1:] for m in matches]) == ("duplicate", [("db", 1), ("approval", 1)])
