@@ -224,3 +224,19 @@ def test_rows_without_numbers_are_probed(spark, tmp_path):
     made.item_update_embeddings(view)
     status, matches = listed(made.item_check_duplicate_variant("Bolt", view))
     assert (status, [m[1:] for m in matches]) == ("duplicate", [("db", 1), ("approval", 1)])
+
+
+def test_a_name_is_compared_once_a_distinct_text(spark, tmp_path, monkeypatch):
+    """3,000 vendors and a queue of 1,500, of 300 names and null: 301 vectors are compared, and all rows of a name are found."""
+    from kinmatch import api
+
+    compared = []
+    probe = api.vector_probe
+    monkeypatch.setattr(api, "vector_probe", lambda given, rows, *a, **k: compared.append(rows.count()) or probe(given, rows, *a, **k))
+    made = Engine(spark, str(tmp_path), HashedTokens(64))
+    name = F.expr("CASE WHEN id % 1000 <> 999 THEN concat('n', id % 300, ' ltd') END").alias("Name")
+    rows = spark.range(3000).select("id", name, *[F.lit(None).cast("string").alias(c) for c in ("CNIC", "NTN", "SalesTaxNo", "AccountNo", "IbanNO")])
+    made.vendor_update_embeddings(rows)
+    status, matches = listed(made.vendor_check_duplicate_name("LTD n7", rows.where("id < 1500")))
+    want = [(i, "n7 ltd", "db", i + 1) for i in range(7, 3000, 300)] + [(i, "n7 ltd", "approval", i + 1) for i in range(7, 1500, 300)]
+    assert (status, matches, compared) == ("duplicate", want, [301])
